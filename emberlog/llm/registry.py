@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from emberlog.llm.decontaminate import op5_decontaminate
 from emberlog.llm.exact_dedup import OP10_SQL, op10_exact_dedup
+from emberlog.llm.line_dedup import op4_line_dedup
+from emberlog.llm.pieces import op2_pieces
 from emberlog.llm.quality import op7_quality
 from emberlog.llm.sharding import op3_sharding
 from emberlog.llm.toxicity import op1_toxicity
 from emberlog.llm.warc import OP8_SQL, op8_warc
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_sharding, op7_quality, op8_warc, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op1_toxicity, op2_pieces, op3_sharding, op4_line_dedup, op5_decontaminate, op7_quality, op8_warc, op10_exact_dedup,
+)}
 SQL = {"op8_warc": OP8_SQL, "op10_exact_dedup": OP10_SQL}
 
 
