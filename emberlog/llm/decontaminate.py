@@ -42,7 +42,7 @@ class Index:
     block: np.ndarray
     block_max: np.ndarray
     essential: np.ndarray  # by term
-    spare: float  # most that the other terms add to an item
+    spare: np.ndarray  # by item: what the other terms add at most
     question: list[np.ndarray]
     answer: list[np.ndarray]
     stride: int
@@ -99,7 +99,7 @@ def build_index(items: list[tuple[int | None, str | None]], threshold: float = T
         essential[t] = False
     return Index(
         ids, vocabulary, start, item, weight, np.searchsorted(term[first], np.arange(len(vocabulary) + 1)), item[first] // BLOCK_ITEMS, block_max,
-        essential, float(rest.max()), [p[0] for p in parts], [p[1] for p in parts], int(max(16, size.max())),
+        essential, rest, [p[0] for p in parts], [p[1] for p in parts], int(max(16, size.max())),
     )
 
 
@@ -149,6 +149,28 @@ def wand(index: Index, terms: np.ndarray, threshold: float = THRESHOLD, stats: d
             move(x, pivot + 1)
 
 
+def _reaching(stride: np.ndarray, term: np.ndarray, start: np.ndarray, group: np.ndarray, most: np.ndarray, groups: int, least) -> np.ndarray:
+    """Passages (by their first stride) in which the terms' weights for some group of items add up to `least`."""
+    n = start[term + 1] - start[term]
+    place = np.repeat(start[term] - np.append(0, np.cumsum(n))[:-1], n) + np.arange(n.sum())
+    keys = np.repeat(stride, n) * groups + group[place]
+    if not len(keys):
+        return np.zeros(0, np.int64)
+    order = np.argsort(keys, kind="stable")
+    keys, weight = keys[order], most[place][order]
+    cut = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    sums, keys = np.add.reduceat(weight, cut), keys[cut]
+    both = distinct(np.concatenate([keys, keys - groups]))  # a passage is a stride and the next one
+    both = both[both >= 0]
+    total = np.zeros(len(both))
+    for shift in (0, groups):
+        k = np.searchsorted(keys, both + shift)
+        k[k == len(keys)] = 0
+        total += np.where(keys[k] == both + shift, sums[k], 0.0)
+    least = least if np.ndim(least) == 0 else least[both % groups]
+    return distinct(both[total >= least - 1e-9] // groups)
+
+
 def leaks_in(words: Words, index: Index, threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER) -> dict[int, dict[int, tuple[float, float, float]]]:
     """By document number and item number: the best score, question and answer overlap of passages that have all three.
 
@@ -168,25 +190,10 @@ def leaks_in(words: Words, index: Index, threshold: float = THRESHOLD, question:
     hit = np.flatnonzero(known & index.essential[at])
     pairs = distinct(stride[hit] * len(index.terms) + at[hit])
     s, t = pairs // len(index.terms), pairs % len(index.terms)
-    n = index.block_start[t + 1] - index.block_start[t]
-    place = np.repeat(index.block_start[t] - np.append(0, np.cumsum(n))[:-1], n) + np.arange(n.sum())
-    blocks = len(index.ids) // BLOCK_ITEMS + 1
-    keys = np.repeat(s, n) * blocks + index.block[place]
-    order = np.argsort(keys, kind="stable")
-    keys, bound = keys[order], index.block_max[place][order]
-    if not len(keys):
-        return out
-    cut = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    sums, keys = np.add.reduceat(bound, cut), keys[cut]
-    # A passage is a stride and the next one of the same document.
-    both = distinct(np.concatenate([keys, keys - blocks]))
-    both = both[both >= 0]
-    total = np.zeros(len(both))
-    for shift in (0, blocks):
-        k = np.searchsorted(keys, both + shift)
-        k[k == len(keys)] = 0
-        total += np.where(keys[k] == both + shift, sums[k], 0.0)
-    passages = distinct(both[total >= threshold - index.spare - 1e-9] // blocks)
+    # First by blocks of items, then, for the passages that are left, by items: no item is lost, as bounds are upper ones.
+    passages = _reaching(s, t, index.block_start, index.block, index.block_max, len(index.ids) // BLOCK_ITEMS + 1, threshold - index.spare.max())
+    near = np.isin(s, passages) | np.isin(s - 1, passages)
+    passages = _reaching(s[near], t[near], index.start, index.item, index.weight, len(index.ids), threshold - index.spare)
     for p in passages.tolist():
         doc = int(np.searchsorted(first_stride, p, "right")) - 1
         lo = bounds[doc] + (p - first_stride[doc]) * index.stride
@@ -195,7 +202,7 @@ def leaks_in(words: Words, index: Index, threshold: float = THRESHOLD, question:
         if not found:
             continue
         part = Words(words.data, words.first[lo:hi], words.last[lo:hi], words.doc[lo:hi], words.hash[lo:hi], 0, 1, words.ends)
-        grams = {k: distinct(ngrams(part, k, salt=3)[0]) for k in (3,)}[3]
+        grams = distinct(ngrams(part, 3, salt=3)[0])
         for item, score in found:
             q, a = (float(np.isin(x[item], grams).mean()) if len(x[item]) else 1.0 for x in (index.question, index.answer))
             if q >= question and a >= answer:

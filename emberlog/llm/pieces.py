@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import heapq
 import re
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -26,12 +25,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberlog.llm.common import read, small_batches
+from emberlog.llm.words import mix
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
 #: Words kept with their paths in one task; when there are more, they are found again.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 300_000
+#: Words searched together, and the length beyond which a word is searched by itself and not kept.
+WORDS_AT_ONCE, LONG_WORD = 10_000, 64
 
 ENCODED = T.StructType([
     T.StructField("ids", T.ArrayType(T.IntegerType())),
@@ -85,70 +87,253 @@ class Vocabulary:
 
 
 def n_best(into: list[list[tuple[int, float, tuple[int, ...]]]], n: int) -> list[tuple[float, tuple[int, ...]]]:
-    """The n best (score, ids) of a lattice, best first; ties by ids."""
+    """The n best (score, ids) of a lattice, best first: forward Viterbi scores guide a backward A* search."""
     size = len(into)
     forward = [0.0] + [-np.inf] * (size - 1)
     for j in range(1, size):
         forward[j] = max((forward[i] + s for i, s, _ in into[j]), default=-np.inf)
-    out, last = [], None
-    heap = [(-forward[-1], (), size - 1, 0.0)]
-    while heap and (len(out) < n or -heap[0][0] == last):
-        f, ids, at, g = heapq.heappop(heap)
+    out: list[tuple[float, tuple[int, ...]]] = []
+    heap, pushed = [(-forward[-1], 0, size - 1, 0.0, None)], 1
+    while heap and len(out) < n:
+        f, _, at, g, path = heapq.heappop(heap)
         if at == 0:
-            out.append((-f, ids))
-            last = -f if len(out) == n else last
-            if len(out) >= 4 * n:
-                break
+            ids: list[int] = []
+            while path is not None:
+                ids += path[0]
+                path = path[1]
+            out.append((-f, tuple(ids)))
             continue
         for i, s, piece in into[at]:
-            heapq.heappush(heap, (-(g + s + forward[i]), piece + ids, i, g + s))
-    return sorted(out, key=lambda x: (-x[0], x[1]))[:n]
+            heapq.heappush(heap, (-(g + s + forward[i]), pushed, i, g + s, (piece, path)))
+            pushed += 1
+    return out
+
+
+class Matcher:
+    """Numbers of the pieces that match at each place of many words of one length."""
+
+    STEP = 0x100000001B3
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.longest = vocabulary.longest
+        names = list(vocabulary.pieces)
+        self.none = len(names)
+        self.score = np.array([vocabulary.pieces[x][1] for x in names] + [-np.inf])
+        self.id = np.array([vocabulary.pieces[x][0] for x in names] + [-1], np.int32)
+        keys = np.zeros(len(names), np.uint64)
+        for k, x in enumerate(names):
+            h = 0
+            for c in x:
+                h = (h * self.STEP + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+            keys[k] = h
+        keys = mix(keys)
+        slot = (keys >> np.uint64(44)).astype(np.int64)
+        number = np.arange(len(names), dtype=np.int32)
+        self.table = np.full(1 << 20, self.none, np.int32)
+        self.table[slot] = number
+        self.keys = np.append(keys, np.uint64(0))
+        lost = number[self.table[slot] != number]  # share a slot with another piece
+        self.lost = lost[np.argsort(keys[lost])]
+        self.lost_keys = keys[self.lost]
+        self.crowded = np.zeros(1 << 20, bool)
+        self.crowded[slot[lost]] = True
+
+    def match(self, text: np.ndarray) -> list[np.ndarray]:
+        """text: characters by place and word. By length 1.. : the piece at each place of each word, or `none`."""
+        h, out = np.zeros_like(text), []
+        with np.errstate(over="ignore"):
+            for n in range(1, min(len(text), self.longest) + 1):
+                h = h[: len(text) - n + 1] * np.uint64(self.STEP) + text[n - 1 :] + np.uint64(1)
+                key = mix(h)
+                slot = (key >> np.uint64(44)).astype(np.int64)
+                found = self.table[slot]
+                found[self.keys[found] != key] = self.none
+                if len(self.lost) and (busy := self.crowded[slot]).any():
+                    some = key[busy]
+                    at = np.minimum(np.searchsorted(self.lost_keys, some), len(self.lost) - 1)
+                    found[busy] = np.where(self.lost_keys[at] == some, self.lost[at], found[busy])
+                out.append(found)
+        return out
+
+
+@dataclass
+class Best:
+    """Best paths of some words: their ids in a row, each word's number of ids, score, and loss of the second path."""
+
+    ids: np.ndarray
+    count: np.ndarray
+    score: np.ndarray
+    gap: np.ndarray
+
+
+def _spelt(codes: np.ndarray, count: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Codes below -1 stand for characters without a piece; their bytes' ids take their place."""
+    raw = codes < -1
+    if not raw.any():
+        return codes.astype(np.int32), count
+    c = np.where(raw, -2 - codes, 0)
+    width = np.where(raw, np.where(c < 0x80, 1, np.where(c < 0x800, 2, np.where(c < 0x10000, 3, 4))), 1)
+    at = np.append(0, np.cumsum(width))
+    out = np.empty(at[-1], np.int32)
+    out[at[:-1]] = codes
+    of = np.array(vocabulary.bytes, np.int32)
+    lead = np.array([0, 0, 0xC0, 0xE0, 0xF0])
+    for n in range(1, 5):
+        own = np.flatnonzero(raw & (width == n))
+        for k in range(n):
+            bits = c[own] >> (6 * (n - 1 - k))
+            out[at[own] + k] = of[bits if n == 1 else (bits | lead[n]) if k == 0 else (bits & 0x3F) | 0x80]
+    word = np.repeat(np.arange(len(count)), count)
+    return out, np.bincount(word, width, len(count)).astype(np.int64)
+
+
+def viterbi(words: list[str], vocabulary: Vocabulary, matcher: Matcher) -> Best:
+    """Best paths of many space-led words (one space each) of one length, all a place further at each step.
+
+    The second path's loss is the least that another edge into a place of the best path loses: beyond it the best path
+    is followed, and before it the forward score is exact.
+    """
+    many, size = len(words), len(words[0]) + 1
+    raw = "".join(MARK + w for w in words).encode("utf-32-le", "surrogatepass")
+    text = np.ascontiguousarray(np.frombuffer(raw, np.uint32).reshape(many, size).T).astype(np.uint64)
+    matched = matcher.match(text)
+    bare = matched[0] == matcher.none
+    bare[1:] |= text[1:] == ord(MARK)
+    scores = [matcher.score[x] for x in matched]
+    width = np.where(text < 0x80, 1, np.where(text < 0x800, 2, np.where(text < 0x10000, 3, 4)))
+    scores[0] = np.where(bare, vocabulary.byte_score * width, scores[0])
+    forward, loss, back = np.zeros((size + 1, many)), np.full((size + 1, many), np.inf), np.zeros((size + 1, many), np.int64)
+    for j in range(1, size + 1):
+        best, second = forward[j - 1] + scores[0][j - 1], np.full(many, -np.inf)
+        by = np.ones(many, np.int64)
+        for n in range(2, min(j, len(scores)) + 1):
+            score = forward[j - n] + scores[n - 1][j - n]
+            second = np.maximum(second, np.minimum(best, score))
+            by[score > best] = n
+            best = np.maximum(best, score)
+        forward[j], back[j], loss[j] = best, by, best - second
+    # Back from the ends: a piece of every word at each step, the last one first.
+    at, every, steps, gap = np.full(many, size), np.arange(many), [], np.full(many, np.inf)
+    flat = np.full((len(matched), size, many), matcher.none, np.int32)
+    for n, x in enumerate(matched):
+        flat[n, : len(x)] = x
+    while (on := every[at > 0]).size:
+        n = back[at[on], on]
+        gap[on] = np.minimum(gap[on], loss[at[on], on])
+        c = at[on] - n
+        code = np.full(many, -1, np.int64)
+        code[on] = np.where((n == 1) & bare[c, on], -2 - text[c, on].astype(np.int64), matcher.id[flat[n - 1, c, on]])
+        steps.append(code)
+        at[on] = c
+    table = np.column_stack(steps[::-1])
+    ids, count = _spelt(table[table != -1], (table != -1).sum(1), vocabulary)
+    return Best(ids, count, forward[size], gap)
 
 
 class Encoder:
-    """N-best encoder of whole texts. kept: a word's paths (first the best) by the word."""
+    """N-best encoder of whole texts, a batch at a time. Known words are numbered; number 0 is no word."""
 
     def __init__(self, vocabulary: Vocabulary, n: int = N_BEST) -> None:
-        self.vocabulary, self.n, self.kept = vocabulary, n, {}
-
-    def word(self, word: str, lead: int = 1) -> tuple[tuple[int, ...], float, float, list[tuple[float, tuple[int, ...]]]]:
-        """Best ids, best score, loss of the second path (infinite if none), all paths."""
-        key = word if lead == 1 else (word, lead)
-        found = self.kept.get(key)
+        self.vocabulary, self.matcher, self.n = vocabulary, Matcher(vocabulary), n
+        self.paths: dict[tuple[str, int], list[tuple[float, tuple[int, ...]]]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str | tuple[str, int], int] = {}
+        self.best = Best(np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(1), np.full(1, np.inf))
+        self.start = np.zeros(1, np.int64)
+
+    def add(self, keys: list, found: list[Best]) -> None:
+        self.known.update(zip(keys, range(len(self.best.count), len(self.best.count) + len(keys))))
+        every = [self.best, *found]
+        self.best = Best(*(np.concatenate([getattr(x, name) for x in every]) for name in ("ids", "count", "score", "gap")))
+        self.start = np.append(0, np.cumsum(self.best.count))[:-1]
+
+    def all_paths(self, word: str, lead: int) -> list[tuple[float, tuple[int, ...]]]:
+        found = self.paths.get((word, lead))
         if found is None:
-            paths = n_best(self.vocabulary.lattice(MARK * lead + word, lead), self.n)
-            found = (paths[0][1], paths[0][0], paths[0][0] - paths[1][0] if len(paths) > 1 else np.inf, paths)
-            if len(self.kept) >= KEPT_WORDS:
-                self.kept.clear()
-            if len(word) <= 64:
-                self.kept[key] = found
+            if len(self.paths) > KEPT_WORDS // 10:
+                self.paths.clear()
+            found = n_best(self.vocabulary.lattice(MARK * lead + word, lead), self.n)
+            if len(word) <= LONG_WORD:
+                self.paths[word, lead] = found
         return found
 
-    def words(self, text: str) -> list:
-        """Paths of each space-led word of a text, which gets a space before it."""
+    def words(self, text: str) -> list[str | tuple[str, int]]:
+        """The space-led words of a text, which gets a space before it; those with several spaces with their number."""
         if not text:
             return []
         if "  " in text or text[0] == " " or text[-1] == " ":
-            return [self.word(w.lstrip(" "), len(w) - len(w.lstrip(" "))) for w in re.findall(" +[^ ]*", " " + text)]
-        kept, word = self.kept.get, self.word
-        return [kept(w) or word(w) for w in text.split(" ")]
-
-    def encode(self, text: str) -> tuple[list, float, list[tuple[float, list[tuple[int, tuple[int, ...]]]]]]:
-        """Words' paths, the best score, and the next n-1 (score, [(word number, ids)]) by score."""
-        words = self.words(text)
-        score = float(sum(w[1] for w in words))
-        loose = heapq.nsmallest(self.n - 1, ((w[2], k) for k, w in enumerate(words) if w[2] < np.inf)) if self.n > 1 else []
-        # Only these words can differ from the best path: any other change has n-1 better ones before it.
+            every = [(w.lstrip(" "), len(w) - len(w.lstrip(" "))) for w in re.findall(" +[^ ]*", " " + text)]
+            return [w if lead == 1 and w else (w, lead) for w, lead in every]
+        return text.split(" ")
+
+    def learn(self, texts: list[list[str | tuple[str, int]]]) -> None:
+        """Number the new words of some texts' words, and find their best paths."""
+        if len(self.known) > KEPT_WORDS:
+            self.forget()
+        new: dict[int, list] = {}
+        for w in {w for t in texts for w in t}.difference(self.known):
+            new.setdefault(len(w) if isinstance(w, str) and len(w) <= LONG_WORD else 0, []).append(w)
+        keys, found = [], []
+        for size, words in new.items():
+            for k in range(0, len(words), WORDS_AT_ONCE):
+                part = words[k : k + WORDS_AT_ONCE]
+                keys += part
+                if size:
+                    found.append(viterbi(part, self.vocabulary, self.matcher))
+                    continue
+                paths = [self.all_paths(*(w if isinstance(w, tuple) else (w, 1))) for w in part]
+                found.append(Best(
+                    np.fromiter(chain.from_iterable(p[0][1] for p in paths), np.int32), np.array([len(p[0][1]) for p in paths]),
+                    np.array([p[0][0] for p in paths]), np.array([p[0][0] - p[1][0] if len(p) > 1 else np.inf for p in paths]),
+                ))
+        if keys:
+            self.add(keys, found)
+
+    def others(self, words: list, at: np.ndarray, score: float) -> list[tuple[float, list[tuple[int, tuple[int, ...]]]]]:
+        """The next n-1 (score, [(word number, ids)]) of a text whose words have the numbers `at`."""
+        if self.n < 2 or not len(at):
+            return []
+        gaps = self.best.gap[at]
+        # Only the n-1 words with the least losses can differ from the best path: other changes have n-1 better ones.
+        few = np.flatnonzero(gaps <= np.partition(gaps, self.n - 2)[self.n - 2]) if len(gaps) > self.n else np.arange(len(gaps))
+        loose = sorted((gaps[k], int(k)) for k in few if gaps[k] < np.inf)[: self.n - 1]
+        options = []
+        for _, k in loose:
+            name, lead = words[k] if isinstance(words[k], tuple) else (words[k], 1)
+            i = at[k]
+            best = (self.best.score[i], tuple(self.best.ids[self.start[i] : self.start[i] + self.best.count[i]].tolist()))
+            options.append([best, *(x for x in self.all_paths(name, lead) if x[1] != best[1])][: self.n])
         heap, out = [(0.0, (0,) * len(loose), 0)], []
         while heap and len(out) < self.n:
-            loss, choice, at = heapq.heappop(heap)
-            out.append((score - loss, [(k, words[k][3][c][1]) for c, (_, k) in zip(choice, loose) if c]))
-            for x in range(at, len(loose)):
-                paths = words[loose[x][1]][3]
-                if choice[x] + 1 < len(paths):
-                    more = paths[choice[x]][0] - paths[choice[x] + 1][0]
-                    heapq.heappush(heap, (loss + more, (*choice[:x], choice[x] + 1, *choice[x + 1 :]), x))
-        return words, score, out[1:]
+            lost, choice, first = heapq.heappop(heap)
+            out.append((float(score - lost), [(k, options[x][c][1]) for x, (c, (_, k)) in enumerate(zip(choice, loose)) if c]))
+            for x in range(first, len(loose)):
+                if choice[x] + 1 < len(options[x]):
+                    more = options[x][choice[x]][0] - options[x][choice[x] + 1][0]
+                    heapq.heappush(heap, (lost + more, (*choice[:x], choice[x] + 1, *choice[x + 1 :]), x))
+        return out[1:]
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[float], list[list[dict]]]:
+        """Ids of all texts in a row, where each text's end (n+1 offsets), best scores, alternatives as edits."""
+        words = [self.words(t or "") for t in texts]
+        self.learn(words)
+        sizes = np.array([len(w) for w in words])
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
+        count, end = self.best.count[at], np.append(0, np.cumsum(sizes))
+        place = np.append(0, np.cumsum(count))
+        ids = self.best.ids[np.repeat(self.start[at] - place[:-1], count) + np.arange(place[-1])]
+        scores, alternatives = [], []
+        for k, (lo, hi) in enumerate(zip(end, end[1:])):
+            score = float(self.best.score[at[lo:hi]].sum())
+            edits = []
+            for s, changes in self.others(words[k], at[lo:hi], score):
+                where = [(int(place[lo + w] - place[lo]), int(count[lo + w]), x) for w, x in sorted(changes)]
+                edits.append({"score": s, "edits": [{"start": a, "stop": a + n, "ids": x} for a, n, x in where]})
+            scores.append(score)
+            alternatives.append(edits)
+        return ids, place[end], scores, alternatives
 
 
 def decode_ids(ids: list[int], names: list[str]) -> str:
@@ -174,28 +359,10 @@ def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL, n: int =
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(sent.value, n)
         for batch in batches:
-            ids, ends, scores, alternatives, nulls = array("i"), [0], [], [], []
-            for text in batch.column(text_col).to_pylist():
-                nulls.append(text is None)
-                words, score, others = encoder.encode(text or "")
-                base = len(ids)
-                ids.extend(chain.from_iterable(w[0] for w in words))
-                places = {k for _, edits in others for k, _ in edits}
-                starts, at = {}, 0
-                if places:
-                    most = max(places)
-                    for k, w in enumerate(words):
-                        if k in places:
-                            starts[k] = at
-                        at += len(w[0])
-                        if k == most:
-                            break
-                alternatives.append([{"score": s, "edits": [{"start": starts[k], "stop": starts[k] + len(words[k][0]), "ids": x} for k, x in sorted(edits)]} for s, edits in others])
-                ends.append(ends[-1] + len(ids) - base)
-                scores.append(score)
-            flat = pa.array(np.frombuffer(ids, np.int32) if len(ids) else np.zeros(0, np.int32))
-            fields = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(scores, pa.float64()), pa.array(alternatives, _ALTERNATIVES)]
-            found = pa.StructArray.from_arrays(fields, ["ids", "score", "alternatives"], mask=pa.array(nulls))
+            texts = batch.column(text_col).to_pylist()
+            ids, ends, scores, alternatives = encoder.encode(texts)
+            fields = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)), pa.array(scores, pa.float64()), pa.array(alternatives, _ALTERNATIVES)]
+            found = pa.StructArray.from_arrays(fields, ["ids", "score", "alternatives"], mask=pa.array([t is None for t in texts], pa.bool_()))
             yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "encoded"])
 
     return docs.mapInArrow(apply, schema)
