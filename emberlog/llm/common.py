@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -52,3 +53,9 @@ def text_bytes(text: Column) -> Column:
 def fold(id_col: Column, folds: int) -> Column:
     """crc32 of the id's decimal text, modulo folds; a null id counts as the empty text."""
     return F.crc32(F.encode(F.coalesce(id_col.cast("string"), F.lit("")), "utf-8")) % folds
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark clean the shuffle files of finished jobs whose DataFrames are gone, before more are written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
