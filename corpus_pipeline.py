@@ -1,15 +1,65 @@
-"""The corpus pipeline: stages over documents, each a dealt operator."""
+"""The corpus pipeline: five stages over documents, each by one of the operators.
+
+Every stage works on all rows that the one before kept. Rows with null ids stay in every stage. The last stage returns
+the encoded documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from emberlog.llm.common import read
+from emberlog.llm.decontaminate import mark_leaks
+from emberlog.llm.jaccard import jaccard_groups
+from emberlog.llm.line_dedup import line_dedup
+from emberlog.llm.pieces import encode
+from emberlog.llm.toxicity import score, train
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more go; the model learns from the labels of the documents at hand."""
+    model = train(docs, read(spark, sf_dir, "labels"))
+    return score(docs, model).where("toxicity < 0.5").select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that align with an earlier document go; n_chars follows the text. No row goes."""
+    found = line_dedup(docs).select(*docs.columns)
+    return found.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else found
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id stays."""
+    gone = jaccard_groups(docs).where("id <> component").select(F.col("id").alias("doc_id")).distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item go."""
+    return mark_leaks(docs, read(spark, sf_dir, "benchmark")).where(F.size("leaks") == 0).select(*docs.columns)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids and score of each document's best segmentation, with its next best ones as edits."""
+    found = encode(docs)
+    return found.select("doc_id", "lang", "source", F.coalesce(F.size("encoded.ids"), F.lit(0)).cast("long").alias("n_pieces"), "encoded.score", "encoded.ids", "encoded.alternatives")
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("SentencePiece encoding and decoding", pieces),
+]
 
-STAGES: list = []
+#: Training, patience diff and A* search have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

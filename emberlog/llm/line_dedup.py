@@ -102,12 +102,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), pa.array(cut, pa.list_(pa.int32()))], ["id", "mark", "cut"])
 
     cuts = sides.mapInArrow(align, schema).select("id", "mark", F.explode("cut").alias("at")).groupBy("id", "mark").agg(F.collect_set("at").alias("cut"))
-    cuts = written(cuts, "line-cuts").withColumnsRenamed({"id": "_id", "mark": "_mark", "cut": "_cut"})
-    gone = F.coalesce("_cut", F.array().cast("array<int>"))
-    out = docs.join(cuts, (F.col(id_col) == F.col("_id")) & (F.xxhash64(text) == F.col("_mark")), "left")
+    cuts = written(cuts, "line-cuts").withColumnsRenamed({"id": "__line_id", "mark": "__line_mark", "cut": "__line_cut"})
+    gone = F.coalesce("__line_cut", F.array().cast("array<int>"))
+    out = docs.join(cuts, (F.col(id_col) == F.col("__line_id")) & (F.xxhash64(text) == F.col("__line_mark")), "left")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, k: ~F.array_contains(gone, k)), "\n")
     return out.select(
-        *[F.when(F.col("_cut").isNull(), text).otherwise(kept).alias(text_col) if c == text_col else F.col(c) for c in docs.columns],
+        *[F.when(F.col("__line_cut").isNull(), text).otherwise(kept).alias(text_col) if c == text_col else F.col(c) for c in docs.columns],
         F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).cast("long").alias("n_lines"),
         F.size(gone).cast("long").alias("n_removed"),
     )
