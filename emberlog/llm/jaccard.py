@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import read, release, small_batches, text_bytes, written
+from emberlog.llm.common import discard, read, release, small_batches, text_bytes, written
 from emberlog.llm.components import components
 from emberlog.llm.packed import FLUSH, PACKED, bucket_of, buckets_for, gathered, groups, packed_rows
 from emberlog.llm.words import Words, distinct, hashed, mix, ngrams, seeds
@@ -21,8 +21,8 @@ PERCENT = 80
 COMBINATION = 0.1
 #: Tokens held by more sets than this are frequent.
 FREQUENT = 16
-#: Stars laid over the holders of frequent tokens.
-PIVOTS = 4
+#: Documents of a family that are compared with each other, or with so many more, in one task.
+BLOCK = 1024
 ENTRY = [np.uint64, np.int64, np.int32, np.uint64]  # token, document, set size, set digest (0 but for a set's first token)
 CLASS, PAIR, HELD, SIZE = 0, 1, 2, 3
 
@@ -142,18 +142,61 @@ def _rows(kind: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Table:
     return pa.table({"kind": pa.array(kind.astype(np.int32)), "a": pa.array(a.astype(np.int64)), "b": pa.array(b.astype(np.int64))})
 
 
-def _cross(table: pa.Table) -> pa.Table:
-    """Pairs of one frequent token's holders whose sizes fit and that no links join yet."""
-    doc, size, own = (table.column(c).to_numpy() for c in ("a", "n", "component"))
-    order = np.argsort(size, kind="stable")
-    doc, size, own = doc[order], size[order], own[order]
-    xs, ys = [], []
-    for k in range(len(doc)):
-        hi = int(np.searchsorted(size, size[k] * 100 // PERCENT, "right"))
-        y = np.arange(k + 1, hi)[own[k + 1 : hi] != own[k]]
-        xs.append(np.full(len(y), doc[k])), ys.append(doc[y])
-    x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys))
-    return pa.table({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
+def _family(key: tuple, table: pa.Table) -> pa.Table:
+    """Links that span the components of a family's block, or of two blocks: intersections by blocks of a 0/1 matrix."""
+    ids = table.column("a").to_numpy()
+    sets = [s for words in hashed(table.column("text"), lower=True) for s in shingle_sets(words)]
+    size = np.array([len(s) for s in sets])
+    every, who = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(every, kind="stable")
+    start, count = groups(every[order])
+    number = np.cumsum(count >= 2) - 1
+    shared = np.repeat(count >= 2, count)
+    column, row = np.repeat(number, count)[shared], who[order][shared]
+    both = np.zeros((len(ids), len(ids)), np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 1024):
+        a, b = np.searchsorted(column, [lo, lo + 1024])
+        some = np.zeros((len(ids), 1024), np.float32)
+        some[row[a:b], column[a:b] - lo] = 1
+        both += some @ some.T
+    parent = list(range(len(ids)))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    links = []
+    for x in range(len(ids)):
+        inter = both[x, x + 1 :].astype(np.int64)
+        for y in (x + 1 + np.flatnonzero((inter > 0) & (100 * inter >= PERCENT * (size[x] + size[x + 1 :] - inter)))).tolist():
+            u, v = top(x), top(y)
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+                links.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+
+def family_links(held: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links among the holders of frequent tokens.
+
+    Tokens with the same pivot (the holder with the largest share of frequent tokens, for a group of near copies mostly
+    their model) make one family, so two holders of a token meet once for a pivot and not once for a token. A family
+    is cut into blocks of about BLOCK documents, and each pair of blocks is compared in a task of its own.
+    """
+    pivots = held.groupBy("token").agg(F.max_by("a", F.struct(F.col("f") / F.col("n"), F.xxhash64("a"))).alias("pivot"))
+    family = held.join(pivots, "token").groupBy("pivot", "a").agg(F.count("*").alias("k")).drop("k")
+    family = written(family, "jaccard-family")
+    sizes = family.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).join(family.groupBy("pivot").agg(F.count("*").alias("m")).where("m > 1").select("pivot"), "pivot")
+    family = family.join(sizes, "pivot").withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")))
+    family = family.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    family = family.select("pivot", "a", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    texts = docs.join(family.select(F.col("a").alias("id")).distinct(), "id", "left_semi").groupBy(F.col("id").alias("a")).agg(F.min("text").alias("text"))
+    found = family.join(texts, "a").groupBy("pivot", "i", "j").applyInArrow(_family, "a long, b long").distinct()
+    found = written(found, "jaccard-links")
+    release(docs.sparkSession)
+    return found
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,19 +219,20 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     release(docs.sparkSession)
     sides = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "s"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "t"}), "b")
     found = written(sides.select("a", "b", "s", "t").mapInArrow(_linked, "a long, b long").distinct(), "jaccard-links")
+    discard(texts)
     release(docs.sparkSession)
     return found
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component (the smallest id reachable by links) and n_links of its class, for every row with an id.
+    """id, n_shingles, component (the smallest id reachable by links), class and its n_links, for every row with an id.
 
     Tokens are shingle hashes in one global order. Prefixes are extended so that two linked sets share at least k tokens
     of them (k: a tenth of the smaller set). A token of at most FREQUENT holders is indexed by itself and its holders are
     paired. Two sets that share none of those in their prefixes share k frequent ones, so a set with fewer than k is left
-    out there; the others are linked along stars over the frequent tokens' holders, and then the holders of a token that
-    are still in different components are compared pair by pair. Every pair is verified on whole sets. Equal sets are
-    combined first, in each task and then by their first token, so copies are compared once.
+    out there; the others meet in families (see family_links). Every pair is verified on whole sets. Equal sets are
+    combined first, in each task and then by their first token, so copies are compared once. n_links counts the links
+    found of the document's class; within a family only links that span its components are kept.
 
     Null and empty texts and texts of blanks have no shingles and link with nothing. Null ids are left out. Rows that
     share an id are one document, linked by any of its texts; repeated rows give repeated results. Other columns are
@@ -212,20 +256,10 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     held = to_class(met.where(f"kind = {HELD}").select("a", F.col("b").alias("token")), "a").distinct()
     enough = held.groupBy("a").agg(F.count("*").alias("f")).join(sizes.groupBy(F.col("id").alias("a")).agg(F.max("n").alias("n")), "a")
     enough = enough.where(F.col("f") >= F.greatest(F.lit(1), F.floor(F.lit(COMBINATION) * F.floor(F.col("n") * PERCENT / 100))))
-    held = written(held.join(enough.select("a", "n"), "a"), "jaccard-held")
-    star = F.pmod("token", F.lit(PIVOTS))
-    pivots = held.groupBy("token").agg(F.min_by("a", F.xxhash64("a", star)).alias("pivot"))
-    stars = held.join(pivots, "token").where("a <> pivot").select(F.least("a", "pivot").alias("a"), F.greatest("a", "pivot").alias("b"))
-    first = written(pairs.unionByName(stars).distinct(), "jaccard-pairs")
-    links = verified(first, rows)
+    held = written(held.join(enough, "a"), "jaccard-held")
+    links = verified(written(pairs.distinct(), "jaccard-pairs"), rows)
     if not held.isEmpty():
-        sofar = written(components(links), "jaccard-components")
-        held = held.join(sofar.withColumnRenamed("id", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-        apart = held.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-        rest = held.join(apart, "token").groupBy("token").applyInArrow(_cross, "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
-        rest = written(rest, "jaccard-pairs")
-        if not rest.isEmpty():
-            links = links.unionByName(verified(rest, rows))
+        links = links.unionByName(family_links(held, rows)).distinct()
     joined = components(links).withColumnsRenamed({"id": "class"})
     degree = links.select(F.col("a").alias("class")).unionByName(links.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("n_links"))
     out = sizes.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import read, release, small_batches, text_bytes, written
+from emberlog.llm.common import discard, read, release, small_batches, text_bytes, written
 from emberlog.llm.packed import FLUSH, PACKED, bucket_of, buckets_for, gathered, groups, packed_rows
 from emberlog.llm.words import Words, hashed, mix, ngrams, seeds
 
@@ -17,6 +17,8 @@ WINDOW = 13
 GRAM = 5
 #: Words of reference text in one automaton, distinct texts that one anchor may bring to it, texts of a shard's task.
 SHARD_WORDS, ANCHOR_TEXTS, SHARD_TEXTS = 20_000, 5_000, 20_000
+#: In place of starts: every window of the document.
+ALL = -1
 ENTRY = [np.uint64, np.int64, np.int32]  # anchor, document, word number (-1: known to be in several documents)
 
 
@@ -247,7 +249,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not starts[d]:
                     kept[d] = text[where[lo] : max(where[lo], where[hi] - 1)].decode()
                     continue
-                s = np.unique(np.array(starts[d]))
+                s = np.arange(max(0, hi - lo - WINDOW + 1)) if starts[d][0] == ALL else np.unique(np.array(starts[d]))
                 edge = np.bincount(s, minlength=hi - lo + 1) - np.bincount(s + WINDOW, minlength=hi - lo + 1)
                 off = np.cumsum(edge[: hi - lo]) > 0
                 gone[d] = int(off.sum())
@@ -278,11 +280,17 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     places = written(index.groupBy("bucket").applyInArrow(_meet, "id long, at int"), "repeat-places")
     del index
     release(spark)
+    # A later copy of a whole text goes whole, as each of its windows is in the earlier one; nobody need look at it.
+    prints = written(named.select("id", F.xxhash64("text").alias("mark"), F.unhex(F.sha2("text", 256)).alias("print")), "repeat-prints")
+    copied = prints.groupBy("print").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("print", "first")
+    lone = prints.groupBy("id").agg(F.count("*").alias("n")).where("n = 1").select("id")
+    copies = written(prints.join(copied, "print").where("id > first").join(lone, "id", "left_semi").select("id", "mark"), "repeat-copies")
     wanted = places.groupBy("id").agg(F.collect_set("at").alias("at"))
-    asked = named.withColumn("mark", F.xxhash64("text")).join(wanted, "id").select("id", "mark", "text", "at")
-    stretches = asked.mapInArrow(_stretches, "anchor long, id long, mark long, start int, text binary").withColumn("tkey", F.xxhash64("text"))
-    stretches = written(stretches, "repeat-stretches")
-    del asked, wanted
+    asked = named.withColumn("mark", F.xxhash64("text")).join(wanted.join(copies.select("id"), "id", "left_anti"), "id").select("id", "mark", "text", "at")
+    stretches = asked.mapInArrow(_stretches, "anchor long, id long, mark long, start int, text binary")
+    stretched = written(stretches, "repeat-stretches")
+    stretches = stretched.withColumn("tkey", F.xxhash64("text"))
+    del asked, wanted, prints, copied, lone
     release(spark)
     texts = written(stretches.groupBy("anchor", "tkey", "text").agg(F.min("id").alias("first")), "repeat-texts")
     release(spark)
@@ -291,7 +299,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hit = stretches.select("anchor", "tkey", "id", "mark", "start").join(firsts, ["anchor", "tkey"])
     here = F.filter(F.transform("firsts", lambda x, k: F.when(x < F.col("id"), F.col("start") + k)), lambda x: x.isNotNull())
     spans = hit.select("id", "mark", here.alias("starts")).where(F.size("starts") > 0)
-    spans = written(spans.groupBy("id", "mark").agg(F.flatten(F.collect_list("starts")).alias("starts")), "repeat-spans")
+    spans = spans.groupBy("id", "mark").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    spans = written(spans.unionByName(copies.select("id", "mark", F.array(F.lit(ALL)).alias("starts"))), "repeat-spans")
+    discard(stretched, texts, firsts, places)
     release(spark)
     out = rows.withColumn("mark", F.xxhash64("text")).join(spans, ["id", "mark"], "left").select("id", "text", "starts")
     return out.mapInArrow(_cut, "id long, n_words long, n_removed long, kept string")
