@@ -1,11 +1,403 @@
-"""Registered queries over the driver's tables, with their DuckDB SQL."""
+"""Registered queries over log lines made from the events table, with their DuckDB SQL."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from datetime import datetime, timedelta
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from emberlog.functions.config import load_config
+from emberlog.functions.fields import short_date, sorted_json
+from emberlog.operators import alerts, filters, metrics, query, tree
+from emberlog.operators.chain import parse_logs, pattern_coverage
+from emberlog.operators.filters import Filter
+from emberlog.sources import formats, store
+from emberlog.sources.lines import event_lines
+from emberlog.streaming.ingest import start_ingest
+
+CONFIG = r"""
+[defaults]
+timestamp_format = "%Y-%m-%d %H:%M:%S"
+[components]
+timestamp = '\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}'
+ref = 'U\d{6}'
+[[parsers]]
+name = "app_log"
+glob = "*.log"
+type = "single"
+pattern = '(?P<timestamp>${timestamp}) LOG level=(?P<level>\w+) cents=(?P<cents>\d+)'
+[[parsers]]
+name = "request"
+glob = "*.log"
+type = "span"
+start_pattern = '(?P<timestamp>${timestamp}) (?P<ref>${ref}) START op=(?P<op>\w+)'
+end_pattern = '(?P<timestamp>${timestamp}) (?P<ref>${ref}) END status=(?P<status>\d+)'
+reference_fields = ["ref"]
+[[parsers.nested]]
+name = "note"
+type = "single"
+pattern = '(?P<timestamp>${timestamp}) (?P<ref>${ref}) NOTE k=(?P<k>\d+)'
+"""
+NOW = datetime(2024, 1, 25)
+
+_LINES = """lines AS (
+SELECT 'app-' || CAST(user_id % 4 AS VARCHAR) || '.log' AS file_path, event_id AS byte_offset, date_trunc('second', ts) AS ts_,
+  'U' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS ref, event_type AS t, event_id % 3 AS op, CASE WHEN event_id % 7 = 0 THEN '500' ELSE '200' END AS status,
+  json_extract_string(props, '$.k') AS k, CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) AS cents, strftime(ts, '%Y-%m-%d %H:%M:%S') AS tx,
+  CASE event_type WHEN 'click' THEN 'S' WHEN 'purchase' THEN 'E' WHEN 'view' THEN 'N' ELSE 'L' END AS kind FROM events
+), line AS (SELECT *, tx || CASE kind
+  WHEN 'S' THEN ' ' || ref || '   START op=op' || CAST(op AS VARCHAR) WHEN 'E' THEN ' ' || ref || '   END status=' || status
+  WHEN 'N' THEN ' ' || ref || ' NOTE k=' || k ELSE ' LOG level=' || CASE WHEN t = 'error' THEN 'ERROR' ELSE 'INFO' END || ' cents=' || cents END AS line FROM lines)"""
+
+
+def _uuid(name: str, at: str = "byte_offset") -> str:
+    h = f"md5('{name}|' || file_path || '|' || CAST({at} AS VARCHAR))"
+    return f"substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-' || substr({h}, 13, 4) || '-' || substr({h}, 17, 4) || '-' || substr({h}, 21, 12)"
+
+
+_EV = f"""WITH {_LINES}, m AS (
+  SELECT *, last_value(CASE WHEN kind <> 'N' THEN kind END IGNORE NULLS) OVER w AS before FROM line WHERE kind <> 'L'
+  WINDOW w AS (PARTITION BY file_path, ref ORDER BY byte_offset ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), o AS (SELECT *, kind = 'S' AND coalesce(before, 'E') = 'E' AS opens FROM m
+), s AS (
+  SELECT *, last_value(CASE WHEN opens THEN byte_offset END IGNORE NULLS) OVER w AS s_at, last_value(CASE WHEN opens THEN ts_ END IGNORE NULLS) OVER w AS s_ts,
+    last_value(CASE WHEN opens THEN line END IGNORE NULLS) OVER w AS s_line, last_value(CASE WHEN opens THEN tx END IGNORE NULLS) OVER w AS s_tx,
+    last_value(CASE WHEN opens THEN op END IGNORE NULLS) OVER w AS s_op
+  FROM o WINDOW w AS (PARTITION BY file_path, ref ORDER BY byte_offset ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), ev AS (
+  SELECT {_uuid("app_log")} AS id, 'single' AS event_type, 'app_log' AS name, ts_ AS "timestamp", CAST(NULL AS BIGINT) AS duration_ms, CAST(NULL AS VARCHAR) AS parent_id,
+    '{{"cents":"' || cents || '","level":"' || CASE WHEN t = 'error' THEN 'ERROR' ELSE 'INFO' END || '","timestamp":"' || tx || '"}}' AS data, line AS raw_line,
+    CASE WHEN t = 'error' THEN 'ERROR' ELSE 'INFO' END AS level, cents, NULL AS op, NULL AS status, NULL AS ref, NULL AS k, file_path, byte_offset FROM line WHERE kind = 'L'
+  UNION ALL
+  SELECT {_uuid("request", "s_at")}, 'span', 'request', s_ts, CAST((epoch_us(ts_) - epoch_us(s_ts)) // 1000 AS BIGINT), NULL,
+    '{{"op":"op' || CAST(s_op AS VARCHAR) || '","ref":"' || ref || '","status":"' || status || '","timestamp":"' || s_tx || '"}}', s_line || chr(10) || line,
+    NULL, NULL, 'op' || CAST(s_op AS VARCHAR), status, ref, NULL, file_path, byte_offset FROM s WHERE kind = 'E' AND before = 'S'
+  UNION ALL
+  SELECT {_uuid("note")}, 'single', 'note', ts_, NULL, {_uuid("request", "s_at")}, '{{"k":"' || k || '","ref":"' || ref || '","timestamp":"' || tx || '"}}', line,
+    NULL, NULL, NULL, NULL, ref, k, file_path, byte_offset FROM s WHERE kind = 'N' AND before = 'S'
+)
+"""
+
+
+def parsed(spark: SparkSession, sf_dir: str):
+    return parse_logs(event_lines(spark, sf_dir), load_config(CONFIG))
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsed(spark, sf_dir).events
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _scalars(df: DataFrame) -> DataFrame:
+    return df.select("id", "event_type", "name", "timestamp", "duration_ms", "parent_id", sorted_json(F.col("data")).alias("data"), "raw_line")
+
+
+QUERIES, SQL = {}, {}
+
+
+def _register(sql: str | None, common: bool = True):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = (_EV if common else "") + sql
+        return f
+
+    return keep
+
+
+_COLUMNS = 'id, event_type, name, "timestamp", duration_ms, parent_id, data, raw_line'
+
+
+@_register("SELECT ref, date_trunc('hour', \"timestamp\") AS hour, count(*) AS n, round(quantile_cont(duration_ms, 0.95), 3) AS p95_ms FROM ev WHERE event_type = 'span' GROUP BY ALL")
+def w1_span_stats(spark, sf_dir):
+    """The flagship: request spans by user and hour."""
+    spans = metrics.bucketed(events(spark, sf_dir).where("event_type = 'span'"))
+    return spans.groupBy(F.col("data")["ref"].alias("ref"), F.col("bucket").alias("hour")).agg(F.count("*").alias("n"), F.round(F.percentile("duration_ms", F.lit(0.95)), 3).alias("p95_ms"))
+
+
+@_register("SELECT file_path, byte_offset, line FROM line")
+def log_lines(spark, sf_dir):
+    return event_lines(spark, sf_dir)
+
+
+@_register(f"SELECT {_COLUMNS} FROM ev")
+def parse_events(spark, sf_dir):
+    return _scalars(events(spark, sf_dir))
+
+
+@_register(f"""SELECT file_path, 'request' AS parser_name, ref, {_uuid("request", "s_at")} AS id, s_ts AS "timestamp", s_line AS raw_line FROM (
+  SELECT file_path, ref, arg_max(kind, byte_offset) AS kind, max(CASE WHEN opens THEN byte_offset END) AS s_at, arg_max(ts_, CASE WHEN opens THEN byte_offset END) AS s_ts,
+    arg_max(line, CASE WHEN opens THEN byte_offset END) AS s_line FROM o WHERE kind <> 'N' GROUP BY file_path, ref) WHERE kind = 'S'""")
+def open_spans(spark, sf_dir):
+    return parsed(spark, sf_dir).pending.select("file_path", "parser_name", F.col("span_ref")[0].alias("ref"), "id", "timestamp", "raw_line")
+
+
+@_register("SELECT file_path, 'request' AS parser, 'duplicate start' AS reason, count(*) AS n FROM o WHERE kind = 'S' AND NOT opens GROUP BY file_path")
+def diagnostics(spark, sf_dir):
+    return parsed(spark, sf_dir).diagnostics
+
+
+@_register("""SELECT file_path, 'app_log' AS parser, count(*) AS matched, count(*) AS claimed, CAST(0 AS BIGINT) AS shadowed FROM line WHERE kind = 'L' GROUP BY file_path
+UNION ALL SELECT file_path, 'request', count(*), count(*) FILTER (opens OR (kind <> 'S' AND before = 'S')), 0 FROM o GROUP BY file_path""")
+def coverage(spark, sf_dir):
+    lines, parsers = event_lines(spark, sf_dir), load_config(CONFIG)
+    return pattern_coverage(lines, parsers, parse_logs(lines, parsers))
+
+
+@_register("""SELECT id, event_type AS kind, name, strftime("timestamp", '%Y-%m-%d %H:%M:%S') AS shown_at, duration_ms FROM ev""")
+def viewer_rows(spark, sf_dir):
+    return query.rows_view(events(spark, sf_dir))
+
+
+@_register("""SELECT id, replace(raw_line, chr(10), ' - ') AS raw, CAST(generate_subscripts(ks, 1) - 1 AS INTEGER) AS position, unnest(ks) AS key, json_extract_string(data, '$.' || unnest(ks)) AS value
+FROM (SELECT *, json_keys(data) AS ks FROM ev)""")
+def event_details(spark, sf_dir):
+    return query.detail(events(spark, sf_dir))
+
+
+@_register("""SELECT id, event_type, name, "timestamp", has_more FROM (SELECT *, count(*) OVER () > 50 AS has_more FROM (SELECT * FROM ev ORDER BY "timestamp" DESC, id LIMIT 51)) ORDER BY "timestamp" DESC, id LIMIT 50""")
+def page_1(spark, sf_dir):
+    return query.page(events(spark, sf_dir), 1).select("id", "event_type", "name", "timestamp", "has_more")
+
+
+@_register("""SELECT id, event_type, name, "timestamp", has_more FROM (SELECT *, count(*) OVER () > 50 AS has_more FROM (SELECT * FROM ev ORDER BY "timestamp" DESC, id LIMIT 51 OFFSET 4950)) ORDER BY "timestamp" DESC, id LIMIT 50""")
+def page_100(spark, sf_dir):
+    return query.page(events(spark, sf_dir), 100).select("id", "event_type", "name", "timestamp", "has_more")
+
+
+@_register("SELECT count(*) AS total FROM ev WHERE event_type = 'single' AND name ILIKE '%OT%'")
+def matched_total(spark, sf_dir):
+    rows = events(spark, sf_dir)
+    return rows.where(filters.kind_filter("single") & filters.name_contains(" OT ")).agg(F.count("*").alias("total"))
+
+
+_SEARCHES = {
+    "slow": (Filter().with_duration("gte", 3_600_000), "duration_ms >= 3600000"),
+    "duration_in": (Filter().with_duration("in", [0, 1000, 60_000]), "duration_ms IN (0, 1000, 60000)"),
+    "january_tenth": (Filter().with_timestamp("gte", "2024-01-10 00:00:00").with_timestamp("lt", "2024-01-11 00:00:00"), "\"timestamp\" >= '2024-01-10' AND \"timestamp\" < '2024-01-11'"),
+    "time_like": (Filter().with_timestamp("like", "2024-01-1%"), "strftime(\"timestamp\", '%Y-%m-%d %H:%M:%S') LIKE '2024-01-1%'"),
+    "errors": (Filter().with_data("level", "eq", "ERROR"), "level = 'ERROR'"),
+    "cents_like": (Filter().with_data("cents", "like", "1%"), "cents LIKE '1%'"),
+    "name_in": (Filter().with_name("in", ["note", "request"]), "name IN ('note', 'request')"),
+    "name_none": (Filter().with_name("in", []), "false"),
+    "name_like": (Filter().with_name("like", "REQ%"), "name ILIKE 'REQ%'"),
+    "either": (Filter(filters.or_([filters.data("status", "eq", "500"), filters.data("level", "eq", "ERROR")])), "status = '500' OR level = 'ERROR'"),
+    "both": (Filter(filters.and_([filters.or_([filters.name("eq", "note"), filters.duration("gt", 1000)]), filters.timestamp("gt", "2024-01-15")])), "(name = 'note' OR duration_ms > 1000) AND \"timestamp\" > '2024-01-15'"),
+    "orphans": (Filter().with_parent_id("gte", "8"), "parent_id >= '8'"),
+    "id_lte": (Filter().with_id("lte", "8"), "id <= '8'"),
+    "all": (Filter(), "true"),
+}
+
+
+@_register(" UNION ALL ".join(f"SELECT '{n}' AS search, count(*) AS n FROM ev WHERE {sql}" for n, (_, sql) in _SEARCHES.items()))
+def saved_searches(spark, sf_dir):
+    return query.saved_searches(events(spark, sf_dir), {n: f for n, (f, _) in _SEARCHES.items()})
+
+
+@_register(f"SELECT {_COLUMNS} FROM ev WHERE (name = 'note' OR duration_ms > 1000) AND \"timestamp\" > '2024-01-15'")
+def filtered_events(spark, sf_dir):
+    return _scalars(_SEARCHES["both"][0].apply(events(spark, sf_dir)))
+
+
+@_register("SELECT id, name, \"timestamp\" FROM ev WHERE lower(raw_line) LIKE '%status=500%' AND lower(raw_line) LIKE '%op=op1%'")
+def full_text(spark, sf_dir):
+    return query.full_text(events(spark, sf_dir), ["STATUS=500", "op=op1"]).select("id", "name", "timestamp")
+
+
+@_register("SELECT id, \"timestamp\" FROM ev WHERE \"timestamp\" >= TIMESTAMP '2024-01-25' - INTERVAL 48 HOUR AND name ILIKE '%app%' AND level = 'ERROR' AND cents LIKE '1%'")
+def combined_search(spark, sf_dir):
+    found = query.combined(events(spark, sf_dir), NOW, timedelta(hours=48), name="app", level="error", filter_=Filter().with_data("cents", "like", "1%"))
+    return found.select("id", "timestamp")
+
+
+_HOUR = "date_trunc('hour', \"timestamp\")"
+
+
+@_register(f"""SELECT b.bucket, b.name, coalesce(n, 0) AS n FROM (
+  SELECT name, unnest(generate_series(min({_HOUR}), max({_HOUR}), INTERVAL 1 HOUR)) AS bucket FROM ev GROUP BY name) b
+LEFT JOIN (SELECT {_HOUR} AS bucket, name, count(*) AS n FROM ev GROUP BY ALL) c USING (bucket, name)""")
+def counts_by_name(spark, sf_dir):
+    return metrics.counts(events(spark, sf_dir))
+
+
+@_register(f"SELECT {_HOUR} AS bucket, level, count(*) AS n FROM ev GROUP BY ALL")
+def counts_by_level(spark, sf_dir):
+    return metrics.counts(metrics.with_level(events(spark, sf_dir)), "level", fill=False)
+
+
+@_register(f"SELECT {_HOUR} AS bucket, count(*) AS n, count(*) FILTER (level = 'ERROR') AS errors, round(count(*) FILTER (level = 'ERROR') / count(*), 3) AS rate FROM ev GROUP BY ALL")
+def error_rate(spark, sf_dir):
+    return metrics.error_rate(events(spark, sf_dir))
+
+
+@_register(f"SELECT {_HOUR} AS bucket, name, count(*) AS n, min(duration_ms) AS min_ms, max(duration_ms) AS max_ms, round(avg(duration_ms), 3) AS avg_ms FROM ev GROUP BY ALL")
+def duration_stats(spark, sf_dir):
+    return metrics.durations(events(spark, sf_dir))
+
+
+@_register(f"""SELECT {_HOUR} AS bucket, name, round(quantile_cont(duration_ms, 0.5), 3) AS p50, round(quantile_cont(duration_ms, 0.95), 3) AS p95, round(quantile_cont(duration_ms, 0.99), 3) AS p99
+FROM ev WHERE event_type = 'span' GROUP BY ALL""")
+def duration_percentiles(spark, sf_dir):
+    return metrics.percentiles(events(spark, sf_dir))
+
+
+@_register("""SELECT id AS root_id, id, 0 AS depth, name AS path FROM ev WHERE parent_id IS NULL
+UNION ALL SELECT p.id, c.id, 1, p.name || ';' || c.name FROM ev c JOIN ev p ON c.parent_id = p.id""")
+def tree_paths(spark, sf_dir):
+    return tree.tree_paths(events(spark, sf_dir)).select("root_id", "id", "depth", F.array_join("path", ";").alias("path"))
+
+
+@_register("""SELECT id AS root_id, id, name, 0 AS depth, CAST(0 AS BIGINT) AS start_offset_ms, duration_ms FROM ev WHERE parent_id IS NULL
+UNION ALL SELECT p.id, c.id, c.name, 1, CAST((epoch_us(c."timestamp") - epoch_us(p."timestamp")) // 1000 AS BIGINT), c.duration_ms FROM ev c JOIN ev p ON c.parent_id = p.id""")
+def waterfall(spark, sf_dir):
+    return tree.waterfall(events(spark, sf_dir))
+
+
+@_register("SELECT name AS stack, CAST(sum(greatest(0, duration_ms)) AS BIGINT) AS self_ms FROM ev WHERE event_type = 'span' GROUP BY name")
+def folded_stacks(spark, sf_dir):
+    return tree.folded(events(spark, sf_dir))
+
+
+_RULES = {"errors": Filter().with_data("level", "eq", "ERROR"), "slow": Filter().with_duration("gt", 5000)}
+_MATCH = """, rule AS (SELECT 'errors' AS rule, id, "timestamp" FROM ev WHERE level = 'ERROR' UNION ALL SELECT 'slow', id, "timestamp" FROM ev WHERE duration_ms > 5000)
+, burst AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY rule ORDER BY "timestamp" RANGE BETWEEN INTERVAL 60 MINUTE PRECEDING AND CURRENT ROW) AS recent FROM rule) WHERE recent > 4)
+"""
+
+
+@_register(_MATCH + 'SELECT rule, id, "timestamp" FROM rule')
+def alert_matches(spark, sf_dir):
+    return alerts.matching(events(spark, sf_dir), _RULES).select("rule", "id", "timestamp")
+
+
+def _bursts(spark, sf_dir):
+    return alerts.bursts(alert_matches(spark, sf_dir), more_than=4, minutes=60)
+
+
+@_register(_MATCH + 'SELECT rule, id, "timestamp", recent FROM burst')
+def alert_bursts(spark, sf_dir):
+    return _bursts(spark, sf_dir)
+
+
+@_register(_MATCH + """SELECT rule, min("timestamp") AS fired_at, max("timestamp") AS last_at, count(*) AS matched, max("timestamp") + INTERVAL 60 MINUTE AS resolved_at FROM (
+  SELECT *, sum(CASE WHEN prev IS NULL OR "timestamp" > prev + INTERVAL 60 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY rule ORDER BY "timestamp", id) AS island FROM (
+    SELECT *, lag("timestamp") OVER (PARTITION BY rule ORDER BY "timestamp", id) AS prev FROM burst)) GROUP BY rule, island""")
+def alert_history(spark, sf_dir):
+    return alerts.history(_bursts(spark, sf_dir), minutes=60)
+
+
+@_register(_MATCH + """SELECT rule, id, "timestamp" FROM rule WHERE NOT EXISTS (
+  SELECT 1 FROM (SELECT 'errors' AS r, \"timestamp\" AS a FROM ev WHERE duration_ms > 86400000) q WHERE r = rule AND "timestamp" >= a AND "timestamp" < a + INTERVAL 30 MINUTE)""")
+def unsilenced_alerts(spark, sf_dir):
+    """Errors are silenced for half an hour from the start of each span of over a day."""
+    rows = events(spark, sf_dir)
+    quiet = rows.where("duration_ms > 86400000").select(F.lit("errors").alias("rule"), F.col("timestamp").alias("start"), F.expr("timestamp + interval 30 minutes").alias("stop"))
+    return alerts.unsilenced(alert_matches(spark, sf_dir), quiet)
+
+
+@_register("""SELECT after_id, ref, before_id, wait_ms FROM (
+  SELECT a.id AS after_id, a.ref, b.id AS before_id, CAST((epoch_us(b."timestamp") - epoch_us(a."timestamp")) // 1000 - a.duration_ms AS BIGINT) AS wait_ms,
+    row_number() OVER (PARTITION BY a.id ORDER BY (epoch_us(b."timestamp") - epoch_us(a."timestamp")) // 1000 - a.duration_ms, b.id) AS n
+  FROM ev a JOIN ev b ON a.ref = b.ref AND a.event_type = 'span' AND b.event_type = 'span' AND a.id <> b.id
+  WHERE (epoch_us(b."timestamp") - epoch_us(a."timestamp")) // 1000 - a.duration_ms BETWEEN 0 AND 86400000) WHERE n = 1""")
+def queue_wait(spark, sf_dir):
+    return alerts.queue_wait(events(spark, sf_dir), "request", "request", "ref", 86_400_000)
+
+
+@_register(f"SELECT {_COLUMNS} FROM ev WHERE NOT (name = 'app_log' AND \"timestamp\" < TIMESTAMP '2024-01-25' - INTERVAL 7 DAY) AND NOT (name = 'note' AND \"timestamp\" < TIMESTAMP '2024-01-25' - INTERVAL 2 DAY)")
+def retained_events(spark, sf_dir):
+    return _scalars(store.retained(events(spark, sf_dir), {"app_log": 7, "note": 2}, NOW))
+
+
+@_register("SELECT strftime(\"timestamp\", '%Y-%m') AS event_month, count(*) AS n FROM ev GROUP BY 1")
+def stored_months(spark, sf_dir):
+    """Written by month, written again without effect, and read back."""
+    path = _scratch(spark, "events")
+    rows = events(spark, sf_dir)
+    store.append_events(rows, path)
+    store.append_events(rows, path)
+    return spark.read.parquet(path).groupBy(F.col("event_month").cast("string").alias("event_month")).agg(F.count("*").alias("n"))
+
+
+@_register("""SELECT id, event_type, name, "timestamp", CASE WHEN event_type = 'span' THEN duration_ms END AS duration_ms, parent_id, data, raw_line,
+  CASE WHEN event_type = 'span' THEN split_part(raw_line, chr(10), 1) END AS raw_start, CASE WHEN event_type = 'span' THEN split_part(raw_line, chr(10), 2) END AS raw_end FROM ev""")
+def row_encoding(spark, sf_dir):
+    rows = store.decode_rows(store.encode_rows(events(spark, sf_dir)))
+    return rows.withColumn("data", sorted_json(F.col("data")))
+
+
+@_register("SELECT id, event_type, name, strftime(\"timestamp\", '%Y-%m-%d %H:%M:%S') AS \"timestamp\", duration_ms, parent_id, data, raw_line FROM ev")
+def export_rows(spark, sf_dir):
+    return store.export_rows(events(spark, sf_dir))
+
+
+@_register("SELECT 'app-' || CAST(user_id % 4 AS VARCHAR) || '.log' AS file_path, arg_max(event_id, event_id) AS cursor FROM events GROUP BY 1", common=False)
+def file_cursors(spark, sf_dir):
+    saves = event_lines(spark, sf_dir).select("file_path", F.col("byte_offset").alias("cursor"), F.col("byte_offset").alias("seq"))
+    return store.latest_cursors(saves)
+
+
+@_register("""SELECT f.file_path, CASE WHEN p.file_path IS NOT NULL THEN least(f.size, f.size // 2) ELSE f.size END AS "offset" FROM (SELECT file_path, max(byte_offset) AS size FROM line GROUP BY 1) f
+LEFT JOIN (SELECT DISTINCT file_path FROM (SELECT file_path, ref, arg_max(kind, byte_offset) AS kind FROM o WHERE kind <> 'N' GROUP BY ALL) WHERE kind = 'S') p USING (file_path)""")
+def resume_offsets(spark, sf_dir):
+    files = event_lines(spark, sf_dir).groupBy("file_path").agg(F.max("byte_offset").alias("size"))
+    return store.resume(files, files.select("file_path", F.floor(F.col("size") / 2).alias("cursor")), parsed(spark, sf_dir).pending)
+
+
+@_register("""SELECT event_id, date_trunc('second', ts) AS "timestamp", date_trunc('day', ts) AS day FROM events""", common=False)
+def date_texts(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select("event_id", short_date(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("timestamp"), short_date(F.date_format("ts", "yyyy-MM-dd")).alias("day"))
+
+
+def _as_text(spark, sf_dir, logfmt: bool) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("timestamp", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    text = F.format_string('timestamp="%s" level=x level=%s user=%d msg="say \\"hi\\" to %d"', "timestamp", "event_type", "user_id", "user_id") if logfmt else F.to_json(F.struct("timestamp", F.col("event_type").alias("level"), F.col("user_id").alias("user")))
+    return e.select(F.lit("in").alias("file_path"), F.col("event_id").alias("byte_offset"), text.alias("line"))
+
+
+@_register("SELECT event_id, date_trunc('second', ts) AS \"timestamp\", event_type AS level, CAST(user_id AS VARCHAR) AS user FROM events", common=False)
+def json_ingest(spark, sf_dir):
+    lines = _as_text(spark, sf_dir, False)
+    found = formats.json_events(lines)
+    keyed = lines.select("byte_offset", formats.event_id("json", F.col("file_path"), F.col("byte_offset")).alias("id"))
+    return found.join(keyed, "id").select(F.col("byte_offset").alias("event_id"), "timestamp", F.col("data")["level"].alias("level"), F.col("data")["user"].alias("user"))
+
+
+@_register("SELECT event_id, date_trunc('second', ts) AS \"timestamp\", event_type AS level, 'say \"hi\" to ' || CAST(user_id AS VARCHAR) AS msg FROM events", common=False)
+def logfmt_ingest(spark, sf_dir):
+    lines = _as_text(spark, sf_dir, True)
+    keyed = lines.select("byte_offset", formats.event_id("logfmt", F.col("file_path"), F.col("byte_offset")).alias("id"))
+    found = formats.logfmt_events(lines).join(keyed, "id")
+    return found.select(F.col("byte_offset").alias("event_id"), "timestamp", F.col("data")["level"].alias("level"), F.col("data")["msg"].alias("msg"))
+
+
+@_register(f"SELECT {_COLUMNS} FROM ev")
+def stream_events(spark, sf_dir):
+    """The lines as a stream of four batches in line order; open spans cross the batches."""
+    root = _scratch(spark, "stream")
+    lines = event_lines(spark, sf_dir)
+    most = lines.agg(F.max("byte_offset")).first()[0] or 0
+    for k in range(4):  # one file a batch, in order of time
+        part = lines.where((F.col("byte_offset") * 4 >= k * (most + 1)) & (F.col("byte_offset") * 4 < (k + 1) * (most + 1)))
+        part.coalesce(1).write.mode("append").parquet(f"{root}/lines")
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/lines")
+    start_ingest(stream, load_config(CONFIG), root).awaitTermination()
+    return _scalars(spark.read.parquet(f"{root}/events").drop("batch"))
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -22,9 +22,7 @@ def bursts(matches: DataFrame, more_than: int, minutes: int, keys: tuple[str, ..
     bucket after its own. A busy rule is so many partitions, not one.
     """
     seconds = minutes * 60
-    epoch = F.unix_timestamp(F.col("timestamp").cast("timestamp"))
     rows = matches.withColumn("_s", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', timestamp)")).withColumn("_b", F.floor(F.col("_s") / (seconds * 1_000_000)))
-    del epoch
     rows = rows.withColumn("_in", F.explode(F.array("_b", F.col("_b") + 1)))
     frame = W.partitionBy(*keys, "_in").orderBy("_s").rangeBetween(-seconds * 1_000_000, 0)
     return rows.withColumn("recent", F.count("*").over(frame)).where((F.col("_in") == F.col("_b")) & (F.col("recent") > more_than)).drop("_s", "_b", "_in")

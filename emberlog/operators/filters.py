@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,8 +12,14 @@ _ORDER = {"eq": lambda c, v: c == v, "gt": lambda c, v: c > v, "lt": lambda c, v
 
 
 class Expr:
-    def __init__(self, column: Column, op: str = "cmp", parts: list["Expr"] | None = None) -> None:
-        self.column, self.op, self.parts = column, op, parts or []
+    """A checked comparison or combination; its column is made when it is asked for, so none needs a session before."""
+
+    def __init__(self, make: Callable[[], Column], op: str = "cmp", parts: list["Expr"] | None = None) -> None:
+        self.make, self.op, self.parts = make, op, parts or []
+
+    @property
+    def column(self) -> Column:
+        return self.make()
 
 
 def _like(column: Column, pattern: str, case_sensitive: bool) -> Column:
@@ -20,56 +27,60 @@ def _like(column: Column, pattern: str, case_sensitive: bool) -> Column:
     return column.like(pattern) if case_sensitive else column.ilike(pattern)
 
 
-def _compare(column: Column, op: str, value, text: Column | None = None, cast: str = "string", case_sensitive: bool = False) -> Expr:
+def _compare(column: Callable[[], Column], op: str, value, text: Callable[[], Column] | None = None, cast: str = "string", case_sensitive: bool = False) -> Expr:
     if op == "like":
         if text is None:
             raise ValueError("like isn't allowed here")
-        return Expr(_like(text, value, case_sensitive))
+        return Expr(lambda: _like(text(), value, case_sensitive))
     if op == "in":
-        return Expr(column.isin([F.lit(v).cast(cast) for v in value]) if value else F.lit(False))
+        return Expr(lambda: column().isin([F.lit(v).cast(cast) for v in value]) if value else F.lit(False))
     if op not in _ORDER:
         raise ValueError(f"unknown comparison {op!r}")
-    return Expr(_ORDER[op](column, F.lit(value).cast(cast)))
+    return Expr(lambda: _ORDER[op](column(), F.lit(value).cast(cast)))
+
+
+def _text(field: str) -> Callable[[], Column]:
+    return lambda: F.col(field)
 
 
 def name(op: str, value, **kw) -> Expr:
-    return _compare(F.col("name"), op, value, F.col("name"), **kw)
+    return _compare(_text("name"), op, value, _text("name"), **kw)
 
 
 def event_id(op: str, value, **kw) -> Expr:
-    return _compare(F.col("id"), op, value, F.col("id"), **kw)
+    return _compare(_text("id"), op, value, _text("id"), **kw)
 
 
 def parent_id(op: str, value, **kw) -> Expr:
-    return _compare(F.col("parent_id"), op, value, F.col("parent_id"), **kw)
+    return _compare(_text("parent_id"), op, value, _text("parent_id"), **kw)
 
 
 def timestamp(op: str, value, **kw) -> Expr:
-    return _compare(F.col("timestamp"), op, value, F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"), cast="timestamp_ntz", **kw)
+    return _compare(_text("timestamp"), op, value, lambda: F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"), cast="timestamp_ntz", **kw)
 
 
 def duration(op: str, value) -> Expr:
     """Milliseconds; single events have none and never match."""
-    return _compare(F.col("duration_ms"), op, value, None, cast="long")
+    return _compare(_text("duration_ms"), op, value, None, cast="long")
 
 
 def data(field: str, op: str, value: str, case_sensitive: bool = False) -> Expr:
     """A payload field, eq or like; an event without the field doesn't match."""
     if op not in ("eq", "like"):
         raise ValueError(f"{op!r} isn't allowed on data fields")
-    return _compare(F.col("data")[field], op, value, F.col("data")[field], case_sensitive=case_sensitive)
+    return _compare(lambda: F.col("data")[field], op, value, lambda: F.col("data")[field], case_sensitive=case_sensitive)
 
 
 def and_(parts: list[Expr]) -> Expr:
     if not parts:
         raise ValueError("and_ of nothing")
-    return Expr(reduce(lambda a, b: a & b, [p.column for p in parts]), "and", parts)
+    return Expr(lambda: reduce(lambda a, b: a & b, [p.column for p in parts]), "and", parts)
 
 
 def or_(parts: list[Expr]) -> Expr:
     if not parts:
         raise ValueError("or_ of nothing")
-    return Expr(reduce(lambda a, b: a | b, [p.column for p in parts]), "or", parts)
+    return Expr(lambda: reduce(lambda a, b: a | b, [p.column for p in parts]), "or", parts)
 
 
 class Filter:
