@@ -192,7 +192,7 @@ def family_links(held: DataFrame, docs: DataFrame) -> DataFrame:
     family = family.join(sizes, "pivot").withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")))
     family = family.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     family = family.select("pivot", "a", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    texts = docs.join(family.select(F.col("a").alias("id")).distinct(), "id", "left_semi").groupBy(F.col("id").alias("a")).agg(F.min("text").alias("text"))
+    texts = docs.join(family.select(F.col("a").alias("id")).distinct().hint("merge"), "id", "left_semi").groupBy(F.col("id").alias("a")).agg(F.min("text").alias("text"))
     found = family.join(texts, "a").groupBy("pivot", "i", "j").applyInArrow(_family, "a long, b long").distinct()
     found = written(found, "jaccard-links")
     release(docs.sparkSession)
@@ -215,9 +215,10 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) that link, by the whole shingle sets of the texts of both documents."""
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = written(docs.join(wanted, "id", "left_semi"), "jaccard-texts")
+    # Nothing here has a size bound, so no side is broadcast, however small it may be now.
+    texts = written(docs.join(wanted.hint("merge"), "id", "left_semi"), "jaccard-texts")
     release(docs.sparkSession)
-    sides = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "s"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "t"}), "b")
+    sides = pairs.hint("merge").join(texts.withColumnsRenamed({"id": "a", "text": "s"}), "a").hint("merge").join(texts.withColumnsRenamed({"id": "b", "text": "t"}), "b")
     found = written(sides.select("a", "b", "s", "t").mapInArrow(_linked, "a long, b long").distinct(), "jaccard-links")
     discard(texts)
     release(docs.sparkSession)

@@ -223,9 +223,11 @@ def _shard(table: pa.Table) -> pa.Table:
 def window_firsts(distinct_texts: DataFrame, shards: int) -> DataFrame:
     """anchor, tkey and the smallest document by window, for texts (anchor, tkey, first, text)."""
     many = distinct_texts.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > ANCHOR_TEXTS).select("anchor")
-    few = distinct_texts.join(many, "anchor", "left_anti").withColumn("shard", F.pmod("anchor", F.lit(shards)))
+    none = many.isEmpty()
+    few = distinct_texts if none else distinct_texts.join(many, "anchor", "left_anti")
+    few = few.withColumn("shard", F.pmod("anchor", F.lit(shards)))
     found = few.groupBy("shard").applyInArrow(lambda t: _shard(t), "anchor long, tkey long, firsts array<long>")
-    if many.isEmpty():
+    if none:
         return found
     # An anchor with very many texts doesn't fit a shard: its windows are grouped one by one.
     words = F.split(F.col("text").cast("string"), " ")
@@ -290,7 +292,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stretches = asked.mapInArrow(_stretches, "anchor long, id long, mark long, start int, text binary")
     stretched = written(stretches, "repeat-stretches")
     stretches = stretched.withColumn("tkey", F.xxhash64("text"))
-    del asked, wanted, prints, copied, lone
+    del asked, wanted, copied, lone
+    discard(places, prints)
     release(spark)
     texts = written(stretches.groupBy("anchor", "tkey", "text").agg(F.min("id").alias("first")), "repeat-texts")
     release(spark)
@@ -301,7 +304,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spans = hit.select("id", "mark", here.alias("starts")).where(F.size("starts") > 0)
     spans = spans.groupBy("id", "mark").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     spans = written(spans.unionByName(copies.select("id", "mark", F.array(F.lit(ALL)).alias("starts"))), "repeat-spans")
-    discard(stretched, texts, firsts, places)
+    discard(stretched, texts, firsts)
     release(spark)
     out = rows.withColumn("mark", F.xxhash64("text")).join(spans, ["id", "mark"], "left").select("id", "text", "starts")
     return out.mapInArrow(_cut, "id long, n_words long, n_removed long, kept string")
