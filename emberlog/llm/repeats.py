@@ -107,7 +107,7 @@ def joined(words: Words) -> tuple[bytes, np.ndarray]:
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The text of each run of windows whose anchor is a candidate."""
+    """Each run of windows whose anchor is a candidate: first window, number of windows, and a key of its words."""
     for batch in batches:
         ids, marks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "mark"))
         wanted = batch.column("at")
@@ -125,11 +125,38 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
             keep = keys[place] == asked
             lo, hi, doc = lo[keep], hi[keep], doc[keep]
+            windows = hi - lo + 1
+            key = run_keys(words.hash, start[lo], windows + WINDOW - 1)
+            yield pa.RecordBatch.from_pydict({
+                "anchor": pa.array(g[at[lo]].view(np.int64)), "tkey": pa.array(key.view(np.int64)), "id": pa.array(ids[doc]), "mark": pa.array(marks[doc]),
+                "start": pa.array((start[lo] - bounds[doc - words.lo]).astype(np.int32)), "n": pa.array(windows.astype(np.int32)),
+            })
+
+
+def run_keys(h: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of runs of words, given by first word and number of words; a run has 2 * WINDOW - GRAM words at most."""
+    by = seeds(2 * WINDOW, 11)
+    key = size.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(int(size.max(initial=0))):
+            on = np.flatnonzero(size > k)
+            key[on] += h[first[on] + k] * by[k]
+    return mix(key)
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of the runs that are asked of each document."""
+    for batch in batches:
+        asked, rows_of = batch.column("asked").to_pylist(), list(zip(batch.column("id").to_pylist(), batch.column("mark").to_pylist()))
+        asked = [[] if k and rows_of[k - 1] == r else x for k, (r, x) in enumerate(zip(rows_of, asked))]  # repeated rows lie together
+        for words in hashed(batch.column("text")):
             text, where = joined(words)
-            a, b = where[start[lo]], where[start[hi] + WINDOW] - 1
+            bounds = words.bounds()
+            rows = [(x["anchor"], x["tkey"], d, int(bounds[d - words.lo]) + x["start"], x["n"]) for d in range(words.lo, words.hi) for x in asked[d]]
             yield pa.RecordBatch.from_pydict({
-                "anchor": pa.array(g[at[lo]].view(np.int64)), "id": pa.array(ids[doc]), "mark": pa.array(marks[doc]),
-                "start": pa.array((start[lo] - bounds[doc - words.lo]).astype(np.int32)), "text": pa.array([text[x:y] for x, y in zip(a.tolist(), b.tolist())], pa.binary()),
+                "anchor": pa.array([r[0] for r in rows], pa.int64()), "tkey": pa.array([r[1] for r in rows], pa.int64()),
+                "first": batch.column("id").take(pa.array([r[2] for r in rows], pa.int64())),
+                "text": pa.array([text[where[a] : where[a + n + WINDOW - 1] - 1] for _, _, _, a, n in rows], pa.binary()),
             })
 
 
@@ -268,7 +295,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each window has an anchor, a 5-gram of it that its content decides, so only windows with an anchor that several
     documents hold can be repeated, and their text goes to the reference shard of the anchor. A shard builds suffix
     automata of bounded size of its distinct texts, whose states know the smallest document, and streams the texts through
-    them for matching statistics. An anchor with very many texts is settled window by window.
+    them for matching statistics. Only keys of texts are shuffled to find the anchors with several; where an anchor has
+    one text, its first document is known without an automaton. An anchor with very many texts is settled window by window.
 
     Null texts have no words. Rows with null ids neither lose words nor make others lose them. Rows that share an id
     don't cut each other; repeated rows are cut alike. Other columns are ignored. An empty table gives an empty result.
@@ -289,22 +317,33 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = written(prints.join(copied, "print").where("id > first").join(lone, "id", "left_semi").select("id", "mark"), "repeat-copies")
     wanted = places.groupBy("id").agg(F.collect_set("at").alias("at"))
     asked = named.withColumn("mark", F.xxhash64("text")).join(wanted.join(copies.select("id"), "id", "left_anti"), "id").select("id", "mark", "text", "at")
-    stretches = asked.mapInArrow(_stretches, "anchor long, id long, mark long, start int, text binary")
-    stretched = written(stretches, "repeat-stretches")
-    stretches = stretched.withColumn("tkey", F.xxhash64("text"))
+    stretches = written(asked.mapInArrow(_stretches, "anchor long, tkey long, id long, mark long, start int, n int"), "repeat-stretches")
     del asked, wanted, copied, lone
     discard(places, prints)
     release(spark)
-    texts = written(stretches.groupBy("anchor", "tkey", "text").agg(F.min("id").alias("first")), "repeat-texts")
+    # Runs of one anchor with one and the same text are their first document's; texts are only fetched, each from its
+    # first document, where an anchor has several.
+    heads = written(stretches.groupBy("anchor", "tkey").agg(F.min("id").alias("first"), F.min("n").alias("n"), *[F.min_by(c, "id").alias(c) for c in ("mark", "start")]), "repeat-heads")
+    release(spark)
+    unlike = written(heads.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor"), "repeat-unlike")
+    asked = heads.join(unlike, "anchor", "left_semi")
+    asked = asked.groupBy(F.col("first").alias("id"), "mark").agg(F.collect_list(F.struct("anchor", "tkey", "start", "n")).alias("asked"))
+    fetched = named.withColumn("mark", F.xxhash64("text")).join(asked, ["id", "mark"]).select("id", "mark", "text", "asked")
+    texts = written(fetched.mapInArrow(_texts, "anchor long, tkey long, first long, text binary"), "repeat-texts")
+    del asked, fetched
     release(spark)
     firsts = written(window_firsts(texts, int(max(1, texts.count() // SHARD_TEXTS))), "repeat-firsts")
+    discard(texts)
     release(spark)
-    hit = stretches.select("anchor", "tkey", "id", "mark", "start").join(firsts, ["anchor", "tkey"])
+    alike = heads.join(unlike, "anchor", "left_anti").select("anchor", "tkey", "first", F.lit(None).cast("array<long>").alias("firsts"))
+    every = alike.unionByName(firsts.select("anchor", "tkey", F.lit(None).cast("long").alias("first"), "firsts"))
+    hit = stretches.join(every, ["anchor", "tkey"]).where("firsts is not null or first < id")
     here = F.filter(F.transform("firsts", lambda x, k: F.when(x < F.col("id"), F.col("start") + k)), lambda x: x.isNotNull())
-    spans = hit.select("id", "mark", here.alias("starts")).where(F.size("starts") > 0)
+    whole = F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)
+    spans = hit.select("id", "mark", F.when(F.col("firsts").isNull(), whole).otherwise(here).alias("starts")).where(F.size("starts") > 0)
     spans = spans.groupBy("id", "mark").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     spans = written(spans.unionByName(copies.select("id", "mark", F.array(F.lit(ALL)).alias("starts"))), "repeat-spans")
-    discard(stretched, texts, firsts)
+    discard(stretches, heads, unlike, firsts)
     release(spark)
     out = rows.withColumn("mark", F.xxhash64("text")).join(spans, ["id", "mark"], "left").select("id", "text", "starts")
     return out.mapInArrow(_cut, "id long, n_words long, n_removed long, kept string")
