@@ -5,17 +5,21 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberlog.llm.common import read, small_batches, written
+from emberlog.llm.common import discard, read, small_batches, written
 
 #: A shared line says that two documents overlap if it has so many characters at least.
 MIN_CHARS = 20
 BLANK = 0
+#: Each round of further holders tries so many times as many as all before it.
+MORE = 4
 
 
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -35,9 +39,58 @@ def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+#: Bits kept at once to trace a longest common subsequence; a larger one is halved first.
+LCS_BITS = 1 << 28
+
+
+def _rows(a: list[int], b: list[int]) -> Iterator[int]:
+    """After each line of a: bit k is clear where b[:k + 1] has a longer common subsequence with a's lines so far than b[:k]."""
+    places: dict[int, int] = {}
+    for k, x in enumerate(b):
+        places[x] = places.get(x, 0) | 1 << k
+    every = row = (1 << len(b)) - 1
+    for x in a:
+        both = row & places.get(x, 0)
+        row = ((row + both) | (row - both)) & every
+        yield row
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Lengths of the longest common subsequences of a and b[:0], b[:1], .."""
+    row = 0
+    for row in _rows(a, b):
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.append(0, np.cumsum(1 - bits.astype(np.int64)))
+
+
+def common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, in no order, by bit-parallel rows; memory is bounded by halving a."""
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        x, y = a[a0:a1], b[b0:b1]
+        if len(x) > 1 and len(x) * len(y) > LCS_BITS:
+            half = len(x) // 2
+            at = int(np.argmax(_lengths(x[:half], y) + _lengths(x[half:][::-1], y[::-1])[::-1]))
+            todo += [(a0, a0 + half, b0, b0 + at), (a0 + half, a1, b0 + at, b1)]
+            continue
+        rows = [(1 << len(y)) - 1, *_rows(x, y)]
+        i, j = len(x), len(y)
+        while i and j:
+            if rows[i] >> (j - 1) & 1:
+                j -= 1
+            elif rows[i - 1] >> (j - 1) & 1:
+                i, j = i - 1, j - 1
+                out.append((a0 + i, b0 + j))
+            else:
+                i -= 1
+    return out
+
+
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Aligned places of equal lines by patience diff: common heads and tails, then lines unique on both sides as anchors,
-    and so on between the anchors. Without recursion, so long documents are fine."""
+    and so on between the anchors; a longest common subsequence where there are none. Without recursion, so long documents are fine."""
     out, todo = [], [(0, len(a), 0, len(b))]
     while todo:
         a0, a1, b0, b1 = todo.pop()
@@ -57,6 +110,9 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             a0, b0 = x, y  # the anchor opens the next part, as its head
         if anchors:
             todo.append((a0, a1, b0, b1))
+            continue
+        xs, ys = ([k for k in range(lo, hi) if side[k] != BLANK and side[k] in other] for side, lo, hi, other in ((a, a0, a1, in_b), (b, b0, b1, in_a)))
+        out += [(xs[i], ys[j]) for i, j in common([a[k] for k in xs], [b[k] for k in ys])]
     return sorted(out)
 
 
@@ -65,14 +121,44 @@ def aligned_blocks(earlier: list[int], later: list[int]) -> list[int]:
     return [y for x, y in patience(earlier, later) if later[y] != BLANK]
 
 
+def _shown() -> tuple[Column, Column]:
+    """Of a row's lines: keys that show an overlap, with the places that they stand for; and the other lines likewise."""
+    marked = F.transform(F.arrays_zip("lines", "long"), lambda x, k: F.struct(x["lines"].alias("line"), x["long"].alias("long"), k.alias("at")))
+    lines = F.filter(marked, lambda x: x["line"] != BLANK)
+    one = lambda x: F.struct(x["line"].alias("key"), F.array(x["at"]).alias("at"))
+    return F.transform(F.filter(lines, lambda x: x["long"]), one), F.transform(F.filter(lines, lambda x: ~x["long"]), one)
+
+
+def _aligned(pairs: DataFrame, later: DataFrame, earlier: DataFrame) -> DataFrame:
+    """The places to cut of each pair's later document, where there are any."""
+    sides = pairs.join(later.select("id", "mark", F.col("lines").alias("b")), ["id", "mark"]).join(earlier.select("first", F.col("lines").alias("a")), "first").select("id", "mark", "a", "b")
+    schema = T.StructType([sides.schema["id"], sides.schema["mark"], T.StructField("cut", T.ArrayType(T.IntegerType()))])
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cut = [aligned_blocks(a, b) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), pa.array(cut, pa.list_(pa.int32()))], ["id", "mark", "cut"])
+
+    return written(sides.mapInArrow(align, schema).where(F.size("cut") > 0), "line-cut")
+
+
+def _left(shown: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Of keys and their places, those that keep a place that isn't cut."""
+    gone = cuts.select("id", "mark", F.explode("cut").alias("c")).groupBy("id", "mark").agg(F.collect_set("c").alias("gone"))
+    found = shown.join(gone, ["id", "mark"], "left").withColumn("at", F.array_except("at", F.coalesce("gone", F.array().cast("array<int>"))))
+    return found.where(F.size("at") > 0).drop("gone")
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with `text` cut and columns n_lines and n_removed appended (replacing ones of these names).
 
-    Lines are told apart by '\\n' and compared without blanks at their ends. Each line of at least min_chars characters
-    that several documents hold pairs every later holder with its first one (the smallest id), so pairs are at most as
-    many as lines; rare lines give few pairs and common ones one for each holder, none is left out. A pair is aligned by
-    patience diff over line hashes, and the aligned lines that aren't blank go from the later document; texts of the
-    input are aligned, not what is left of them. Blank lines stay.
+    Lines are told apart by '\\n' and compared without blanks at their ends. Documents overlap that share a line of at least
+    min_chars characters. A pair is aligned by patience diff over line hashes, and the aligned lines that aren't blank go
+    from the later document; texts of the input are aligned, not what is left of them. Blank lines stay.
+
+    A later document meets the first holder (the smallest id) of each of its shared lines. A line that stays meets its other
+    earlier holders too (a shorter line those that overlap its document), in rounds of more and more of them, until it
+    goes or has met all. So a line stays only if no earlier document that overlaps its own aligns it. Documents of equal lines are one holder, and all but the first are cut whole.
 
     Null text stays null (no lines); an empty text has one blank line. Rows with null ids are neither first holders nor
     cut. Of rows that share an id, the one with the smallest text hash stands for it as the earlier document, and none
@@ -86,23 +172,57 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hashes = F.transform(F.split(text, "\n"), lambda x: F.when(F.trim(x) == "", F.lit(BLANK).cast("long")).otherwise(F.xxhash64(trimmed(x))))
     long_ones = F.transform(F.split(text, "\n"), lambda x: F.length(F.trim(x)) >= min_chars)
     rows = docs.where(F.col(id_col).isNotNull() & text.isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), hashes.alias("lines"), long_ones.alias("long"))
-    rows = written(rows, "line-hashes")
-    wide = F.array_distinct(F.transform(F.filter(F.arrays_zip("lines", "long"), lambda x: x["long"] & (x["lines"] != BLANK)), lambda x: x["lines"]))
-    held = rows.select("id", "mark", F.explode(wide).alias("line"))
-    shared = held.groupBy("line").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("line", "first")
-    pairs = held.join(shared, "line").where("id <> first").groupBy("id", "mark", "first").agg(F.count("*").alias("n")).drop("n")
-    later = rows.groupBy("id", "mark").agg(F.first("lines").alias("b"))
-    earlier = rows.groupBy("id").agg(F.min_by("lines", "mark").alias("a")).withColumnRenamed("id", "first")
-    sides = pairs.join(later, ["id", "mark"]).join(earlier, "first").select("id", "mark", "a", "b")
-    schema = T.StructType([sides.schema["id"], sides.schema["mark"], T.StructField("cut", T.ArrayType(T.IntegerType()))])
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cut = [aligned_blocks(a, b) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), pa.array(cut, pa.list_(pa.int32()))], ["id", "mark", "cut"])
-
-    cuts = sides.mapInArrow(align, schema).select("id", "mark", F.explode("cut").alias("at")).groupBy("id", "mark").agg(F.collect_set("at").alias("cut"))
-    cuts = written(cuts, "line-cuts").withColumnsRenamed({"id": "__line_id", "mark": "__line_mark", "cut": "__line_cut"})
+    rows = written(rows.groupBy("id", "mark").agg(F.first("lines").alias("lines"), F.first("long").alias("long")), "line-hashes")
+    holders = rows.groupBy("id").agg(F.min_by(F.struct("lines", "long"), "mark").alias("h")).select(F.col("id").alias("first"), "h.*")
+    holders = holders.withColumn("whole", F.xxhash64("lines"))
+    wholes = holders.groupBy("whole").agg(F.min("first").alias("own"))
+    later = rows.withColumn("whole", F.xxhash64("lines")).join(wholes, "whole", "left").withColumn("copy", F.coalesce(F.col("own") < F.col("id"), F.lit(False)))
+    later = written(later.select("id", "mark", "lines", "long", "copy"), "line-later")
+    earlier = written(holders.join(wholes, "whole").where("first = own").select("first", "lines", "long"), "line-earlier")
+    discard(rows)
+    places = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda k: F.get("lines", k) != BLANK)
+    copies = later.where("copy").select("id", "mark", places.alias("cut"))
+    shown, rest = _shown()
+    held = earlier.select("first", F.explode(F.array_distinct(F.transform(F.concat(shown, rest), lambda x: x["key"]))).alias("key"))
+    firsts = held.groupBy("key").agg(F.min("first").alias("first"))
+    met = lambda keys: later.where("not copy").select("id", "mark", F.explode(keys).alias("k")).select("id", "mark", "k.*").join(firsts, "key").where("first < id")
+    keys = written(met(shown), "line-keys")
+    pairs = written(keys.select("id", "mark", "first").distinct(), "line-pairs")
+    cuts = [_aligned(pairs, later, earlier)]
+    keys = keys.drop("first")
+    # Lines that stay: those whose own key proposes, and others of documents with any pair.
+    left = written(_left(keys, cuts[0]), "line-left")
+    others = written(_left(met(rest).drop("first").join(pairs.select("id", "mark").distinct(), ["id", "mark"], "left_semi"), cuts[0]), "line-left")
+    asked = keys.join(others.select("id", "mark").distinct(), ["id", "mark"], "left_semi").select("id", "mark", "key").distinct()
+    asked = written(asked, "line-asked")
+    ranked = held.join(left.select("key").unionByName(asked.select("key")).distinct(), "key", "left_semi")
+    ranked = written(ranked.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("first"))), "line-holders")
+    tables, lo = [later, earlier, pairs, ranked, asked, left, others], 1
+    while True:
+        hi = lo * (MORE + 1)
+        by_key = left.join(ranked.where(f"rank > {lo}"), "key").where("first < id").select("id", "mark", "first", "rank")
+        open_ones = asked.join(others.select("id", "mark").distinct(), ["id", "mark"], "left_semi")
+        by_other = open_ones.join(ranked.where(f"rank > {lo}"), "key").where("first < id").select("id", "mark", "first", "rank")
+        now = by_other.where(f"rank <= {hi}").select("id", "mark", "first").distinct()
+        # Only partners that hold a line that stays can cut more.
+        now = now.join(others.select("id", "mark", "key"), ["id", "mark"]).join(held, ["key", "first"], "left_semi").select("id", "mark", "first")
+        now = now.unionByName(by_key.where(f"rank <= {hi}").select("id", "mark", "first")).distinct().join(pairs, ["id", "mark", "first"], "left_anti")
+        now = written(now, "line-pairs")
+        tables.append(now)
+        if not now.isEmpty():
+            cuts.append(_aligned(now, later, earlier))
+            left, others = written(_left(left, cuts[-1]), "line-left"), written(_left(others, cuts[-1]), "line-left")
+            tables += [left, others]
+            pairs = pairs.unionByName(now)
+        if by_key.unionByName(by_other).where(f"rank > {hi}").isEmpty():
+            break
+        lo = hi
+    found = cuts
+    cuts = reduce(DataFrame.unionByName, found).select("id", "mark", F.explode("cut").alias("at")).groupBy("id", "mark").agg(F.collect_set("at").alias("cut"))
+    cuts = cuts.unionByName(copies)
+    cuts = written(cuts, "line-cuts")
+    discard(*tables, *found)
+    cuts = cuts.withColumnsRenamed({"id": "__line_id", "mark": "__line_mark", "cut": "__line_cut"})
     gone = F.coalesce("__line_cut", F.array().cast("array<int>"))
     out = docs.join(cuts, (F.col(id_col) == F.col("__line_id")) & (F.xxhash64(text) == F.col("__line_mark")), "left")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, k: ~F.array_contains(gone, k)), "\n")

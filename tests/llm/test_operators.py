@@ -234,6 +234,40 @@ def test_lines(spark):
     assert line_dedup.line_dedup(documents(spark, [])).count() == 0
 
 
+def test_common_lines(monkeypatch):
+    rng = random.Random(5)
+    for limit in (1 << 28, 8):
+        monkeypatch.setattr(line_dedup, "LCS_BITS", limit)
+        for _ in range(200):
+            a, b = ([rng.randrange(1, 4) for _ in range(rng.randrange(12))] for _ in range(2))
+            n = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for i, j in itertools.product(range(len(a)), range(len(b))):
+                n[i + 1][j + 1] = n[i][j] + 1 if a[i] == b[j] else max(n[i][j + 1], n[i + 1][j])
+            found = sorted(line_dedup.common(a, b))
+            assert len(found) == n[-1][-1] and all(a[x] == b[y] for x, y in found)
+            assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(found, found[1:]))
+    assert line_dedup.patience([1, 2, 3, 2, 4], [5, 2, 2, 6]) == [(1, 1), (3, 2)]
+
+
+def test_lines_meet_every_earlier_holder(spark):
+    """Against all pairs of overlapping documents: lines out of order in the first holder align with a later one."""
+    line = [f"this is the shared line number {k}" for k in range(9)]
+    rng = random.Random(12)
+    texts = ["\n".join(line[:2]), "\n".join(line[1::-1]), "\n".join(line[1::-1])]
+    texts += ["\n".join(rng.choice([*line, "", "short"]) for _ in range(rng.randint(1, 7))) for _ in range(60)]
+    lines = [[x.strip() for x in t.split("\n")] for t in texts]
+    number = {x: k for k, x in enumerate(["", *line, "short"])}
+    coded = [[number[x] for x in t] for t in lines]
+    want = {}
+    for d, b in enumerate(coded):
+        gone = {y for e in range(d) if any(len(x) >= 20 for x in {*lines[d]} & {*lines[e]}) for y in line_dedup.aligned_blocks(coded[e], b)}
+        if coded.index(b) < d:
+            gone = set(range(len(b))) - {k for k, x in enumerate(b) if x == line_dedup.BLANK}
+        want[d] = "\n".join(x for k, x in enumerate(texts[d].split("\n")) if k not in gone)
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(documents(spark, texts)).collect()}
+    assert got[2] == "" and got == want
+
+
 def test_wand_is_exact():
     rng = random.Random(7)
     v = vocabulary(60, rng)
