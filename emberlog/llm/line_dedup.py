@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from emberlog.llm.common import discard, read, small_batches, written
 
-#: A shared line says that two documents overlap if it has so many characters at least.
+#: A shared line says that two documents overlap if it has so many characters at least; a shorter one by a shared run.
 MIN_CHARS = 20
 BLANK = 0
 #: Each round of further holders tries so many times as many as all before it.
@@ -126,7 +126,13 @@ def _shown() -> tuple[Column, Column]:
     marked = F.transform(F.arrays_zip("lines", "long"), lambda x, k: F.struct(x["lines"].alias("line"), x["long"].alias("long"), k.alias("at")))
     lines = F.filter(marked, lambda x: x["line"] != BLANK)
     one = lambda x: F.struct(x["line"].alias("key"), F.array(x["at"]).alias("at"))
-    return F.transform(F.filter(lines, lambda x: x["long"]), one), F.transform(F.filter(lines, lambda x: ~x["long"]), one)
+    two = lambda x, y: F.struct(F.xxhash64(x["line"], y["line"]).alias("key"), F.array(x["at"], y["at"]).alias("at"))
+    sole = F.size(F.array_distinct(F.transform(lines, lambda x: x["line"]))) == 1
+    n = F.greatest(F.size(lines) - 1, F.lit(0))
+    runs = F.zip_with(F.slice(lines, F.lit(1), n), F.slice(lines, F.lit(2), n), two)
+    short = F.transform(F.filter(lines, lambda x: ~x["long"]), one)
+    none = F.filter(short, lambda x: F.lit(False))
+    return F.concat(F.transform(F.filter(lines, lambda x: x["long"]), one), runs, F.when(sole, short).otherwise(none)), F.when(sole, none).otherwise(short)
 
 
 def _aligned(pairs: DataFrame, later: DataFrame, earlier: DataFrame) -> DataFrame:
@@ -153,10 +159,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with `text` cut and columns n_lines and n_removed appended (replacing ones of these names).
 
     Lines are told apart by '\\n' and compared without blanks at their ends. Documents overlap that share a line of at least
-    min_chars characters. A pair is aligned by patience diff over line hashes, and the aligned lines that aren't blank go
+    min_chars characters, or two lines of any length in a row (blank lines aside), or a line of any length that is all that
+    the later one has. A pair is aligned by patience diff over line hashes, and the aligned lines that aren't blank go
     from the later document; texts of the input are aligned, not what is left of them. Blank lines stay.
 
-    A later document meets the first holder (the smallest id) of each of its shared lines. A line that stays meets its other
+    A later document meets the first holder (the smallest id) of each of these. A line that stays meets its other
     earlier holders too (a shorter line those that overlap its document), in rounds of more and more of them, until it
     goes or has met all. So a line stays only if no earlier document that overlaps its own aligns it. Documents of equal lines are one holder, and all but the first are cut whole.
 

@@ -249,6 +249,17 @@ def test_common_lines(monkeypatch):
     assert line_dedup.patience([1, 2, 3, 2, 4], [5, 2, 2, 6]) == [(1, 1), (3, 2)]
 
 
+def overlap(a, b):
+    a, b = [x for x in a if x], [x for x in b if x]
+    return any(len(x) >= 20 or {*b} == {x} for x in {*a} & {*b}) or bool({*zip(a, a[1:])} & {*zip(b, b[1:])})
+
+
+def test_short_lines_propose_pairs(spark):
+    texts = ["one\ntwo\nthree\n早上好", "new\n\none\n\ntwo\nold", "早上好", "one\ntwo\nthree\n早上好", "three\none", "x", " x\nx"]
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(documents(spark, texts)).collect()}
+    assert got == dict(enumerate([texts[0], "new\n\n\nold", "", "", "three\none", "x", "x"]))
+
+
 def test_lines_meet_every_earlier_holder(spark):
     """Against all pairs of overlapping documents: lines out of order in the first holder align with a later one."""
     line = [f"this is the shared line number {k}" for k in range(9)]
@@ -260,7 +271,7 @@ def test_lines_meet_every_earlier_holder(spark):
     coded = [[number[x] for x in t] for t in lines]
     want = {}
     for d, b in enumerate(coded):
-        gone = {y for e in range(d) if any(len(x) >= 20 for x in {*lines[d]} & {*lines[e]}) for y in line_dedup.aligned_blocks(coded[e], b)}
+        gone = {y for e in range(d) if overlap(lines[e], lines[d]) for y in line_dedup.aligned_blocks(coded[e], b)}
         if coded.index(b) < d:
             gone = set(range(len(b))) - {k for k, x in enumerate(b) if x == line_dedup.BLANK}
         want[d] = "\n".join(x for k, x in enumerate(texts[d].split("\n")) if k not in gone)
