@@ -13,7 +13,7 @@ from emberlog.llm.common import read
 from emberlog.llm.decontaminate import mark_leaks
 from emberlog.llm.jaccard import jaccard_groups
 from emberlog.llm.line_dedup import line_dedup
-from emberlog.llm.pieces import encode
+from emberlog.llm.pieces import round_trip
 from emberlog.llm.toxicity import score, train
 
 
@@ -41,9 +41,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids and score of each document's best segmentation, with its next best ones as edits."""
-    found = encode(docs)
-    return found.select("doc_id", "lang", "source", F.coalesce(F.size("encoded.ids"), F.lit(0)).cast("long").alias("n_pieces"), "encoded.score", "encoded.ids", "encoded.alternatives")
+    """Ids and score of each document's best segmentation, with its next best ones as edits, and the decoded text's digest."""
+    found = round_trip(docs)
+    return found.select("doc_id", "lang", "source", F.coalesce(F.size("encoded.ids"), F.lit(0)).cast("long").alias("n_pieces"), "encoded.score", "encoded.ids", "encoded.alternatives", "decoded_sha256", "round_trip")
 
 
 STAGES = [

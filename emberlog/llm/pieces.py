@@ -336,11 +336,19 @@ class Encoder:
         return ids, place[end], scores, alternatives
 
 
+def spellings(names: list[str]) -> list[bytes]:
+    """The bytes of each piece: a byte piece's own, and for others UTF-8 with spaces for marks."""
+    return [bytes([int(n[3:5], 16)]) if len(n) == 6 and n.startswith("<0x") else n.replace(MARK, " ").encode() for n in names]
+
+
+def joined(ids: list[int], spelt: list[bytes]) -> str:
+    text = b"".join(map(spelt.__getitem__, ids)).decode("utf-8", "replace")
+    return text[1:] if text.startswith(" ") else text
+
+
 def decode_ids(ids: list[int], names: list[str]) -> str:
     """The text of some ids: byte pieces are joined to UTF-8, marks become spaces, the first space goes."""
-    out = b"".join(bytes([int(n[3:5], 16)]) if len(n := names[i]) == 6 and n.startswith("<0x") else n.replace(MARK, " ").encode() for i in ids)
-    text = out.decode("utf-8", "replace")
-    return text[1:] if text.startswith(" ") else text
+    return joined(ids, spellings(names))
 
 
 def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL, n: int = N_BEST) -> DataFrame:
@@ -371,17 +379,27 @@ def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL, n: int =
 def decode(rows: DataFrame, ids_col: str = "ids", model: str = MODEL) -> DataFrame:
     """rows with a column `decoded` (replacing one of that name); null ids have null."""
     rows = rows.drop("decoded")
-    sent = rows.sparkSession.sparkContext.broadcast(Vocabulary.load(model).names)
+    sent = rows.sparkSession.sparkContext.broadcast(spellings(Vocabulary.load(model).names))
     schema = T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if ids is None else decode_ids(ids, sent.value) for ids in batch.column(ids_col).to_pylist()]
+            texts = [None if ids is None else joined(ids, sent.value) for ids in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     return rows.mapInArrow(apply, schema)
 
 
+def round_trip(docs: DataFrame, text_col: str = "text", model: str = MODEL, n: int = N_BEST) -> DataFrame:
+    """docs with `encoded` as by encode(), the digest of the text decoded from its ids, and whether that is the text itself.
+
+    These are `decoded_sha256` and `round_trip` (replacing ones of these names); null texts have null in both.
+    """
+    docs = docs.drop("decoded_sha256", "round_trip", "decoded")
+    rows = decode(encode(docs, text_col, model, n).withColumn("__ids", F.col("encoded.ids")), "__ids", model)
+    return rows.withColumns({"decoded_sha256": F.sha2("decoded", 256), "round_trip": F.col("decoded") == F.col(text_col)}).drop("decoded", "__ids")
+
+
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = encode(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return docs.select("doc_id", F.size("encoded.ids").cast("long").alias("n_pieces"), "encoded.score", "encoded.ids", "encoded.alternatives")
+    docs = round_trip(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.size("encoded.ids").cast("long").alias("n_pieces"), "encoded.score", "encoded.ids", "encoded.alternatives", "decoded_sha256", "round_trip")

@@ -212,6 +212,19 @@ def test_pieces(spark):
     assert pieces.encode(documents(spark, [])).count() == 0
 
 
+def test_pieces_are_decoded(spark, sf_dir, monkeypatch):
+    import corpus_pipeline as p
+
+    texts = {r.doc_id: r.text for r in read(spark, sf_dir, "documents").collect()}
+    rows = pieces.op2_pieces(spark, sf_dir).collect()
+    assert len(rows) == len(texts) and all(r.round_trip and r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in rows)
+    docs = documents(spark, ["é\nñ▁ z", "", None])
+    assert [r.round_trip for r in p.pieces(spark, docs, sf_dir).orderBy("doc_id").collect()] == [True, True, None]
+    lossy = pieces.spellings
+    monkeypatch.setattr(pieces, "spellings", lambda names: [x.replace(b" ", b"") for x in lossy(names)])
+    assert [r.round_trip for r in pieces.round_trip(documents(spark, ["a b"])).collect()] == [False]
+
+
 def test_patience():
     a, b = [1, 2, 3, 4, 5, 6], [9, 1, 2, 7, 3, 4, 6, 6]
     assert line_dedup.patience(a, b) == [(0, 1), (1, 2), (2, 4), (3, 5), (5, 7)]
