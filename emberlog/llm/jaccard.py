@@ -143,7 +143,11 @@ def _rows(kind: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Table:
 
 
 def _family(key: tuple, table: pa.Table) -> pa.Table:
-    """Links that span the components of a family's block, or of two blocks: intersections by blocks of a 0/1 matrix."""
+    """Links that span the components of a family's block, or of two blocks, and (document, null, number of partners).
+
+    Intersections come from blocks of a 0/1 matrix. A pair is counted in one task only: within a block where i = j, of
+    the families that both documents are in the one with the least pivot, and not if a rare token has shown the link.
+    """
     ids = table.column("a").to_numpy()
     sets = [s for words in hashed(table.column("text"), lower=True) for s in shingle_sets(words)]
     size = np.array([len(s) for s in sets])
@@ -167,19 +171,42 @@ def _family(key: tuple, table: pa.Table) -> pa.Table:
             x = parent[x]
         return x
 
-    links = []
+    links, linked = [], np.zeros((len(ids), len(ids)), bool)
     for x in range(len(ids)):
         inter = both[x, x + 1 :].astype(np.int64)
-        for y in (x + 1 + np.flatnonzero((inter > 0) & (100 * inter >= PERCENT * (size[x] + size[x + 1 :] - inter)))).tolist():
+        linked[x, x + 1 :] = (inter > 0) & (100 * inter >= PERCENT * (size[x] + size[x + 1 :] - inter))
+        for y in np.flatnonzero(linked[x]).tolist():
             u, v = top(x), top(y)
             if u != v:
                 parent[max(u, v)] = min(u, v)
                 links.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
-    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
-
-
-def family_links(held: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links among the holders of frequent tokens.
+    pivot, i, j = (k.as_py() if hasattr(k, "as_py") else k for k in key)
+    if i != j:
+        own = table.column("own").to_numpy()
+        linked &= own[:, None] != own
+    number, earlier, at = {}, [], {d: k for k, d in enumerate(ids.tolist())}
+    for x, (pivots, near) in enumerate(zip(table.column("pivots").to_pylist(), table.column("near").to_pylist())):
+        earlier += [(x, number.setdefault(p, len(number))) for p in pivots if p < pivot]
+        others = [at[d] for d in near or () if d in at]
+        linked[x, others] = linked[others, x] = False
+    for lo in range(0, len(number), 1024):
+        some = np.zeros((len(ids), 1024), np.float32)
+        for x, p in earlier:
+            if lo <= p < lo + 1024:
+                some[x, p - lo] = 1
+        linked &= some @ some.T == 0
+    count = linked.sum(0) + linked.sum(1)
+    a, b = [x for x, _ in links], [y for _, y in links]
+    some = np.flatnonzero(count)
+    return pa.table({
+        "a": pa.array([*a, *ids[some]], pa.int64()), "b": pa.array([*b, *[None] * len(some)], pa.int64()),
+        "n": pa.array([*[0] * len(a), *count[some]], pa.int64()),
+    })
+
+
+def family_links(held: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
+    """Links (a, b, 0) among the holders of frequent tokens, which span their components, and (document, null, n) with
+    numbers of partners whose links aren't among those known already; a document's numbers add up.
 
     Tokens with the same pivot (the holder with the largest share of frequent tokens, for a group of near copies mostly
     their model) make one family, so two holders of a token meet once for a pivot and not once for a token. A family
@@ -188,12 +215,15 @@ def family_links(held: DataFrame, docs: DataFrame) -> DataFrame:
     pivots = held.groupBy("token").agg(F.max_by("a", F.struct(F.col("f") / F.col("n"), F.xxhash64("a"))).alias("pivot"))
     family = held.join(pivots, "token").groupBy("pivot", "a").agg(F.count("*").alias("k")).drop("k")
     family = written(family, "jaccard-family")
+    pivots = family.groupBy("a").agg(F.collect_list("pivot").alias("pivots"))
+    near = known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.collect_list("b").alias("near"))
     sizes = family.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).join(family.groupBy("pivot").agg(F.count("*").alias("m")).where("m > 1").select("pivot"), "pivot")
     family = family.join(sizes, "pivot").withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")))
     family = family.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    family = family.select("pivot", "a", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    family = family.select("pivot", "a", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     texts = docs.join(family.select(F.col("a").alias("id")).distinct().hint("merge"), "id", "left_semi").groupBy(F.col("id").alias("a")).agg(F.min("text").alias("text"))
-    found = family.join(texts, "a").groupBy("pivot", "i", "j").applyInArrow(_family, "a long, b long").distinct()
+    texts = texts.join(pivots, "a").join(near, "a", "left")
+    found = family.join(texts, "a").groupBy("pivot", "i", "j").applyInArrow(_family, "a long, b long, n long")
     found = written(found, "jaccard-links")
     release(docs.sparkSession)
     return found
@@ -232,8 +262,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     of them (k: a tenth of the smaller set). A token of at most FREQUENT holders is indexed by itself and its holders are
     paired. Two sets that share none of those in their prefixes share k frequent ones, so a set with fewer than k is left
     out there; the others meet in families (see family_links). Every pair is verified on whole sets. Equal sets are
-    combined first, in each task and then by their first token, so copies are compared once. n_links counts the links
-    found of the document's class; within a family only links that span its components are kept.
+    combined first, in each task and then by their first token, so copies are compared once. n_links is the number
+    of other classes that the document's class links with; of a family's links only ones that span its components are kept.
 
     Null and empty texts and texts of blanks have no shingles and link with nothing. Null ids are left out. Rows that
     share an id are one document, linked by any of its texts; repeated rows give repeated results. Other columns are
@@ -259,10 +289,13 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     enough = enough.where(F.col("f") >= F.greatest(F.lit(1), F.floor(F.lit(COMBINATION) * F.floor(F.col("n") * PERCENT / 100))))
     held = written(held.join(enough, "a"), "jaccard-held")
     links = verified(written(pairs.distinct(), "jaccard-pairs"), rows)
+    ends = links.select(F.col("a").alias("class"), F.lit(1).alias("n")).unionByName(links.select(F.col("b").alias("class"), F.lit(1).alias("n")))
     if not held.isEmpty():
-        links = links.unionByName(family_links(held, rows)).distinct()
+        found = family_links(held, rows, links)
+        links = links.unionByName(found.where("b is not null").select("a", "b")).distinct()
+        ends = ends.unionByName(found.where("b is null").select(F.col("a").alias("class"), "n"))
     joined = components(links).withColumnsRenamed({"id": "class"})
-    degree = links.select(F.col("a").alias("class")).unionByName(links.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("n_links"))
+    degree = ends.groupBy("class").agg(F.sum("n").alias("n_links"))
     out = sizes.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
     out = out.join(joined, "class", "left").join(degree, "class", "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "class").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "class")

@@ -86,6 +86,27 @@ def test_jaccard_of_many_near_copies(spark):
     assert got == dict(enumerate(groups_of(sets_of(texts))))
 
 
+@pytest.mark.parametrize("block", [1024, 16])
+def test_jaccard_counts_every_link(spark, block, monkeypatch):
+    """Groups above FREQUENT holders, some in several families or blocks, and pairs with rare tokens in common."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = random.Random(10)
+    texts = []
+    for group, many in enumerate((50, 30, 4)):
+        base = [f"g{group}w{k}" for k in range(200)]
+        for _ in range(many):
+            t = list(base)
+            for _ in range(rng.randint(0, 3)):
+                t[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(t))
+    texts = list(dict.fromkeys(texts))
+    sets = sets_of(texts)
+    links = lambda x, y: 100 * len(x & y) >= jaccard.PERCENT * len(x | y)
+    want = {d: sum(links(x, y) for y in sets) - 1 for d, x in enumerate(sets)}
+    got = {r.id: r.n_links for r in jaccard.jaccard_groups(documents(spark, texts)).collect()}
+    assert got == want and max(want.values()) > jaccard.FREQUENT
+
+
 def cut(texts):
     first, words = {}, [WORDS.findall(t or "") for t in texts]
     for d, w in enumerate(words):
