@@ -384,7 +384,9 @@ def decode(rows: DataFrame, ids_col: str = "ids", model: str = MODEL) -> DataFra
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if ids is None else joined(ids, sent.value) for ids in batch.column(ids_col).to_pylist()]
+            column = batch.column(ids_col)
+            ids, ends = column.flatten().to_numpy(zero_copy_only=False).tolist(), np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+            texts = [joined(ids[lo:hi], sent.value) if there else None for lo, hi, there in zip([0, *ends], ends, column.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     return rows.mapInArrow(apply, schema)
