@@ -1,16 +1,19 @@
-"""Helpers shared by the operators: tables, the shared scratch folder, written intermediates."""
+"""Helpers shared by the operators: tables, batches, folds."""
 
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of text in one Arrow batch; keeps a Python worker's memory small with long texts.
-BATCH_ROWS = 1000
+from emberlog.sources.scratch import discard, scratch, shared_dir, written
+
+__all__ = ["discard", "fold", "read", "release", "scratch", "session", "shared_dir", "small_batches", "text_bytes", "written"]
+
+#: Rows and bytes of text in one Arrow batch; they keep a Python worker's memory small with long texts. One setting for
+#: all operators, as a plan reads it when it runs.
+BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
 
 
 def session(df: DataFrame) -> SparkSession:
@@ -21,31 +24,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = session(df)
-    path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    found = spark.read.schema(df.schema).parquet(path)
-    found.scratch_path = path
-    return found
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def text_bytes(text: Column) -> Column:
@@ -61,10 +42,3 @@ def release(spark: SparkSession) -> None:
     """Let Spark clean the shuffle files of finished jobs whose DataFrames are gone, before more are written."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete written intermediates that nothing reads any more."""
-    for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

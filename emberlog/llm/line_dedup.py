@@ -14,12 +14,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberlog.llm.common import discard, read, small_batches, written
+from emberlog.operators.skew import spread_join
 
 #: A shared line says that two documents overlap if it has so many characters at least; a shorter one by a shared run.
 MIN_CHARS = 20
 BLANK = 0
+#: A line (or run) is rare with so many holders; only rare ones propose pairs at first.
+RARE = 8
 #: Each round of further holders tries so many times as many as all before it.
 MORE = 4
+#: Pairs with one earlier document, and holders of one key, that a task gets.
+TOGETHER = 1000
 
 
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -136,8 +141,17 @@ def _shown() -> tuple[Column, Column]:
 
 
 def _aligned(pairs: DataFrame, later: DataFrame, earlier: DataFrame) -> DataFrame:
-    """The places to cut of each pair's later document, where there are any."""
-    sides = pairs.join(later.select("id", "mark", F.col("lines").alias("b")), ["id", "mark"]).join(earlier.select("first", F.col("lines").alias("a")), "first").select("id", "mark", "a", "b")
+    """The places to cut of each pair's later document, where there are any.
+
+    The earlier document's lines are copied for each TOGETHER of its pairs, so a document that very many others meet is
+    dealt to many tasks; the later document's lines are shuffled once and not once a pair.
+    """
+    many = pairs.groupBy("first").agg(F.count("*").alias("n")).withColumn("copies", F.ceil(F.col("n") / TOGETHER))
+    many = written(many, "line-many")
+    dealt = spread_join(pairs, many, ["first"], "n").withColumn("salt", F.pmod(F.xxhash64("id", "mark"), "copies")).drop("copies")
+    lines = earlier.join(many.hint("merge"), "first").select("first", F.col("lines").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("salt"))
+    sides = dealt.hint("merge").join(lines, ["first", "salt"]).select("id", "mark", "a")
+    sides = sides.hint("merge").join(later.select("id", "mark", F.col("lines").alias("b")), ["id", "mark"])
     schema = T.StructType([sides.schema["id"], sides.schema["mark"], T.StructField("cut", T.ArrayType(T.IntegerType()))])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +159,9 @@ def _aligned(pairs: DataFrame, later: DataFrame, earlier: DataFrame) -> DataFram
             cut = [aligned_blocks(a, b) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), pa.array(cut, pa.list_(pa.int32()))], ["id", "mark", "cut"])
 
-    return written(sides.mapInArrow(align, schema).where(F.size("cut") > 0), "line-cut")
+    found = written(sides.mapInArrow(align, schema).where(F.size("cut") > 0), "line-cut")
+    discard(many)
+    return found
 
 
 def _left(shown: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -163,9 +179,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the later one has. A pair is aligned by patience diff over line hashes, and the aligned lines that aren't blank go
     from the later document; texts of the input are aligned, not what is left of them. Blank lines stay.
 
-    A later document meets the first holder (the smallest id) of each of these. A line that stays meets its other
-    earlier holders too (a shorter line those that overlap its document), in rounds of more and more of them, until it
-    goes or has met all. So a line stays only if no earlier document that overlaps its own aligns it. Documents of equal lines are one holder, and all but the first are cut whole.
+    Of the keys that show an overlap (such lines and runs), rare ones propose pairs first: a later document meets the
+    first holder (the smallest id) of each rare key of its own. Keys that still have a line that stays then bring the first
+    holder whatever their number of holders, and then the other earlier holders (a shorter line those that overlap
+    its document), in rounds of more and more of them, until the line goes or has met all. So a line stays only if no
+    earlier document that overlaps its own aligns it, and the order of the rounds only decides the work. Documents of equal
+    lines are one holder, and all but the first are cut whole. Which of several equally long alignments is
+    taken depends on the two documents' lines alone.
 
     Null text stays null (no lines); an empty text has one blank line. Rows with null ids are neither first holders nor
     cut. Of rows that share an id, the one with the smallest text hash stands for it as the earlier document, and none
@@ -179,34 +199,50 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hashes = F.transform(F.split(text, "\n"), lambda x: F.when(F.trim(x) == "", F.lit(BLANK).cast("long")).otherwise(F.xxhash64(trimmed(x))))
     long_ones = F.transform(F.split(text, "\n"), lambda x: F.length(F.trim(x)) >= min_chars)
     rows = docs.where(F.col(id_col).isNotNull() & text.isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), hashes.alias("lines"), long_ones.alias("long"))
-    rows = written(rows.groupBy("id", "mark").agg(F.first("lines").alias("lines"), F.first("long").alias("long")), "line-hashes")
-    holders = rows.groupBy("id").agg(F.min_by(F.struct("lines", "long"), "mark").alias("h")).select(F.col("id").alias("first"), "h.*")
-    holders = holders.withColumn("whole", F.xxhash64("lines"))
-    wholes = holders.groupBy("whole").agg(F.min("first").alias("own"))
-    later = rows.withColumn("whole", F.xxhash64("lines")).join(wholes, "whole", "left").withColumn("copy", F.coalesce(F.col("own") < F.col("id"), F.lit(False)))
-    later = written(later.select("id", "mark", "lines", "long", "copy"), "line-later")
-    earlier = written(holders.join(wholes, "whole").where("first = own").select("first", "lines", "long"), "line-earlier")
-    discard(rows)
+    rows = written(rows.groupBy("id", "mark").agg(F.first("lines").alias("lines"), F.first("long").alias("long")).withColumn("whole", F.xxhash64("lines")), "line-hashes")
+    stands = rows.groupBy("id").agg(F.min("mark").alias("mark"))
+    holders = rows.hint("merge").join(stands, ["id", "mark"])
+    wholes = written(holders.groupBy("whole").agg(F.min("id").alias("own"), F.count("*").alias("n")), "line-wholes")
+    known = spread_join(rows.select("id", "mark", "whole"), wholes, ["whole"], "n", "left").select("id", "mark", F.coalesce(F.col("own") < F.col("id"), F.lit(False)).alias("copy"), (F.col("own") == F.col("id")).alias("first"))
+    later = written(rows.hint("merge").join(known, ["id", "mark"]).drop("whole"), "line-later")
+    earlier = later.where("first").hint("merge").join(stands, ["id", "mark"]).select(F.col("id").alias("first"), "lines", "long")
+    earlier = written(earlier, "line-earlier")
+    discard(rows, wholes)
     places = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda k: F.get("lines", k) != BLANK)
     copies = later.where("copy").select("id", "mark", places.alias("cut"))
+    later = later.where("not copy").drop("copy", "first")
     shown, rest = _shown()
-    held = earlier.select("first", F.explode(F.array_distinct(F.transform(F.concat(shown, rest), lambda x: x["key"]))).alias("key"))
-    firsts = held.groupBy("key").agg(F.min("first").alias("first"))
-    met = lambda keys: later.where("not copy").select("id", "mark", F.explode(keys).alias("k")).select("id", "mark", "k.*").join(firsts, "key").where("first < id")
-    keys = written(met(shown), "line-keys")
-    pairs = written(keys.select("id", "mark", "first").distinct(), "line-pairs")
-    cuts = [_aligned(pairs, later, earlier)]
-    keys = keys.drop("first")
-    # Lines that stay: those whose own key proposes, and others of documents with any pair.
-    left = written(_left(keys, cuts[0]), "line-left")
-    others = written(_left(met(rest).drop("first").join(pairs.select("id", "mark").distinct(), ["id", "mark"], "left_semi"), cuts[0]), "line-left")
-    asked = keys.join(others.select("id", "mark").distinct(), ["id", "mark"], "left_semi").select("id", "mark", "key").distinct()
+    every = F.transform(F.concat(shown, rest), lambda x: x["key"])
+    held = earlier.select("first", F.explode(F.array_distinct(every)).alias("key"))
+    firsts = earlier.select("first", F.explode(every).alias("key")).groupBy("key").agg(F.min("first").alias("first"), F.count("*").alias("holders"))
+    firsts = written(firsts.where("holders > 1").withColumn("n", F.col("holders")), "line-firsts")
+    met = lambda keys: spread_join(later.select("id", "mark", F.explode(keys).alias("k")).select("id", "mark", "k.*"), firsts, ["key"], "n").where("first < id")
+    left = written(met(shown), "line-keys")
+    tables, cuts, pairs = [left], [], None
+    for now in (f"holders <= {RARE}", f"holders > {RARE}"):
+        fresh = left.where(now).select("id", "mark", "first").distinct()
+        fresh = written(fresh if pairs is None else fresh.join(pairs.hint("merge"), ["id", "mark", "first"], "left_anti"), "line-pairs")
+        cuts.append(_aligned(fresh, later, earlier))
+        pairs = fresh if pairs is None else pairs.unionByName(fresh)
+        left = written(_left(left, cuts[-1]), "line-left")
+        tables += [fresh, left]
+    # Lines that stay: those whose own key shows an overlap, and others of documents with any pair.
+    done = reduce(DataFrame.unionByName, cuts)
+    others = met(rest).join(pairs.select("id", "mark").distinct().hint("merge"), ["id", "mark"], "left_semi")
+    others = written(_left(others, done), "line-left")
+    asked = tables[0].hint("merge").join(others.select("id", "mark").distinct(), ["id", "mark"], "left_semi").select("id", "mark", "key").distinct()
     asked = written(asked, "line-asked")
-    ranked = held.join(left.select("key").unionByName(asked.select("key")).distinct(), "key", "left_semi")
-    ranked = written(ranked.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("first"))), "line-holders")
-    tables, lo = [later, earlier, pairs, ranked, asked, left, others], 1
+    wanted = left.select("key").unionByName(asked.select("key")).distinct().hint("merge").join(firsts, "key").select("key", "n", F.ceil(F.col("n") / TOGETHER).alias("parts"))
+    wanted = written(wanted, "line-wanted")
+    # The holders of a key are numbered in parts, so no task numbers all of a common key's.
+    ranked = spread_join(held, wanted, ["key"], "n").withColumn("part", F.pmod(F.xxhash64("first"), "parts"))
+    number = F.row_number().over(Window.partitionBy("key", "part").orderBy("first"))
+    ranked = written(ranked.select("key", "first", ((number - 1) * F.col("parts") + F.col("part") + 1).alias("rank")), "line-holders")
+    tables += [ranked, asked, others, wanted, firsts]
+    left, others = left.select("id", "mark", "key", "at"), others.select("id", "mark", "key", "at")
+    lo = 0
     while True:
-        hi = lo * (MORE + 1)
+        hi = lo * (MORE + 1) + MORE
         by_key = left.join(ranked.where(f"rank > {lo}"), "key").where("first < id").select("id", "mark", "first", "rank")
         open_ones = asked.join(others.select("id", "mark").distinct(), ["id", "mark"], "left_semi")
         by_other = open_ones.join(ranked.where(f"rank > {lo}"), "key").where("first < id").select("id", "mark", "first", "rank")
@@ -226,15 +262,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         lo = hi
     found = cuts
     cuts = reduce(DataFrame.unionByName, found).select("id", "mark", F.explode("cut").alias("at")).groupBy("id", "mark").agg(F.collect_set("at").alias("cut"))
-    cuts = cuts.unionByName(copies)
-    cuts = written(cuts, "line-cuts")
+    cuts = written(cuts.unionByName(copies), "line-cuts")
     discard(*tables, *found)
-    cuts = cuts.withColumnsRenamed({"id": "__line_id", "mark": "__line_mark", "cut": "__line_cut"})
-    gone = F.coalesce("__line_cut", F.array().cast("array<int>"))
-    out = docs.join(cuts, (F.col(id_col) == F.col("__line_id")) & (F.xxhash64(text) == F.col("__line_mark")), "left")
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    out = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), own.alias("row")).hint("merge").join(cuts, ["id", "mark"], "left")
+    text, gone = F.col("row")[text_col], F.coalesce("cut", F.array().cast("array<int>"))
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, k: ~F.array_contains(gone, k)), "\n")
     return out.select(
-        *[F.when(F.col("__line_cut").isNull(), text).otherwise(kept).alias(text_col) if c == text_col else F.col(c) for c in docs.columns],
+        *[(F.when(F.col("cut").isNull(), text).otherwise(kept) if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns],
         F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).cast("long").alias("n_lines"),
         F.size(gone).cast("long").alias("n_removed"),
     )
