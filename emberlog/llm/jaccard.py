@@ -13,14 +13,15 @@ from emberlog.llm.common import discard, read, release, small_batches, text_byte
 from emberlog.llm.components import components
 from emberlog.llm.packed import FLUSH, PACKED, bucket_of, buckets_for, gathered, groups, packed_rows
 from emberlog.llm.words import Words, distinct, hashed, mix, ngrams, seeds
+from emberlog.operators.skew import spread_join
 
 WORDS = 5
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Combinations asked of frequent tokens: this share of a set's size.
+#: Tokens that prefixes of linked sets share at least: this share of the smaller set's size.
 COMBINATION = 0.1
-#: Tokens held by more sets than this are frequent.
-FREQUENT = 16
+#: Tokens held by more sets than this are frequent; they are indexed by combinations of K.
+FREQUENT, K = 16, 2
 #: Documents of a family that are compared with each other, or with so many more, in one task.
 BLOCK = 1024
 ENTRY = [np.uint64, np.int64, np.int32, np.uint64]  # token, document, set size, set digest (0 but for a set's first token)
@@ -50,15 +51,22 @@ def needed(n: np.ndarray | int) -> np.ndarray | int:
 
 
 def combination(n: np.ndarray | int) -> np.ndarray:
-    """Tokens that two linked sets share in their prefixes, by the size of the smaller: the k of the combinations."""
+    """Tokens that two linked sets share in their prefixes, by the size of the smaller."""
     return np.maximum(1, np.floor(COMBINATION * np.asarray(n))).astype(np.int64)
 
 
 def prefix(n: int) -> int:
-    """Of a set of n tokens in the global order (by hash), the first so many hold k common ones with any linked set."""
+    """Of a set of n tokens in the global order (by hash), the first so many hold that many common ones with any linked set."""
     return min(n, int(n - needed(n) + combination(n)))
 
 
+def parts(n: np.ndarray | int) -> np.ndarray:
+    """Into how many parts (a power of 2) frequent tokens are dealt by hash, if the smaller set has n tokens: so few that
+    one part has K of the tokens that linked sets share."""
+    most = np.maximum(1, (combination(n) - 1) // (K - 1))
+    return (1 << np.floor(np.log2(most)).astype(np.int64)) * (combination(n) >= K)
+
+
 def _send(sets: list[tuple[int, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
     """Packed rows of some documents' sets. Equal sets are combined: only the smallest id's goes on."""
     sizes = np.array([len(s) for _, s in sets], np.int64)
@@ -127,19 +135,64 @@ def _meet(table: pa.Table) -> pa.Table:
             for j in range(i + 1, n):
                 x, y = (at + i).ravel(), (at + j).ravel()
                 fits = (100 * np.minimum(size[x], size[y]) >= PERCENT * np.maximum(size[x], size[y])) & (doc[x] != doc[y])
-                pairs.append(np.column_stack([doc[x[fits]], doc[y[fits]]]))
+                pairs.append(np.column_stack([doc[x[fits]], doc[y[fits]], np.minimum(size[x[fits]], size[y[fits]])]))
     if pairs:
         pairs = np.concatenate(pairs)
         pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-        pairs = pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(1))] if len(pairs) else pairs
-        out.append(_rows(np.full(len(pairs), PAIR), pairs[:, 0], pairs[:, 1]))
+        first = np.flatnonzero(np.append(True, (pairs[1:, :2] != pairs[:-1, :2]).any(1))) if len(pairs) else np.zeros(0, np.int64)
+        times = np.diff(np.append(first, len(pairs)))
+        out.append(_rows(np.full(len(first), PAIR), pairs[first, 0], pairs[first, 1], times, combination(pairs[first, 2])))
     often = np.repeat(count > FREQUENT, count)
     out.append(_rows(np.full(int(often.sum()), HELD), doc[often], token[often].view(np.int64)))
     return pa.concat_tables(out)
 
 
-def _rows(kind: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Table:
-    return pa.table({"kind": pa.array(kind.astype(np.int32)), "a": pa.array(a.astype(np.int64)), "b": pa.array(b.astype(np.int64))})
+MET = "kind int, a long, b long, n int, need int"
+
+
+def _rows(kind: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None, need: np.ndarray | None = None) -> pa.Table:
+    none = np.zeros(len(kind), np.int32)
+    counts = [none if x is None else x.astype(np.int32) for x in (n, need)]
+    return pa.table({"kind": pa.array(kind.astype(np.int32)), "a": pa.array(a.astype(np.int64)), "b": pa.array(b.astype(np.int64)), "n": pa.array(counts[0]), "need": pa.array(counts[1])})
+
+
+def combined(tokens: np.ndarray, n: int) -> np.ndarray:
+    """Keys of a set's combinations of K frequent tokens, by the set's size n.
+
+    Two linked sets share combination(m) tokens or more, m being the smaller size. Dealt to parts(m) parts by hash, K of them
+    fall into one part, so combinations are made within parts only, and their number grows with the set's size. A set
+    of n tokens doesn't know m, which lies between the smallest size that links and n; it uses each number of parts
+    that some such m has (two at most).
+    """
+    tokens = np.sort(tokens)
+    seed, out = seeds(K + 1, 31), [np.zeros(0, np.uint64)]
+    for p in {int(parts(m)) for m in (needed(n), n)}:
+        if not p:  # so small that one shared token is all there is
+            out.append(mix(tokens ^ seed[K]))
+            continue
+        part = (mix(tokens * seed[K]) % np.uint64(p)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        t, part = tokens[order], part[order]
+        for k in range(1, len(t)):
+            same = np.flatnonzero(part[k:] == part[:-k])
+            if not len(same):
+                break
+            with np.errstate(over="ignore"):
+                out.append(mix(t[same] * seed[0] + t[same + k] * seed[1] + np.uint64(p)))
+    return distinct(np.concatenate(out))
+
+
+def _combinations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        wide = batch.column("tokens")
+        ends = np.append(0, np.cumsum(wide.value_lengths().to_numpy()))
+        tokens = wide.flatten().to_numpy().view(np.uint64)
+        for k, (a, n) in enumerate(zip(batch.column("a").to_pylist(), batch.column("n").to_pylist())):
+            keys = combined(tokens[ends[k] : ends[k + 1]], n)
+            for lo in range(0, len(keys), 1 << 20):
+                found = keys[lo : lo + (1 << 20)].view(np.int64)
+                m = len(found)
+                yield pa.RecordBatch.from_pydict({"a": pa.array(np.full(m, a)), "token": pa.array(found), "share": pa.array(np.full(m, (ends[k + 1] - ends[k]) / n))})
 
 
 def _family(key: tuple, table: pa.Table) -> pa.Table:
@@ -205,16 +258,19 @@ def _family(key: tuple, table: pa.Table) -> pa.Table:
 
 
 def family_links(held: DataFrame, docs: DataFrame, known: DataFrame) -> DataFrame:
-    """Links (a, b, 0) among the holders of frequent tokens, which span their components, and (document, null, n) with
-    numbers of partners whose links aren't among those known already; a document's numbers add up.
+    """Links (a, b, 0) among the holders of combinations of frequent tokens, which span their components, and
+    (document, null, n) with numbers of partners whose links aren't among those known already; they add up by document.
 
-    Tokens with the same pivot (the holder with the largest share of frequent tokens, for a group of near copies mostly
-    their model) make one family, so two holders of a token meet once for a pivot and not once for a token. A family
-    is cut into blocks of about BLOCK documents, and each pair of blocks is compared in a task of its own.
+    Combinations with the same pivot (the holder with the largest share of frequent tokens, for a group of near copies
+    mostly their model) make one family, so two holders of a combination meet once for a pivot and not once for a
+    combination. A family is cut into blocks of about BLOCK documents, and each pair of blocks is compared in a task of its own.
     """
-    pivots = held.groupBy("token").agg(F.max_by("a", F.struct(F.col("f") / F.col("n"), F.xxhash64("a"))).alias("pivot"))
-    family = held.join(pivots, "token").groupBy("pivot", "a").agg(F.count("*").alias("k")).drop("k")
+    pivots = held.groupBy("token").agg(F.max_by("a", F.struct("share", F.xxhash64("a"))).alias("pivot"), F.count("*").alias("n")).where("n > 1")
+    pivots = written(pivots, "jaccard-pivots")
+    family = spread_join(held.select("a", "token"), pivots, ["token"], "n").groupBy("pivot", "a").agg(F.count("*").alias("k")).drop("k")
     family = written(family, "jaccard-family")
+    discard(pivots)
+    release(docs.sparkSession)
     pivots = family.groupBy("a").agg(F.collect_list("pivot").alias("pivots"))
     near = known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.collect_list("b").alias("near"))
     sizes = family.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).join(family.groupBy("pivot").agg(F.count("*").alias("m")).where("m > 1").select("pivot"), "pivot")
@@ -258,12 +314,13 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component (the smallest id reachable by links), class and its n_links, for every row with an id.
 
-    Tokens are shingle hashes in one global order. Prefixes are extended so that two linked sets share at least k tokens
-    of them (k: a tenth of the smaller set). A token of at most FREQUENT holders is indexed by itself and its holders are
-    paired. Two sets that share none of those in their prefixes share k frequent ones, so a set with fewer than k is left
-    out there; the others meet in families (see family_links). Every pair is verified on whole sets. Equal sets are
-    combined first, in each task and then by their first token, so copies are compared once. n_links is the number
-    of other classes that the document's class links with; of a family's links only ones that span its components are kept.
+    Tokens are shingle hashes in one global order. Prefixes are extended so that two linked sets share a tenth of the
+    smaller set's tokens in them, or more. A token of at most FREQUENT holders is indexed by itself: its holders are paired,
+    and the pairs that share too few rare tokens, even if they shared all frequent ones that they can, go. Two sets
+    that share no rare token share frequent ones only; those are indexed by combinations of K (see combined), and the holders
+    of combinations meet in families (see family_links). Every pair is verified on whole sets. Equal sets are combined
+    first, in each task and then by their first token, so copies are compared once. n_links is the number of other classes
+    that the document's class links with; of a family's links only ones that span its components are kept.
 
     Null and empty texts and texts of blanks have no shingles and link with nothing. Null ids are left out. Rows that
     share an id are one document, linked by any of its texts; repeated rows give repeated results. Other columns are
@@ -274,21 +331,31 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     total = rows.agg(F.coalesce(F.sum(text_bytes(F.col("text"))), F.lit(0))).first()[0]
     index = rows.mapInArrow(_index(buckets_for(total / 18)), PACKED)
-    met = written(index.groupBy("bucket").applyInArrow(_meet, "kind int, a long, b long"), "jaccard-met")
+    met = written(index.groupBy("bucket").applyInArrow(_meet, MET), "jaccard-met")
     del index
     release(spark)
-    sizes = met.where(f"kind = {SIZE}").select(F.col("a").alias("id"), F.col("b").alias("n"))
+    sizes = written(met.where(f"kind = {SIZE}").select(F.col("a").alias("id"), F.col("b").alias("n")), "jaccard-sizes")
     # A document's class: the smallest id of its task's equal sets, then the smallest of those.
     steps = met.where(f"kind = {CLASS}").groupBy("a", "b").agg(F.count("*").alias("k")).drop("k")
     classes = written(components(steps.where("a <> b")), "jaccard-classes").withColumnRenamed("component", "class")
     to_class = lambda df, c: df.join(classes.withColumnsRenamed({"id": c, "class": "_c"}), c, "left").withColumn(c, F.coalesce("_c", c)).drop("_c")
-    pairs = to_class(to_class(met.where(f"kind = {PAIR}").select("a", "b").distinct(), "a"), "b").where("a <> b")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    held = to_class(met.where(f"kind = {HELD}").select("a", F.col("b").alias("token")), "a").distinct()
-    enough = held.groupBy("a").agg(F.count("*").alias("f")).join(sizes.groupBy(F.col("id").alias("a")).agg(F.max("n").alias("n")), "a")
+    held = written(to_class(met.where(f"kind = {HELD}").select("a", F.col("b").alias("token")), "a").distinct(), "jaccard-held")
+    often = written(held.groupBy("a").agg(F.count("*").alias("f")), "jaccard-often")
+    # Rare tokens in common are counted; frequent ones can add as many as the set with fewer of them has.
+    pairs = met.where(f"kind = {PAIR}").groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("need").alias("need"))
+    pairs = to_class(to_class(pairs, "a"), "b").where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = written(pairs.agg(F.max("n").alias("n"), F.first("need").alias("need")), "jaccard-counts")
+    discard(met)
+    more = pairs.where("n < need").hint("merge").join(often.withColumnRenamed("f", "fa"), "a").hint("merge").join(often.select(F.col("a").alias("b"), F.col("f").alias("fb")), "b")
+    more = more.where("n + least(fa, fb) >= need")
+    pairs = written(pairs.where("n >= need").select("a", "b").unionByName(more.select("a", "b")), "jaccard-pairs")
+    release(spark)
+    enough = often.hint("merge").join(sizes.groupBy(F.col("id").alias("a")).agg(F.max("n").alias("n")), "a")
     enough = enough.where(F.col("f") >= F.greatest(F.lit(1), F.floor(F.lit(COMBINATION) * F.floor(F.col("n") * PERCENT / 100))))
-    held = written(held.join(enough, "a"), "jaccard-held")
-    links = verified(written(pairs.distinct(), "jaccard-pairs"), rows)
+    tokens = held.hint("merge").join(enough, "a").groupBy("a").agg(F.first("n").alias("n"), F.collect_list("token").alias("tokens"))
+    held = written(tokens.mapInArrow(_combinations, "a long, token long, share double"), "jaccard-combinations")
+    del tokens, enough, often, more
+    links = verified(pairs, rows)
     ends = links.select(F.col("a").alias("class"), F.lit(1).alias("n")).unionByName(links.select(F.col("b").alias("class"), F.lit(1).alias("n")))
     if not held.isEmpty():
         found = family_links(held, rows, links)
