@@ -21,7 +21,7 @@ def spread_join(left: DataFrame, right: DataFrame, key: list[str], weight: str,
     names = [c for c in right.columns if c not in (*key, weight)]
     found = F.struct(*names)
     hot = right.where(F.col(weight) >= least).select(*key, found.alias("__hot"))
-    cold = right.where(F.col(weight) < least).select(*key, F.lit(0).cast("long").alias("__spread"), found.alias("__cold"))
+    cold = right.where(F.col(weight) < least).select(*key, F.when(F.col(weight) >= 0, F.lit(0).cast("long")).alias("__spread"), found.alias("__cold"))  # no literal: that would be folded away
     spread = F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(F.xxhash64(*left.columns).bitwiseOR(F.lit(1)))
     rows = left.join(F.broadcast(hot), key, "left").withColumn("__spread", spread)
     rows = rows.join(cold.hint("merge"), [*key, "__spread"], "left").withColumn("__found", F.coalesce("__hot", "__cold"))
