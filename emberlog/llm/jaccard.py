@@ -273,8 +273,8 @@ def family_links(held: DataFrame, docs: DataFrame, known: DataFrame) -> DataFram
     release(docs.sparkSession)
     pivots = family.groupBy("a").agg(F.collect_list("pivot").alias("pivots"))
     near = known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.collect_list("b").alias("near"))
-    sizes = family.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).join(family.groupBy("pivot").agg(F.count("*").alias("m")).where("m > 1").select("pivot"), "pivot")
-    family = family.join(sizes, "pivot").withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")))
+    sizes = family.groupBy("pivot").agg(F.count("*").alias("m")).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / BLOCK))
+    family = spread_join(family, written(sizes, "jaccard-blocks"), ["pivot"], "m").withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")))
     family = family.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     family = family.select("pivot", "a", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     texts = docs.join(family.select(F.col("a").alias("id")).distinct().hint("merge"), "id", "left_semi").groupBy(F.col("id").alias("a")).agg(F.min("text").alias("text"))

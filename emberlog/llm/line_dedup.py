@@ -195,30 +195,31 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     small_batches(spark)
     docs = docs.drop("n_lines", "n_removed")
     text = F.col(text_col)
-    trimmed = lambda x: F.regexp_replace(x, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    hashes = F.transform(F.split(text, "\n"), lambda x: F.when(F.trim(x) == "", F.lit(BLANK).cast("long")).otherwise(F.xxhash64(trimmed(x))))
-    long_ones = F.transform(F.split(text, "\n"), lambda x: F.length(F.trim(x)) >= min_chars)
-    rows = docs.where(F.col(id_col).isNotNull() & text.isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), hashes.alias("lines"), long_ones.alias("long"))
-    rows = written(rows.groupBy("id", "mark").agg(F.first("lines").alias("lines"), F.first("long").alias("long")).withColumn("whole", F.xxhash64("lines")), "line-hashes")
-    stands = rows.groupBy("id").agg(F.min("mark").alias("mark"))
-    holders = rows.hint("merge").join(stands, ["id", "mark"])
-    wholes = written(holders.groupBy("whole").agg(F.min("id").alias("own"), F.count("*").alias("n")), "line-wholes")
-    known = spread_join(rows.select("id", "mark", "whole"), wholes, ["whole"], "n", "left").select("id", "mark", F.coalesce(F.col("own") < F.col("id"), F.lit(False)).alias("copy"), (F.col("own") == F.col("id")).alias("first"))
-    later = written(rows.hint("merge").join(known, ["id", "mark"]).drop("whole"), "line-later")
-    earlier = later.where("first").hint("merge").join(stands, ["id", "mark"]).select(F.col("id").alias("first"), "lines", "long")
-    earlier = written(earlier, "line-earlier")
+    trimmed = F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")))
+    rows = docs.where(F.col(id_col).isNotNull() & text.isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), trimmed.alias("said"))
+    hashes = F.transform("said", lambda x: F.when(x == "", F.lit(BLANK).cast("long")).otherwise(F.xxhash64(x)))
+    rows = rows.select("id", "mark", hashes.alias("lines"), F.transform("said", lambda x: F.length(x) >= min_chars).alias("long"))
+    rows = rows.repartition("id").groupBy("id", "mark").agg(F.first("lines").alias("lines"), F.first("long").alias("long"))
+    rows = rows.withColumn("stands", F.col("mark") == F.min("mark").over(Window.partitionBy("id"))).withColumn("whole", F.xxhash64("lines"))
+    rows = written(rows, "line-hashes")
+    wholes = written(rows.where("stands").groupBy("whole").agg(F.min("id").alias("own"), F.count("*").alias("n")), "line-wholes")
+    later = spread_join(rows, wholes, ["whole"], "n", "left").drop("whole")
+    later = written(later.withColumn("copy", F.coalesce(F.col("own") < F.col("id"), F.lit(False))).withColumn("stands", F.col("stands") & ~F.col("copy")), "line-later")
+    earlier = later.where("stands").select(F.col("id").alias("first"), "lines", "long")
     discard(rows, wholes)
     places = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda k: F.get("lines", k) != BLANK)
     copies = later.where("copy").select("id", "mark", places.alias("cut"))
-    later = later.where("not copy").drop("copy", "first")
+    every_row, later = later, later.where("not copy").select("id", "mark", "stands", "lines", "long")
     shown, rest = _shown()
     every = F.transform(F.concat(shown, rest), lambda x: x["key"])
-    held = earlier.select("first", F.explode(F.array_distinct(every)).alias("key"))
     firsts = earlier.select("first", F.explode(every).alias("key")).groupBy("key").agg(F.min("first").alias("first"), F.count("*").alias("holders"))
     firsts = written(firsts.where("holders > 1").withColumn("n", F.col("holders")), "line-firsts")
-    met = lambda keys: spread_join(later.select("id", "mark", F.explode(keys).alias("k")).select("id", "mark", "k.*"), firsts, ["key"], "n").where("first < id")
-    left = written(met(shown), "line-keys")
-    tables, cuts, pairs = [left], [], None
+    met = lambda keys: spread_join(later.select("id", "mark", "stands", F.explode(keys).alias("k")).select("id", "mark", "stands", "k.*"), firsts, ["key"], "n").where("first < id")
+    left, others = written(met(shown), "line-keys"), written(met(rest), "line-rest")
+    # Who holds a shared key: its first holder, and the stands among the later ones.
+    held = reduce(DataFrame.unionByName, [firsts.select("key", "first"), *[x.where("stands").select("key", F.col("id").alias("first")) for x in (left, others)]]).distinct()
+    tables, cuts, pairs = [every_row, left, others], [], None
+    keys, left, others = left, left.drop("stands"), others.drop("stands")
     for now in (f"holders <= {RARE}", f"holders > {RARE}"):
         fresh = left.where(now).select("id", "mark", "first").distinct()
         fresh = written(fresh if pairs is None else fresh.join(pairs.hint("merge"), ["id", "mark", "first"], "left_anti"), "line-pairs")
@@ -228,11 +229,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         tables += [fresh, left]
     # Lines that stay: those whose own key shows an overlap, and others of documents with any pair.
     done = reduce(DataFrame.unionByName, cuts)
-    others = met(rest).join(pairs.select("id", "mark").distinct().hint("merge"), ["id", "mark"], "left_semi")
+    others = others.join(pairs.select("id", "mark").distinct().hint("merge"), ["id", "mark"], "left_semi")
     others = written(_left(others, done), "line-left")
-    asked = tables[0].hint("merge").join(others.select("id", "mark").distinct(), ["id", "mark"], "left_semi").select("id", "mark", "key").distinct()
+    asked = keys.hint("merge").join(others.select("id", "mark").distinct(), ["id", "mark"], "left_semi").select("id", "mark", "key").distinct()
     asked = written(asked, "line-asked")
-    wanted = left.select("key").unionByName(asked.select("key")).distinct().hint("merge").join(firsts, "key").select("key", "n", F.ceil(F.col("n") / TOGETHER).alias("parts"))
+    wanted = reduce(DataFrame.unionByName, [x.select("key") for x in (left, asked, others)]).distinct().hint("merge").join(firsts, "key").select("key", "n", F.ceil(F.col("n") / TOGETHER).alias("parts"))
     wanted = written(wanted, "line-wanted")
     # The holders of a key are numbered in parts, so no task numbers all of a common key's.
     ranked = spread_join(held, wanted, ["key"], "n").withColumn("part", F.pmod(F.xxhash64("first"), "parts"))
@@ -248,7 +249,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         by_other = open_ones.join(ranked.where(f"rank > {lo}"), "key").where("first < id").select("id", "mark", "first", "rank")
         now = by_other.where(f"rank <= {hi}").select("id", "mark", "first").distinct()
         # Only partners that hold a line that stays can cut more.
-        now = now.join(others.select("id", "mark", "key"), ["id", "mark"]).join(held, ["key", "first"], "left_semi").select("id", "mark", "first")
+        now = now.join(others.select("id", "mark", "key"), ["id", "mark"]).join(ranked, ["key", "first"], "left_semi").select("id", "mark", "first")
         now = now.unionByName(by_key.where(f"rank <= {hi}").select("id", "mark", "first")).distinct().join(pairs, ["id", "mark", "first"], "left_anti")
         now = written(now, "line-pairs")
         tables.append(now)
@@ -266,12 +267,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     discard(*tables, *found)
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     out = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), own.alias("row")).hint("merge").join(cuts, ["id", "mark"], "left")
-    text, gone = F.col("row")[text_col], F.coalesce("cut", F.array().cast("array<int>"))
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, k: ~F.array_contains(gone, k)), "\n")
+    text = F.col("row")[text_col]
+    out = out.select("row", F.sort_array("cut").alias("cut"), F.split(text, "\n").alias("parts"))
+    # What stays: the runs between one cut place and the next.
+    before, after = F.concat(F.array(F.lit(-1)), "cut"), F.concat("cut", F.array(F.size("parts")))
+    kept = F.array_join(F.flatten(F.zip_with(before, after, lambda a, b: F.slice("parts", a + 2, b - a - 1))), "\n")
     return out.select(
         *[(F.when(F.col("cut").isNull(), text).otherwise(kept) if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns],
-        F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).cast("long").alias("n_lines"),
-        F.size(gone).cast("long").alias("n_removed"),
+        F.coalesce(F.size("parts"), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("cut"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 

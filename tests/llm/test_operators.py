@@ -375,3 +375,29 @@ def test_pipeline(spark):
     assert {"doc_id", "ids", "n_pieces"} <= set(after.columns) and after.count() == docs.count()
     for _, stage in p.STAGES:
         assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_line_dedup_of_odd_tables(spark):
+    """Clashing names, texts of very many lines, nulls and repeated rows."""
+    many = "\n".join(f"a long line with the number {k} in it" for k in range(30_000))
+    docs = documents(spark, [many, many + "\nand one more line at the very end", None, "", "\t\n  ", "\t\n  "])
+    for name in ("id", "mark", "cut", "row", "lines", "parts", "key", "first", "__line_cut", "a.b"):
+        docs = docs.withColumn(name, F.lit(1))
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.line_dedup(docs.unionByName(docs)).collect()}
+    assert got[0] == (many, 30_000, 0) and got[1] == ("and one more line at the very end", 30_001, 30_000)
+    assert got[2] == (None, 0, 0) and got[3] == ("", 1, 0) and got[4] == got[5] == ("\t\n  ", 2, 0)
+    out = line_dedup.line_dedup(docs)
+    assert out.columns == [*docs.columns, "n_lines", "n_removed"]
+
+
+def test_combinations_meet():
+    """Sets that share as many frequent tokens as their sizes demand have a combination in common."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        small = int(rng.integers(1, 400))
+        large = int(rng.integers(small, 100 * small // jaccard.PERCENT + 1))
+        shared = rng.integers(0, 1 << 63, int(jaccard.combination(small)), dtype=np.uint64)
+        a, b = (np.concatenate([shared, rng.integers(0, 1 << 63, int(rng.integers(0, 40)), dtype=np.uint64)]) for _ in range(2))
+        assert np.intersect1d(jaccard.combined(a, small), jaccard.combined(b, large)).size
