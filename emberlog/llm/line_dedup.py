@@ -22,7 +22,7 @@ BLANK = 0
 #: A line (or run) is rare with so many holders; only rare ones propose pairs at first.
 RARE = 8
 #: Each round of further holders tries so many times as many as all before it.
-MORE = 4
+MORE = 16
 #: Pairs with one earlier document, and holders of one key, that a task gets.
 TOGETHER = 1000
 
@@ -165,10 +165,8 @@ def _aligned(pairs: DataFrame, later: DataFrame, earlier: DataFrame) -> DataFram
 
 
 def _left(shown: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Of keys and their places, those that keep a place that isn't cut."""
-    gone = cuts.select("id", "mark", F.explode("cut").alias("c")).groupBy("id", "mark").agg(F.collect_set("c").alias("gone"))
-    found = shown.join(gone, ["id", "mark"], "left").withColumn("at", F.array_except("at", F.coalesce("gone", F.array().cast("array<int>"))))
-    return found.where(F.size("at") > 0).drop("gone")
+    """Of keys and their places, those whose place isn't cut."""
+    return shown.join(cuts.select("id", "mark", F.explode("cut").alias("at")).hint("merge"), ["id", "mark", "at"], "left_anti")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -214,7 +212,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     every = F.transform(F.concat(shown, rest), lambda x: x["key"])
     firsts = earlier.select("first", F.explode(every).alias("key")).groupBy("key").agg(F.min("first").alias("first"), F.count("*").alias("holders"))
     firsts = written(firsts.where("holders > 1").withColumn("n", F.col("holders")), "line-firsts")
-    met = lambda keys: spread_join(later.select("id", "mark", "stands", F.explode(keys).alias("k")).select("id", "mark", "stands", "k.*"), firsts, ["key"], "n").where("first < id")
+    met = lambda keys: spread_join(later.select("id", "mark", "stands", F.explode(keys).alias("k")).select("id", "mark", "stands", "k.*"), firsts, ["key"], "n").where("first < id").withColumn("at", F.explode("at"))
     left, others = written(met(shown), "line-keys"), written(met(rest), "line-rest")
     # Who holds a shared key: its first holder, and the stands among the later ones.
     held = reduce(DataFrame.unionByName, [firsts.select("key", "first"), *[x.where("stands").select("key", F.col("id").alias("first")) for x in (left, others)]]).distinct()
@@ -240,26 +238,24 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     number = F.row_number().over(Window.partitionBy("key", "part").orderBy("first"))
     ranked = written(ranked.select("key", "first", ((number - 1) * F.col("parts") + F.col("part") + 1).alias("rank")), "line-holders")
     tables += [ranked, asked, others, wanted, firsts]
-    left, others = left.select("id", "mark", "key", "at"), others.select("id", "mark", "key", "at")
-    lo = 0
-    while True:
+    kept = ("id", "mark", "key", "at")
+    left = left.select(*kept, F.lit(True).alias("shows")).unionByName(others.select(*kept, F.lit(False).alias("shows")))
+    lo, top = 0, ranked.agg(F.max("rank")).first()[0] or 0
+    while lo < top and not left.isEmpty():
         hi = lo * (MORE + 1) + MORE
-        by_key = left.join(ranked.where(f"rank > {lo}"), "key").where("first < id").select("id", "mark", "first", "rank")
-        open_ones = asked.join(others.select("id", "mark").distinct(), ["id", "mark"], "left_semi")
-        by_other = open_ones.join(ranked.where(f"rank > {lo}"), "key").where("first < id").select("id", "mark", "first", "rank")
-        now = by_other.where(f"rank <= {hi}").select("id", "mark", "first").distinct()
+        next_ones = ranked.where(f"rank > {lo} and rank <= {hi}").select("key", "first")
+        by_key = left.where("shows").join(next_ones, "key").where("first < id").select("id", "mark", "first")
+        others = left.where("not shows")
+        now = asked.join(others.select("id", "mark").distinct(), ["id", "mark"], "left_semi").join(next_ones, "key").where("first < id").select("id", "mark", "first").distinct()
         # Only partners that hold a line that stays can cut more.
         now = now.join(others.select("id", "mark", "key"), ["id", "mark"]).join(ranked, ["key", "first"], "left_semi").select("id", "mark", "first")
-        now = now.unionByName(by_key.where(f"rank <= {hi}").select("id", "mark", "first")).distinct().join(pairs, ["id", "mark", "first"], "left_anti")
-        now = written(now, "line-pairs")
+        now = written(now.unionByName(by_key).distinct().join(pairs, ["id", "mark", "first"], "left_anti"), "line-pairs")
         tables.append(now)
         if not now.isEmpty():
             cuts.append(_aligned(now, later, earlier))
-            left, others = written(_left(left, cuts[-1]), "line-left"), written(_left(others, cuts[-1]), "line-left")
-            tables += [left, others]
+            left = written(_left(left, cuts[-1]), "line-left")
+            tables.append(left)
             pairs = pairs.unionByName(now)
-        if by_key.unionByName(by_other).where(f"rank > {hi}").isEmpty():
-            break
         lo = hi
     found = cuts
     cuts = reduce(DataFrame.unionByName, found).select("id", "mark", F.explode("cut").alias("at")).groupBy("id", "mark").agg(F.collect_set("at").alias("cut"))
