@@ -29,27 +29,31 @@ SEEK_SKIPPABLE = 0x184D2A5E
 MAP_SKIPPABLE = 0x184D2A5D
 SEEK_MAGIC = 0x8F92EAB1
 
+#: Tasks of a read, and frames that a look-up task reads.
+MOST_TASKS, FRAMES_A_TASK = 20_000, 8
+
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "record_id string, page_id long, bundle string, frame int, frame_start long, frame_bytes long, offset long, length long"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, intact boolean"
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:page:{'none' if page_id is None else page_id}>"
+def record_id(page_id: int | None, digest: str) -> str:
+    """An identifier by page and payload, so pages of one id but unlike payloads differ; rows without an id get one each."""
+    return f"<urn:page:none:{uuid.uuid4().hex}>" if page_id is None else f"<urn:page:{page_id}:{digest[:32]}>"
 
 
 def page_of(identifier: str | None) -> int | None:
-    found = re.fullmatch(r"<urn:page:(-?\d+)>", identifier or "")
+    found = re.fullmatch(r"<urn:page:(-?\d+):[0-9a-f]+>", identifier or "")
     return int(found[1]) if found else None
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, date: str) -> bytes:
+def record(identifier: str, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, date: str) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {record_id(page_id)}",
+        f"WARC-Record-ID: {identifier}",
         f"WARC-Date: {date}",
         f"WARC-Payload-Digest: sha256:{digest}",
         "Content-Type: application/http; msgtype=response",
@@ -58,7 +62,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     if url is not None:
         head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f%]", lambda m: f"%{ord(m[0]):02X}", url))
     if revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -99,8 +103,8 @@ class BundleWriter:
         self.packer = zstandard.ZstdCompressor(level=3, write_content_size=True)
         self.open, self.pending, self.table, self.map, self.at = bytearray(), [], [], [], 0
 
-    def add(self, page_id: int | None, data: bytes) -> None:
-        self.pending.append((page_id, len(self.open), len(data)))
+    def add(self, identifier: str, page_id: int | None, data: bytes) -> None:
+        self.pending.append((identifier, page_id, len(self.open), len(data)))
         self.open += data
         if len(self.open) >= self.frame_bytes:
             self.flush()
@@ -110,19 +114,19 @@ class BundleWriter:
             return
         packed = self.packer.compress(bytes(self.open))
         self.file.write(packed)
-        self.map += [(page, len(self.table), self.at, len(packed), offset, length) for page, offset, length in self.pending]
+        self.map += [(name, page, len(self.table), self.at, len(packed), offset, length) for name, page, offset, length in self.pending]
         self.table.append((len(packed), len(self.open)))
         self.at += len(packed)
         self.open, self.pending = bytearray(), []
 
     def close(self) -> list[tuple]:
         self.flush()
-        places = json.dumps([[record_id(p), f, o, n] for p, f, _, _, o, n in self.map]).encode()
+        places = json.dumps([[name, f, o, n] for name, _, f, _, _, o, n in self.map]).encode()
         seek = b"".join(struct.pack("<II", *x) for x in self.table) + struct.pack("<IBI", len(self.table), 0, SEEK_MAGIC)
         for magic, body in ((MAP_SKIPPABLE, places), (SEEK_SKIPPABLE, seek)):
             self.file.write(struct.pack("<II", magic, len(body)) + body)
         self.file.close()
-        return [(record_id(p), p, self.path, f, start, size, o, n) for p, f, start, size, o, n in self.map]
+        return [(name, p, self.path, f, start, size, o, n) for name, p, f, start, size, o, n in self.map]
 
 
 def frames(bundle: str) -> Iterator[tuple[int, bytes]]:
@@ -175,8 +179,9 @@ def write_bundles(
     no other attempt uses; only those of the attempt whose index rows were written count, so a lost executor's bundles
     are written anew. A task holds one frame (frame_bytes, or one record if that is larger).
 
-    Null payloads are empty. Rows with a null id are responses. Rows that repeat the smallest id of a group are all
-    responses and share a record identifier. A null url has no target header. Other columns are ignored. An empty table
+    Null payloads are empty. Rows with a null id are responses, each with a record identifier of its own. Rows that repeat
+    the smallest id of a group are all responses; rows of one id and equal payloads share a record identifier, and the map
+    has the place of each. Very long payloads are a frame of their own. A null url has no target header. Other columns are ignored. An empty table
     writes no bundle and gives an empty index.
     """
     spark = pages.sparkSession
@@ -201,7 +206,8 @@ def write_bundles(
             for page_id, url, payload, digest, first, revisit in zip(*(batch[c] for c in ("page_id", "url", "payload", "digest", "first", "revisit"))):
                 writer = writer or BundleWriter(out_dir, f"bundle-{uuid.uuid4().hex}.warc.zst", frame_bytes)
                 page_id = None if pd.isna(page_id) else int(page_id)
-                writer.add(page_id, record(page_id, url, bytes(payload), digest, int(first) if revisit else None, bool(revisit), date))
+                name = record_id(page_id, digest)
+                writer.add(name, page_id, record(name, url, bytes(payload), digest, int(first) if revisit else None, bool(revisit), date))
                 if writer.at >= bundle_bytes:
                     yield table(writer.close())
                     writer = None
@@ -213,7 +219,6 @@ def write_bundles(
 
 def read_bundles(index: DataFrame, payloads: bool = True) -> DataFrame:
     """Every record of the bundles that an index names, a frame in memory at a time; intact: the payload has its digest."""
-    spark = index.sparkSession
     names = [x.split()[0] for x in RECORD.split(", ")]
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -229,7 +234,12 @@ def read_bundles(index: DataFrame, payloads: bool = True) -> DataFrame:
                     yield pd.DataFrame(found, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
 
     bundles = index.select("bundle").distinct()
-    return bundles.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "bundle").mapInPandas(load, RECORD)
+    return dealt(bundles, bundles.count(), "bundle").mapInPandas(load, RECORD)
+
+
+def dealt(rows: DataFrame, tasks: int, *columns: str) -> DataFrame:
+    """Rows by hash in so many tasks, MOST_TASKS at most, that small sizes don't merge: each row stands for much to read."""
+    return rows.repartition(min(max(1, tasks), MOST_TASKS), F.xxhash64(*columns))
 
 
 def lookup(index: DataFrame, ids: DataFrame, id_col: str = "page_id") -> DataFrame:
@@ -247,7 +257,7 @@ def lookup(index: DataFrame, ids: DataFrame, id_col: str = "page_id") -> DataFra
                 found = [decoded(*parse(data, at)[:2]) for at in part["offset"]]
                 yield pd.DataFrame(found, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    return wanted.repartition("bundle", "frame").mapInPandas(load, RECORD)
+    return dealt(wanted, wanted.select("bundle", "frame").distinct().count() // FRAMES_A_TASK, "bundle", "frame").mapInPandas(load, RECORD)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

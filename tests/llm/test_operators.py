@@ -183,7 +183,7 @@ def test_warc(spark, tmp_path):
     big, html = "x" * 150, "<p>é</p>"
     rows = [(3, "http://a b%", big), (1, None, big), (2, "u", html), (5, "v", html), (7, "w", None), (9, "z", "y" * 99 + "\r\n\r\n" + "q" * 30), (None, "n", big)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit(1)).repartition(3)
-    index = warc.write_bundles(pages, scratch(spark, "warc"), frame_bytes=300)
+    index = warc.write_bundles(pages, scratch(spark, "warc"), frame_bytes=300, bundle_bytes=300)
     got = {r.page_id: r for r in warc.read_bundles(index).collect()}
     for page, url, text in rows:
         raw, r = (text or "").encode(), got[page]
@@ -194,6 +194,10 @@ def test_warc(spark, tmp_path):
     assert sorted((r.page_id, bytes(r.payload)) for r in found) == [(2, html.encode()), (9, rows[5][2].encode())]
     for row in index.collect():
         assert (row.frame, row.offset, row.length) in warc.record_map(row.bundle)[row.record_id]
+    assert warc.read_bundles(index).rdd.getNumPartitions() == index.select("bundle").distinct().count() > 1
+    twice = spark.createDataFrame([(None, "a", big), (None, "b", big), (5, "c", html), (5, "d", big), (5, "d", big), (6, "e", "z" * 5_000_000)], "page_id long, url string, html string")
+    found = warc.write_bundles(twice, scratch(spark, "warc"))
+    assert len({r.record_id for r in found.collect()}) == 5 and sorted(r.payload_bytes for r in warc.read_bundles(found).collect()) == [9, 150, 150, 150, 150, 5_000_000]
     empty = warc.write_bundles(pages.limit(0), scratch(spark, "warc"))
     assert empty.count() == 0 and warc.read_bundles(empty).count() == 0
 
