@@ -405,3 +405,39 @@ def test_combinations_meet():
         shared = rng.integers(0, 1 << 63, int(jaccard.combination(small)), dtype=np.uint64)
         a, b = (np.concatenate([shared, rng.integers(0, 1 << 63, int(rng.integers(0, 40)), dtype=np.uint64)]) for _ in range(2))
         assert np.intersect1d(jaccard.combined(a, small), jaccard.combined(b, large)).size
+
+
+def test_ftrl_against_plain_python():
+    """One coordinate after the other, with plain floats."""
+    import math
+
+    import numpy as np
+
+    rng = random.Random(3)
+    examples = [(np.array(sorted(rng.sample(range(40), 6))), float(rng.random() < 0.5)) for _ in range(200)]
+    examples = [(s, 1.0 if 3 in s else y) for s, y in examples]
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.3, 0.01
+    z, n = [0.0] * 65, [0.0] * 65
+
+    def weight(k):
+        cut = 0.0 if k == 64 else l1
+        return 0.0 if abs(z[k]) <= cut else -(z[k] - math.copysign(cut, z[k])) / ((beta + math.sqrt(n[k])) / alpha + l2)
+
+    for _ in range(2):
+        for slots, label in examples:
+            at = [*slots.tolist(), 64]
+            w = [weight(k) for k in at]
+            g = 1 / (1 + math.exp(-sum(w))) - label
+            for k, v in zip(at, w):
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / alpha * v
+                n[k] += g * g
+    model = toxicity.ftrl(examples, bits=6, alpha=alpha, beta=beta, l1=l1, l2=l2, epochs=2)
+    assert model.dense() == pytest.approx([weight(k) for k in range(64)]) and model.bias == pytest.approx(weight(64))
+    assert 0 < len(model.slots) < 40
+
+
+def test_toxicity_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = toxicity.op1_toxicity(spark, sf).where("held_out").join(read(spark, sf, "labels"), "doc_id").select("predicted", "toxic").collect()
+    toxic, clean = ([r.predicted for r in rows if r.toxic == t] for t in (1, 0))
+    assert len(toxic) > 50 and sum(toxic) >= 0.7 * len(toxic) and sum(clean) <= 0.01 * len(clean)
