@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tomllib
 from dataclasses import dataclass, field
-from fnmatch import fnmatch
 
 from emberlog.functions.patterns import ConfigError, Pattern, compile_pattern, require, spark_time_format
 
@@ -64,6 +64,14 @@ def load_config(source: str | dict) -> list[Parser]:
     return [_parser(x, raw.get("components", {}), default, [], True) for x in raw.get("parsers", [])]
 
 
+def path_pattern(glob: str) -> str:
+    """A regular expression for the paths of a glob. A star stays within a folder, two cross folders; a glob without a
+    folder holds in any. A path may come with its scheme."""
+    part = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+    body = re.sub(r"\*\*/|\*\*|\*|\?|\[!?[^\]]+\]|.", lambda m: part.get(m[0]) or (m[0].replace("[!", "[^", 1) if m[0][0] == "[" and len(m[0]) > 1 else re.escape(m[0])), glob)
+    return ("^(?:[a-z0-9]+:(?://[^/]*)?)?" if "/" in glob else "^(?:.*/)?") + body + "$"
+
+
 def parsers_of(path: str, parsers: list[Parser]) -> list[Parser]:
     """The parsers whose glob matches a file, in the order of the configuration."""
-    return [p for p in parsers if fnmatch(path, p.glob) or fnmatch(path.rsplit("/", 1)[-1], p.glob)]
+    return [p for p in parsers if re.search(path_pattern(p.glob), path)]

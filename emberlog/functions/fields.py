@@ -29,7 +29,10 @@ def captures(line: Column, pattern: Pattern) -> Column:
         return F.when(line.rlike(pattern.java), F.create_map().cast("map<string,string>"))
     if not pattern.optional:
         pairs = [x for name, k in pattern.groups.items() for x in (F.lit(name), F.regexp_extract(line, pattern.java, k))]
-        return F.when(line.rlike(pattern.java), F.create_map(*pairs))
+        found = F.create_map(*pairs)
+        if pattern.solid:  # no group matches the empty text, so an empty capture is an absent group
+            found = F.map_filter(found, lambda _, v: v != "")
+        return F.when(line.rlike(pattern.java), found)
     source = pattern.python
 
     @F.pandas_udf("map<string,string>")

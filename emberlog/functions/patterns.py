@@ -60,12 +60,16 @@ def expand(pattern: str, components: dict[str, str]) -> str:
 
 @dataclass(frozen=True)
 class Pattern:
-    """A compiled pattern: the Python form, the Java form, and the number of each named group."""
+    """A compiled pattern: the Python form, the Java form, and the number of each named group.
+
+    optional: a group may be absent, and one may match the empty text, so that an empty capture can mean both.
+    """
 
     python: str
     java: str
     groups: dict[str, int]
     optional: bool
+    solid: bool = False
 
     @property
     def names(self) -> list[str]:
@@ -85,8 +89,32 @@ def compile_pattern(pattern: str, components: dict[str, str]) -> Pattern:
     except re.error as error:
         raise ConfigError(f"bad pattern {pattern!r}: {error}") from error
     java = "(?dU)" + re.sub(r"\(\?P<\w+>", "(", python)
-    optional = bool(re.search(r"\||\)[?*]|\)\{0", text))
-    return Pattern(python, java, dict(groups), optional)
+    optional = bool(re.search(r"\||\)[?*]|\)\{0", text)) and any(_may_be_empty(body) for body in _bodies(python).values())
+    return Pattern(python, java, dict(groups), optional, not any(map(_may_be_empty, _bodies(python).values())))
+
+
+def _bodies(pattern: str) -> dict[str, str]:
+    """What stands in each named group."""
+    out, stack, inside = {}, [], False
+    for m in re.finditer(r"\\.|\(\?P<(\w+)>|\(|\)|\[\^?\]?|\]", pattern):
+        if inside:
+            inside = m[0] != "]"
+        elif m[0][0] == "[":
+            inside = True
+        elif m[0][0] == "(":
+            stack.append((m[1], m.end()))
+        elif m[0] == ")" and stack:
+            name, start = stack.pop()
+            if name:
+                out[name] = pattern[start : m.start()]
+    return out
+
+
+def _may_be_empty(body: str) -> bool:
+    try:
+        return re.fullmatch(body, "") is not None
+    except re.error:  # cut at a place that isn't a group's end
+        return True
 
 
 def require(pattern: Pattern, fields: list[str], where: str) -> None:

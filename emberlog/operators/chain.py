@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from emberlog.functions.config import Parser
+from emberlog.functions.config import Parser, path_pattern
 from emberlog.functions.fields import captures, event_id, timestamp
 
 EVENT = "id string, event_type string, name string, timestamp timestamp_ntz, duration_ms long, parent_id string, data map<string,string>, raw_line string"
@@ -40,6 +40,11 @@ def _raw(parser: Parser, line="line"):
     return F.col(line) if parser.include_raw else F.lit(None).cast("string")
 
 
+def _owned(parser: Parser):
+    """Whether a line's file is one of the parser's."""
+    return F.lit(True) if parser.glob is None else F.col("file_path").rlike(path_pattern(parser.glob))
+
+
 def single_events(lines: DataFrame, parser: Parser) -> tuple[DataFrame, DataFrame]:
     """Events of a single parser, and its lines with a bad timestamp."""
     rows = lines.where(F.col("line").rlike(parser.pattern.java)).withColumn("data", captures(F.col("line"), parser.pattern))
@@ -78,6 +83,8 @@ def span_events(lines: DataFrame, parser: Parser, pending_in: DataFrame | None,
         )
         marks = marks.unionByName(restored)
     # Nested parsers see the lines that are neither START nor END; the first that yields an event decides.
+    if parser.nested and all(n.kind == "single" for n in parser.nested):
+        return _with_singles(rows, parser, ends, marks, pending_in, diagnostics, parent_mode)
     rest, inner, open_inner = rows.where("kind is null").drop("kind"), [], []
     for nested in parser.nested:
         if nested.kind == "single":
@@ -92,6 +99,37 @@ def span_events(lines: DataFrame, parser: Parser, pending_in: DataFrame | None,
     if inner:
         probes = _union(inner).select(*PLACE, _key(parser).alias("ref"), F.lit("N").alias("kind"), "id", "timestamp", "data", "raw_line", "event_type", "name", "duration_ms", "parent_id")
         marks = marks.unionByName(probes)
+    return _paired(marks, parser, open_inner, diagnostics, parent_mode)
+
+
+def _with_singles(rows, parser: Parser, ends, marks, pending_in, diagnostics, parent_mode):
+    """The marks with rows of nested single parsers, all taken from one pass over the lines."""
+    line, kind, inner, bad = F.col("line"), F.col("kind"), F.lit(None), []
+    for nested in parser.nested:
+        data = captures(line, nested.pattern)
+        at = timestamp(data["timestamp"], nested.time_format)
+        event = F.struct(F.lit(nested.name).alias("name"), data.alias("data"), at.alias("timestamp"), event_id(nested.name, *map(F.col, PLACE)).alias("id"), _raw(nested).alias("raw_line"))
+        fits = line.rlike(nested.pattern.java)
+        bad.append(F.when(kind.isNull() & inner.isNull() & fits & at.isNull(), F.lit(nested.name)))
+        inner = F.coalesce(inner, F.when(kind.isNull() & fits & at.isNotNull(), event))
+    data = F.when(kind == "S", captures(line, parser.start)).when(kind == "E", captures(line, parser.end))
+    rows = rows.withColumn("inner", inner).withColumn("own", data)
+    at = F.when(kind.isNotNull(), timestamp(F.col("own")["timestamp"], parser.time_format))
+    diagnostics.append(rows.select("file_path", F.explode(F.array_compact(F.array(*bad))).alias("parser"), F.lit("bad timestamp").alias("reason")))
+    rows = rows.withColumn("timestamp", F.coalesce(at, F.col("inner")["timestamp"])).where("inner is not null or kind = 'E' or (kind = 'S' and timestamp is not null)")
+    rows = rows.withColumn("data", F.coalesce("own", F.col("inner")["data"]))
+    found = rows.select(
+        *PLACE, _key(parser).alias("ref"), F.coalesce("kind", F.lit("N")).alias("kind"), F.coalesce(F.col("inner")["id"], event_id(parser.name, *map(F.col, PLACE))).alias("id"), "timestamp", "data",
+        F.when(kind.isNull(), F.col("inner")["raw_line"]).otherwise(_raw(parser)).alias("raw_line"), F.when(kind.isNull(), F.lit("single")).alias("event_type"), F.col("inner")["name"].alias("name"),
+        F.lit(None).cast("long").alias("duration_ms"), F.lit(None).cast("string").alias("parent_id"),
+    )
+    if pending_in is not None:
+        found = found.unionByName(marks.where("byte_offset < 0"))
+    return _paired(found, parser, [], diagnostics, parent_mode)
+
+
+def _paired(marks: DataFrame, parser: Parser, open_inner: list[DataFrame], diagnostics: list[DataFrame], parent_mode: str):
+    """Events, claimed lines, open spans and diagnostics of marks in line order."""
     before = W.partitionBy("file_path", "ref").orderBy("byte_offset").rowsBetween(W.unboundedPreceding, -1)
     last_mark = F.last(F.when(F.col("kind") != "N", F.col("kind")), ignorenulls=True).over(before)
     marks = marks.withColumn("before", last_mark).withColumn("opens", (F.col("kind") == "S") & (F.coalesce("before", F.lit("E")) == "E"))
@@ -99,40 +137,43 @@ def span_events(lines: DataFrame, parser: Parser, pending_in: DataFrame | None,
     marks = marks.withColumn("start", F.last(F.when(F.col("opens"), opened), ignorenulls=True).over(before))
     start, stop = F.col("start"), F.col("data")
     merged = F.map_concat(F.map_filter(stop, lambda k, _: ~F.map_contains_key(start["data"], k)), start["data"])
-    closed = marks.where("kind = 'E' and before = 'S' and timestamp is not null").select(
-        *PLACE, start["id"].alias("id"), F.lit("span").alias("event_type"), name.alias("name"), start["timestamp"].alias("timestamp"),
-        F.expr("timestampdiff(MILLISECOND, start.timestamp, timestamp)").alias("duration_ms"), F.lit(None).cast("string").alias("parent_id"), merged.alias("data"),
-        F.concat_ws("\n", start["raw_line"], F.col("raw_line")).alias("raw_line") if parser.include_raw else F.lit(None).cast("string").alias("raw_line"),
+    # An END that closes becomes the span's event, a nested row that is attached stays one; both in one pass.
+    end, parent = F.col("kind") == "E", start["id"] if parent_mode == "outermost" else F.coalesce("parent_id", start["id"])
+    either = lambda span, nested: F.when(end, span).otherwise(nested)
+    raw = F.concat_ws("\n", start["raw_line"], F.col("raw_line")) if parser.include_raw else F.lit(None).cast("string")
+    found = marks.where("before = 'S' and (kind = 'N' or (kind = 'E' and timestamp is not null))").select(
+        *PLACE, either(start["id"], F.col("id")).alias("id"), either(F.lit("span"), F.col("event_type")).alias("event_type"), either(F.lit(parser.name), F.col("name")).alias("name"),
+        either(start["timestamp"], F.col("timestamp")).alias("timestamp"), either(F.expr("timestampdiff(MILLISECOND, start.timestamp, timestamp)"), F.col("duration_ms")).alias("duration_ms"),
+        either(F.lit(None).cast("string"), parent).alias("parent_id"), either(merged, F.col("data")).alias("data"), either(raw, F.col("raw_line")).alias("raw_line"),
     )
-    parent = start["id"] if parent_mode == "outermost" else F.coalesce("parent_id", start["id"])
-    attached = marks.where("kind = 'N' and before = 'S'").select(*PLACE, "id", "event_type", "name", "timestamp", "duration_ms", parent.alias("parent_id"), "data", "raw_line")
     claimed = marks.where("opens and byte_offset >= 0").select(*PLACE)
-    diagnostics.append(marks.where("kind = 'S' and not opens").select("file_path", name.alias("parser"), F.lit("duplicate start").alias("reason")))
+    diagnostics.append(marks.where("kind = 'S' and not opens").select("file_path", F.lit(parser.name).alias("parser"), F.lit("duplicate start").alias("reason")))
     last = marks.where("kind <> 'N'").groupBy("file_path", "ref").agg(
         F.max_by("kind", "byte_offset").alias("kind"), F.max_by(opened, F.when(F.col("opens"), F.col("byte_offset"))).alias("start")
     )
     pending = last.where("kind = 'S'").select(
-        "file_path", name.alias("parser_name"), F.col("ref").alias("span_ref"), "start.id", "start.timestamp", "start.data", F.lit(None).cast("string").alias("parent_id"), "start.raw_line"
+        "file_path", F.lit(parser.name).alias("parser_name"), F.col("ref").alias("span_ref"), "start.id", "start.timestamp", "start.data", F.lit(None).cast("string").alias("parent_id"), "start.raw_line"
     )
-    return closed.unionByName(attached), claimed, [pending, *open_inner], diagnostics
+    return found, claimed, [pending, *open_inner], diagnostics
 
 
 def parse_logs(lines: DataFrame, parsers: list[Parser], pending_in: DataFrame | None = None, parent_mode: str = "outermost") -> Parsed:
     """Events, open spans, diagnostics and claims of lines (file_path, byte_offset, line).
 
-    Parsers are tried in order. A line is claimed when a parser emits an event for it or opens a span with it; a line
+    Parsers whose glob matches the line's file are tried in order. A line is claimed when a parser emits an event for it or opens a span with it; a line
     that isn't goes on to the next parser: no match, bad timestamp, duplicate START, END of nothing, nested event without
     an open span. Restored open spans come before the first line of their file.
     """
     rest, events, claims, pending, diagnostics = lines.select(*PLACE, "line"), [], [], [], []
     for k, parser in enumerate(parsers):
+        mine = rest.where(_owned(parser))
         if parser.kind == "single":
-            found, bad = single_events(rest, parser)
+            found, bad = single_events(mine, parser)
             diagnostics.append(bad)
-            own = rest.where(~F.col("line").rlike(parser.pattern.java) | timestamp(captures(F.col("line"), parser.pattern)["timestamp"], parser.time_format).isNull())
+            own = rest.where(~_owned(parser) | ~F.col("line").rlike(parser.pattern.java) | timestamp(captures(F.col("line"), parser.pattern)["timestamp"], parser.time_format).isNull())
             claimed = found.select(*PLACE)
         else:
-            found, opened, still_open, more = span_events(rest, parser, pending_in, parent_mode)
+            found, opened, still_open, more = span_events(mine, parser, pending_in, parent_mode)
             pending += still_open
             diagnostics += more
             claimed = found.select(*PLACE).unionByName(opened)
@@ -152,7 +193,7 @@ def pattern_coverage(lines: DataFrame, parsers: list[Parser], parsed: Parsed) ->
         own = [x for x in (p.pattern, p.start, p.end) if x is not None]
         return reduce(lambda a, b: a | b, [F.col("line").rlike(x.java) for x in own] + [matches(n) for n in p.nested])
 
-    flags = F.array_compact(F.array(*[F.when(matches(p), F.lit(p.name)) for p in parsers]))
+    flags = F.array_compact(F.array(*[F.when(_owned(p) & matches(p), F.lit(p.name)) for p in parsers]))
     hit = lines.select(*PLACE, F.explode(flags).alias("parser"))
     owner = parsed.claims.withColumnRenamed("parser", "owner")
     hit = hit.join(owner, PLACE, "left")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 ERRORS = ("ERROR", "FATAL", "CRITICAL")
 LEVELS = r"(?i)\b(TRACE|DEBUG|INFO|WARN|WARNING|ERROR|FATAL|CRITICAL)\b"
@@ -24,10 +25,11 @@ def counts(events: DataFrame, by: str = "name", unit: str = "hour", fill: bool =
     found = bucketed(events, unit).groupBy("bucket", by).agg(F.count("*").alias("n"))
     if not fill:
         return found
-    span = found.groupBy(by).agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi"))
-    every = span.select(by, F.explode(F.sequence("lo", "hi", F.expr(f"interval 1 {unit}"))).alias("bucket"))
-    own = found.withColumnRenamed(by, "_by")
-    return every.join(own, (F.col(by).eqNullSafe(F.col("_by"))) & (every["bucket"] == own["bucket"]), "left").select(every["bucket"], by, F.coalesce("n", F.lit(0)).alias("n"))
+    # Each row also brings the empty buckets up to the next row of its value: the events are aggregated once.
+    following = F.lead("bucket").over(W.partitionBy(by).orderBy("bucket"))
+    found = found.withColumn("stop", F.coalesce(following - F.expr(f"interval 1 {unit}"), F.col("bucket")))
+    found = found.select(by, "n", F.posexplode(F.sequence("bucket", "stop", F.expr(f"interval 1 {unit}"))).alias("k", "bucket"))
+    return found.select("bucket", by, F.when(F.col("k") == 0, F.col("n")).otherwise(F.lit(0)).cast("long").alias("n"))
 
 
 def error_rate(events: DataFrame, unit: str = "hour") -> DataFrame:

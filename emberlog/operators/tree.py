@@ -2,27 +2,33 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.sources.scratch import written
+
 
-def tree_paths(events: DataFrame, depth_limit: int = 16, root_id: str | None = None) -> DataFrame:
+def tree_paths(events: DataFrame, root_id: str | None = None) -> DataFrame:
     """root_id, id, parent_id, depth and path (names from the root) of every event under a root, or under one event.
 
-    Levels are joined until one is empty or the bound is met. Without children there is one join only.
+    The columns needed are written to the shared folder, and so is each level, so a level costs one join with the events
+    that have a parent; levels end when one is empty, however deep the tree is. An event has one parent, so only a walk
+    from an event within a cycle could return, and its own row is left out there.
     """
-    base = events.select("id", "parent_id", "name", "timestamp", "duration_ms", "event_type")
+    base = written(events.select("id", "parent_id", "name", "timestamp", "duration_ms", "event_type"), "tree-events")
     level = base.where("parent_id is null" if root_id is None else F.col("id") == root_id)
     level = level.select(F.col("id").alias("root_id"), "*", F.lit(0).alias("depth"), F.array("name").alias("path"), F.col("timestamp").alias("root_at"))
-    children = base.where("parent_id is not null")
-    out = level
-    for depth in range(1, depth_limit + 1):
+    children = base.where("parent_id is not null" if root_id is None else F.col("parent_id").isNotNull() & (F.col("id") != root_id))
+    out = [level]
+    while True:
         above = level.select("root_id", F.col("id").alias("parent_id"), F.col("path").alias("above"), "root_at")
-        level = children.join(above, "parent_id").select("root_id", "id", "parent_id", "name", "timestamp", "duration_ms", "event_type", F.lit(depth).alias("depth"), F.concat("above", F.array("name")).alias("path"), "root_at")
+        level = children.join(above, "parent_id").select("root_id", "id", "parent_id", "name", "timestamp", "duration_ms", "event_type", F.lit(len(out)).alias("depth"), F.concat("above", F.array("name")).alias("path"), "root_at")
+        level = written(level, "tree-level")
         if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+            return reduce(DataFrame.unionByName, out)
+        out.append(level)
 
 
 def waterfall(events: DataFrame, root_id: str | None = None) -> DataFrame:

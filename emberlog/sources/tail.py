@@ -45,7 +45,9 @@ class TailReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[Piece]:
         self.seen = {**start, **end} if not self.seen else self.seen
-        return [Piece(p, start.get(p, 0), stop) for p, stop in sorted(end.items()) if stop > start.get(p, 0)]
+        # An end before the start: the file was cut, maybe while the stream was down; what it has now is all new.
+        first = {p: 0 if stop < start.get(p, 0) else start.get(p, 0) for p, stop in end.items()}
+        return [Piece(p, first[p], stop) for p, stop in sorted(end.items()) if stop > first[p]]
 
     def read(self, piece: Piece) -> Iterator[tuple]:
         with open(piece.path, "rb") as f:
