@@ -38,24 +38,16 @@ def spark_time_format(fmt: str) -> str | None:
 
 def expand(pattern: str, components: dict[str, str]) -> str:
     """Blank runs of the pattern become \\s+, then each ${name} its component in a group; a backslash keeps the next character."""
-    out, k, pattern = [], 0, re.sub(r"\s+", lambda _: r"\s+", pattern)
-    while k < len(pattern):
-        if pattern[k] == "\\":
-            out.append(pattern[k : k + 2])
-            k += 2
-        elif pattern.startswith("${", k):
-            end = pattern.find("}", k)
-            if end < 0:
-                raise ConfigError(f"unclosed ${{ in pattern {pattern!r}")
-            name = pattern[k + 2 : end]
-            if name not in components:
-                raise ConfigError(f"missing component {name!r}")
-            out.append(f"(?:{components[name]})")
-            k = end + 1
-        else:
-            out.append(pattern[k])
-            k += 1
-    return "".join(out)
+    def instead(token: re.Match) -> str:
+        if token["name"] is None:
+            return r"\s+" if token[0].isspace() else token[0]
+        if token["close"] != "}":
+            raise ConfigError(f"unclosed ${{ in pattern {pattern!r}")
+        if token["name"] not in components:
+            raise ConfigError(f"missing component {token['name']!r}")
+        return f"(?:{components[token['name']]})"
+
+    return re.sub(r"\\[^\s]|\s+|\$\{(?P<name>[^}]*)(?P<close>\}?)", instead, pattern)
 
 
 @dataclass(frozen=True)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +13,9 @@ from emberlog.operators import alerts, filters, metrics, query, tree
 from emberlog.operators.chain import parse_logs, pattern_coverage
 from emberlog.operators.filters import Filter
 from emberlog.sources import formats, store
-from emberlog.sources.lines import event_lines
-from emberlog.streaming.ingest import start_ingest
+from emberlog.sources.lines import event_lines, read_lines
+from emberlog.sources.scratch import scratch, written
+from emberlog.streaming.ingest import live_tail, start_ingest
 
 CONFIG = r"""
 [defaults]
@@ -42,6 +41,8 @@ type = "single"
 pattern = '(?P<timestamp>${timestamp}) (?P<ref>${ref}) NOTE k=(?P<k>\d+)'
 """
 NOW = datetime(2024, 1, 25)
+#: Files of a stream batch.
+FILES = 4
 
 _LINES = """lines AS (
 SELECT 'app-' || CAST(user_id % 4 AS VARCHAR) || '.log' AS file_path, event_id AS byte_offset, date_trunc('second', ts) AS ts_,
@@ -90,14 +91,6 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed(spark, sf_dir).events
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _scalars(df: DataFrame) -> DataFrame:
     return df.select("id", "event_type", "name", "timestamp", "duration_ms", "parent_id", sorted_json(F.col("data")).alias("data"), "raw_line")
 
@@ -299,9 +292,9 @@ def alert_history(spark, sf_dir):
   SELECT 1 FROM (SELECT 'errors' AS r, \"timestamp\" AS a FROM ev WHERE duration_ms > 86400000) q WHERE r = rule AND "timestamp" >= a AND "timestamp" < a + INTERVAL 30 MINUTE)""")
 def unsilenced_alerts(spark, sf_dir):
     """Errors are silenced for half an hour from the start of each span of over a day."""
-    rows = events(spark, sf_dir)
+    rows = written(events(spark, sf_dir), "events")
     quiet = rows.where("duration_ms > 86400000").select(F.lit("errors").alias("rule"), F.col("timestamp").alias("start"), F.expr("timestamp + interval 30 minutes").alias("stop"))
-    return alerts.unsilenced(alert_matches(spark, sf_dir), quiet)
+    return alerts.unsilenced(alerts.matching(rows, _RULES).select("rule", "id", "timestamp"), quiet)
 
 
 @_register("""SELECT after_id, ref, before_id, wait_ms FROM (
@@ -310,7 +303,7 @@ def unsilenced_alerts(spark, sf_dir):
   FROM ev a JOIN ev b ON a.ref = b.ref AND a.event_type = 'span' AND b.event_type = 'span' AND a.id <> b.id
   WHERE (epoch_us(b."timestamp") - epoch_us(a."timestamp")) // 1000 - a.duration_ms BETWEEN 0 AND 86400000) WHERE n = 1""")
 def queue_wait(spark, sf_dir):
-    return alerts.queue_wait(events(spark, sf_dir), "request", "request", "ref", 86_400_000)
+    return alerts.queue_wait(written(events(spark, sf_dir).where("event_type = 'span'"), "events"), "request", "request", "ref", 86_400_000)
 
 
 @_register(f"SELECT {_COLUMNS} FROM ev WHERE NOT (name = 'app_log' AND \"timestamp\" < TIMESTAMP '2024-01-25' - INTERVAL 7 DAY) AND NOT (name = 'note' AND \"timestamp\" < TIMESTAMP '2024-01-25' - INTERVAL 2 DAY)")
@@ -321,7 +314,7 @@ def retained_events(spark, sf_dir):
 @_register("SELECT strftime(\"timestamp\", '%Y-%m') AS event_month, count(*) AS n FROM ev GROUP BY 1")
 def stored_months(spark, sf_dir):
     """Written by month, written again without effect, and read back."""
-    path = _scratch(spark, "events")
+    path = scratch(spark, "events")
     rows = events(spark, sf_dir)
     store.append_events(rows, path)
     store.append_events(rows, path)
@@ -384,17 +377,103 @@ def logfmt_ingest(spark, sf_dir):
 @_register(f"SELECT {_COLUMNS} FROM ev")
 def stream_events(spark, sf_dir):
     """The lines as a stream of four batches in line order; open spans cross the batches."""
-    root = _scratch(spark, "stream")
+    root = scratch(spark, "stream")
     lines = event_lines(spark, sf_dir)
     most = lines.agg(F.max("byte_offset")).first()[0] or 0
-    for k in range(4):  # one file a batch, in order of time
+    for k in range(4):  # FILES files a batch, in order of time
         part = lines.where((F.col("byte_offset") * 4 >= k * (most + 1)) & (F.col("byte_offset") * 4 < (k + 1) * (most + 1)))
-        part.coalesce(1).write.mode("append").parquet(f"{root}/lines")
-    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/lines")
+        part.repartition(FILES).write.mode("append").parquet(f"{root}/lines")
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", FILES).parquet(f"{root}/lines")
     start_ingest(stream, load_config(CONFIG), root).awaitTermination()
     return _scalars(spark.read.parquet(f"{root}/events").drop("batch"))
 
 
+@_register("SELECT file_path, CASE WHEN file_path IN ('app-0.log', 'app-1.log') THEN 'early' ELSE 'late' END AS name, count(*) AS n FROM line WHERE kind = 'L' GROUP BY ALL")
+def glob_events(spark, sf_dir):
+    """Two parsers that read the same lines, each for the files of its own glob; the first in order wins."""
+    one = {"type": "single", "pattern": r"(?P<timestamp>${timestamp}) LOG level=(?P<level>\w+) cents=(?P<cents>\d+)", "timestamp_format": "%Y-%m-%d %H:%M:%S"}
+    parsers = [{**one, "name": "early", "glob": "app-[01].log"}, {**one, "name": "late", "glob": "app-*.log"}]
+    config = load_config({"components": {"timestamp": r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}"}, "parsers": parsers})
+    return parse_logs(event_lines(spark, sf_dir), config).events.groupBy("file_path", "name").agg(F.count("*").alias("n"))
+
+
+@_register("""SELECT file_path, CAST(coalesce(sum(strlen(line) + 1) OVER (PARTITION BY file_path ORDER BY byte_offset ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset, line FROM line""")
+def text_offsets(spark, sf_dir):
+    """The lines as text files, read back with the byte offset of each."""
+    root = scratch(spark, "text")
+    lines = event_lines(spark, sf_dir).repartition("file_path").sortWithinPartitions("file_path", "byte_offset")
+    lines.select("file_path", "line").write.partitionBy("file_path").text(root)
+    found = read_lines(spark, f"{root}/*/*.txt")
+    return found.select(F.regexp_extract("file_path", "file_path=([^/]+)/", 1).alias("file_path"), "byte_offset", "line")
+
+
+@_register("SELECT id, \"timestamp\" FROM ev WHERE name = 'note' AND \"timestamp\" >= TIMESTAMP '2024-01-10'")
+def loaded_events(spark, sf_dir):
+    path = scratch(spark, "events")
+    store.append_events(events(spark, sf_dir), path)
+    return store.load_events(spark, path, Filter().with_name("eq", "note").with_timestamp("gte", "2024-01-10 00:00:00")).select("id", "timestamp")
+
+
+@_register(f"""SELECT file_path, {_uuid("request", "s_at")} AS id FROM (
+  SELECT file_path, ref, arg_max(kind, byte_offset) AS kind, max(CASE WHEN opens THEN byte_offset END) AS s_at FROM o
+  WHERE kind <> 'N' AND (file_path IN ('app-0.log', 'app-1.log') OR byte_offset * 2 < (SELECT max(byte_offset) + 1 FROM line)) GROUP BY file_path, ref) WHERE kind = 'S'""")
+def pending_replaced(spark, sf_dir):
+    """Open spans of the first half of the lines, of which two files' are replaced by those of all lines."""
+    lines, parsers = event_lines(spark, sf_dir), load_config(CONFIG)
+    most = lines.agg(F.max("byte_offset")).first()[0] or 0
+    half = parse_logs(lines.where(F.col("byte_offset") * 2 < most + 1), parsers).pending
+    two = parse_logs(lines.where(F.col("file_path").isin("app-0.log", "app-1.log")), parsers).pending
+    touched = spark.createDataFrame([("app-0.log", "request"), ("app-1.log", "request")], "file_path string, parser_name string")
+    return store.replace_pending(half, two, touched).select("file_path", "id")
+
+
+@_register("SELECT name, count(*) AS n, count(CASE WHEN name <> 'app_log' THEN raw_line END) AS with_raw FROM ev GROUP BY name")
+def raw_left_out(spark, sf_dir):
+    parsers = load_config(CONFIG.replace('name = "app_log"', 'name = "app_log"\ninclude_raw = false'))
+    return parse_logs(event_lines(spark, sf_dir), parsers).events.groupBy("name").agg(F.count("*").alias("n"), F.count("raw_line").alias("with_raw"))
+
+
+@_register(f"""WITH {_LINES}, b AS (SELECT *, byte_offset % 11 <> 0 AS good FROM line), m AS (
+  SELECT *, last_value(CASE WHEN kind <> 'N' THEN kind END IGNORE NULLS) OVER (PARTITION BY file_path, ref ORDER BY byte_offset ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM b WHERE kind <> 'L' AND (good OR kind = 'E'))
+SELECT CASE kind WHEN 'E' THEN 'request' ELSE 'note' END AS name, count(*) AS n FROM m WHERE good AND before = 'S' AND kind <> 'S' GROUP BY 1
+UNION ALL SELECT 'app_log', count(*) FROM b WHERE kind = 'L' AND good""", common=False)
+def bad_timestamps(spark, sf_dir):
+    """Every eleventh line names a month 13: such a START opens nothing, such an END closes and loses its span."""
+    odd = F.concat(F.substring("line", 1, 5), F.lit("13"), F.expr("substring(line, 8)"))
+    lines = event_lines(spark, sf_dir).withColumn("line", F.when(F.col("byte_offset") % 11 == 0, odd).otherwise(F.col("line")))
+    return parse_logs(lines, load_config(CONFIG)).events.groupBy("name").agg(F.count("*").alias("n"))
+
+
+@_register("""SELECT CAST(event_id - event_id % 20 AS VARCHAR) AS root_id, CAST(event_id AS VARCHAR) AS id, CAST(event_id % 20 AS INTEGER) AS depth
+FROM events WHERE event_id - event_id % 20 IN (SELECT event_id FROM events)""", common=False)
+def deep_tree(spark, sf_dir):
+    """Chains of twenty events, each the parent of the next."""
+    at = F.col("event_id")
+    parent = F.when(at % 20 != 0, (at - 1).cast("string"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        at.cast("string").alias("id"), parent.alias("parent_id"), F.col("event_type").alias("name"), F.col("ts").alias("timestamp"), F.lit(1).cast("long").alias("duration_ms"), F.lit("span").alias("event_type")
+    )
+    return tree.tree_paths(e).select("root_id", "id", "depth")
+
+
+@_register("SELECT id, \"timestamp\" FROM ev WHERE level = 'ERROR' AND cents LIKE '1%'")
+def live_tail_errors(spark, sf_dir):
+    """The stored events as a stream, filtered and appended as they come."""
+    root = scratch(spark, "tail")
+    events(spark, sf_dir).write.parquet(f"{root}/events")
+    stream = spark.readStream.schema(spark.read.parquet(f"{root}/events").schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/events")
+    found = live_tail(stream, Filter().with_data("level", "eq", "ERROR").with_data("cents", "like", "1%")).select("id", "timestamp")
+    found.writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start(f"{root}/found").awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{root}/found")
+
+
+@_register("SELECT id, \"timestamp\" FROM ev WHERE \"timestamp\" < TIMESTAMP '2024-01-15' OR (\"timestamp\" = TIMESTAMP '2024-01-15' AND id > '8') ORDER BY \"timestamp\" DESC, id LIMIT 50")
+def page_after_key(spark, sf_dir):
+    """A deep page by the key of the row before it."""
+    return query.page_after(events(spark, sf_dir), datetime(2024, 1, 15), "8").select("id", "timestamp")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
