@@ -1,7 +1,9 @@
 """The corpus pipeline: five stages over documents, each by one of the operators.
 
-Every stage works on all rows that the one before kept. Rows with null ids stay in every stage. The last stage returns
-the encoded documents.
+Every stage works on all rows that the one before kept. Null, empty and very long texts, ties, repeated rows, empty tables
+and clashing column names are as each stage's operator defines them; rows with null ids are scored, encoded and searched
+for test items like any other, and are neither cut by nor grouped with others. Of rows that share an id all stay or all go
+as near duplicates. The last stage returns the encoded documents.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import read
+from emberlog.llm.common import read, written
 from emberlog.llm.decontaminate import mark_leaks
 from emberlog.llm.jaccard import jaccard_groups
 from emberlog.llm.line_dedup import line_dedup
@@ -43,7 +45,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids and score of each document's best segmentation, with its next best ones as edits, and the decoded text's digest."""
     found = round_trip(docs)
-    return found.select("doc_id", "lang", "source", F.coalesce(F.size("encoded.ids"), F.lit(0)).cast("long").alias("n_pieces"), "encoded.score", "encoded.ids", "encoded.alternatives", "decoded_sha256", "round_trip")
+    kept = [c for c in docs.columns if c not in ("text", "n_chars", "encoded", "decoded_sha256", "round_trip", "n_pieces", "score", "ids", "alternatives")]
+    return found.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.size("encoded.ids"), F.lit(0)).cast("long").alias("n_pieces"), "encoded.score", "encoded.ids", "encoded.alternatives", "decoded_sha256", "round_trip")
 
 
 STAGES = [
@@ -54,12 +57,13 @@ STAGES = [
     ("SentencePiece encoding and decoding", pieces),
 ]
 
-#: Training, patience diff and A* search have no SQL; the stages are tested against brute force.
+#: Training, patience diff and A* search have no SQL; the rows are tested against a chain of plain Python stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stage's rows but the last's are written to the shared folder and read again as the next one's documents."""
     docs = read(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)
