@@ -364,6 +364,53 @@ def test_classifiers(spark, sf_dir):
     assert all(0 <= r.score <= 1 for r in quality.classify(odd_stats, quality.fit(stats, labels)).collect())
 
 
+def plain_lines(rows):
+    """Line dedup of (id, text) rows with all earlier overlapping documents, one pair after the other."""
+    number = {"": 0}
+    code = lambda t: [number.setdefault(x.strip(" \t\n\x0b\x0c\r"), len(number)) for x in t.split("\n")]
+    rows = sorted(rows)
+    said = {d: [x.strip(" \t\n\x0b\x0c\r") for x in (t or "").split("\n")] for d, t in rows}
+    coded = {d: code(t or "") for d, t in rows}
+    holders, out = {}, {}
+    keys = lambda d: {*said[d], *zip([x for x in said[d] if x], [x for x in said[d] if x][1:])} - {""}
+    firsts = {}
+    for d, t in rows:
+        if t is None:
+            out[d] = None
+            continue
+        whole = tuple(coded[d])
+        near = set().union(*(holders.get(k, set()) for k in keys(d))) if keys(d) else set()
+        gone = {y for e in near if overlap(said[e], said[d]) for y in line_dedup.aligned_blocks(coded[e], coded[d])}
+        if whole in firsts:
+            gone = {k for k, x in enumerate(coded[d]) if x}
+        else:
+            firsts[whole] = d
+            for k in keys(d):
+                holders.setdefault(k, set()).add(d)
+        out[d] = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
+    return out
+
+
+def test_pipeline_rows_against_plain_stages(spark):
+    """run() against the same decisions in plain Python; the toxicity scores are those of the operator, tested by itself."""
+    import corpus_pipeline as p
+
+    sf = "/root/testdata/sf0.001"
+    docs = read(spark, sf, "documents")
+    model = toxicity.train(docs, read(spark, sf, "labels"))
+    rows = [(r.doc_id, r.text) for r in toxicity.score(docs, model).collect() if r.toxicity < 0.5]
+    texts = plain_lines(rows)
+    ids = sorted(texts)
+    sets = sets_of([texts[d] for d in ids])
+    label = groups_of(sets)
+    ids = [d for k, d in enumerate(ids) if label[k] == k]
+    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    items = [" ".join(words(r.text)) for r in read(spark, sf, "benchmark").collect() if words(r.text)]
+    ids = [d for d in ids if not any(f" {x} " in f" {' '.join(words(texts[d]))} " for x in items)]
+    found = {r.doc_id: (r.decoded_sha256, r.round_trip) for r in p.run(spark, sf).collect()}
+    assert found == {d: (None if texts[d] is None else hashlib.sha256(texts[d].encode()).hexdigest(), None if texts[d] is None else True) for d in ids}
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
