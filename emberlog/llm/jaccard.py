@@ -195,6 +195,13 @@ def _combinations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 yield pa.RecordBatch.from_pydict({"a": pa.array(np.full(m, a)), "token": pa.array(found), "share": pa.array(np.full(m, (ends[k + 1] - ends[k]) / n))})
 
 
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and values of a column of lists; null lists have none."""
+    column = column.combine_chunks()
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(column)), sizes), column.flatten().to_numpy(zero_copy_only=False)
+
+
 def _family(key: tuple, table: pa.Table) -> pa.Table:
     """Links that span the components of a family's block, or of two blocks, and (document, null, number of partners).
 
@@ -237,16 +244,17 @@ def _family(key: tuple, table: pa.Table) -> pa.Table:
     if i != j:
         own = table.column("own").to_numpy()
         linked &= own[:, None] != own
-    number, earlier, at = {}, [], {d: k for k, d in enumerate(ids.tolist())}
-    for x, (pivots, near) in enumerate(zip(table.column("pivots").to_pylist(), table.column("near").to_pylist())):
-        earlier += [(x, number.setdefault(p, len(number))) for p in pivots if p < pivot]
-        others = [at[d] for d in near or () if d in at]
-        linked[x, others] = linked[others, x] = False
-    for lo in range(0, len(number), 1024):
+    order = np.argsort(ids, kind="stable")
+    x, near = _flat(table.column("near"))
+    place = order[np.minimum(np.searchsorted(ids[order], near), len(ids) - 1)]
+    here = ids[place] == near
+    linked[x[here], place[here]] = linked[place[here], x[here]] = False
+    x, pivots = _flat(table.column("pivots"))
+    x, number = x[pivots < pivot], np.unique(pivots[pivots < pivot], return_inverse=True)[1]
+    for lo in range(0, int(number.max(initial=-1)) + 1, 1024):
+        part = (number >= lo) & (number < lo + 1024)
         some = np.zeros((len(ids), 1024), np.float32)
-        for x, p in earlier:
-            if lo <= p < lo + 1024:
-                some[x, p - lo] = 1
+        some[x[part], number[part] - lo] = 1
         linked &= some @ some.T == 0
     count = linked.sum(0) + linked.sum(1)
     a, b = [x for x, _ in links], [y for _, y in links]
