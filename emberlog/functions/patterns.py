@@ -20,7 +20,7 @@ WIDTH = {"y": "yyyy", "M": "MM", "d": "dd", "H": "HH", "m": "mm", "s": "ss", "h"
 
 def spark_time_format(fmt: str) -> str | None:
     """Spark's pattern for a strftime format; None if a time in it never has both hour and minute."""
-    found = re.findall(r"%\.f|%[A-Za-z]|[^%]|%", fmt)
+    found = re.findall(r"%\.f|%[A-Za-z]|[A-Za-z]+|[^%]|%", fmt)
     if unknown := [x for x in found if x[0] == "%" and x not in DIRECTIVES]:
         raise ConfigError(f"timestamp format {fmt!r}: {unknown[0]} isn't supported")
     if not ({"%H", "%I", "%T", "%R"} & set(found) and {"%M", "%T", "%R"} & set(found)):

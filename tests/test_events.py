@@ -126,3 +126,30 @@ def test_tail_stream_with_restart(spark, tmp_path):
     rows = spark.read.parquet(f"{root}/events").collect()
     assert sorted((r.name, r.duration_ms) for r in rows if r.name == "request") == [("request", 5000)]
     assert [r.parent_id for r in rows if r.name == "note"] == [r.id for r in rows if r.name == "request"]
+
+
+def test_tail_reads_a_file_cut_while_the_stream_was_down(tmp_path):
+    path = tmp_path / "t.log"
+    path.write_text("a line that was read before the stop\n")
+    reader = TailReader(str(tmp_path / "*.log"), True)
+    reader.initialOffset()
+    committed = reader.latestOffset()
+    path.write_text("new one\nnew two\n")
+    again = TailReader(str(tmp_path / "*.log"), True)
+    found = again.latestOffset()
+    assert [r[1:] for p in again.partitions(committed, found) for r in again.read(p)] == [(0, "new one"), (8, "new two")]
+
+
+def test_spread_join(spark, monkeypatch):
+    from emberlog.operators import skew
+
+    monkeypatch.setattr(skew, "LEAST_ROWS", 5)
+    left = spark.createDataFrame([(k, "hot" if k < 50 else "cold" if k < 53 else None if k < 55 else "none") for k in range(60)], "v long, key string")
+    right = spark.createDataFrame([("hot", 50, 1), ("cold", 3, 2), ("unmet", 1, 3)], "key string, n long, w long")
+    got = {r.v: r.w for r in skew.spread_join(left, right, ["key"], "n", "left").collect()}
+    assert got == {k: 1 if k < 50 else 2 if k < 53 else None for k in range(60)}
+    assert skew.spread_join(left, right, ["key"], "n").count() == 53
+
+
+def test_tree_from_an_event_of_a_cycle(events):
+    assert {r.id: r.depth for r in tree.tree_paths(events, "e").collect()} == {"e": 0, "f": 1}
