@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberlog.llm.common import read, small_batches
+from emberlog.llm.common import discard, read, small_batches, written
 from emberlog.llm.words import SYMBOL, Words, distinct, hashed, ngrams
 
 K1, B = 1.2, 0.75
@@ -65,8 +65,19 @@ def _parts(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def build_index(items: list[tuple[int | None, str | None]], threshold: float = THRESHOLD) -> Index | None:
-    """An index of the items that have words; None if there is none."""
+@dataclass
+class Statistics:
+    """Of all items of a benchmark that have words: their number, mean and greatest length; document frequencies by term."""
+
+    n: int
+    mean: float
+    longest: int
+    terms: np.ndarray  # sorted hashes, those of the index at hand at least
+    df: np.ndarray
+
+
+def build_index(items: list[tuple[int | None, str | None]], threshold: float = THRESHOLD, stats: Statistics | None = None) -> Index | None:
+    """An index of the items that have words; None if there is none. Weights follow stats, those of the items by default."""
     ids, terms, counts, parts, lengths = [], [], [], [], []
     for item_id, text in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")):
         words = next(hashed(pa.array([text or ""]), lower=True, separator=SYMBOL))
@@ -80,8 +91,10 @@ def build_index(items: list[tuple[int | None, str | None]], threshold: float = T
     item = np.repeat(np.arange(len(ids)), [len(t) for t in terms])
     every, tf = np.concatenate(terms), np.concatenate(counts).astype(float)
     vocabulary, term, df = np.unique(every, return_inverse=True, return_counts=True)
-    idf = np.log(1 + (len(ids) - df + 0.5) / (df + 0.5))
-    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / size.mean()))
+    stats = stats or Statistics(len(ids), size.mean(), int(size.max()), vocabulary, df)
+    df = stats.df[np.searchsorted(stats.terms, vocabulary)]
+    idf = np.log(1 + (stats.n - df + 0.5) / (df + 0.5))
+    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / stats.mean))
     weight /= np.bincount(item, weight)[item]
     order = np.lexsort((item, term))
     term, item, weight = term[order], item[order], weight[order]
@@ -99,7 +112,7 @@ def build_index(items: list[tuple[int | None, str | None]], threshold: float = T
         essential[t] = False
     return Index(
         ids, vocabulary, start, item, weight, np.searchsorted(term[first], np.arange(len(vocabulary) + 1)), item[first] // BLOCK_ITEMS, block_max,
-        essential, rest, [p[0] for p in parts], [p[1] for p in parts], int(max(16, size.max())),
+        essential, rest, [p[0] for p in parts], [p[1] for p in parts], max(16, stats.longest),
     )
 
 
@@ -211,28 +224,67 @@ def leaks_in(words: Words, index: Index, threshold: float = THRESHOLD, question:
     return out
 
 
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Length and distinct terms of each item."""
+    for batch in batches:
+        cuts = batch.column("cut").to_pylist()
+        for words in hashed(batch.column("text"), lower=True, separator=SYMBOL):
+            bounds = words.bounds()
+            own = [words.hash[bounds[k] : bounds[k + 1]] for k in range(words.hi - words.lo)]
+            yield pa.RecordBatch.from_pydict({
+                "cut": pa.array(cuts[words.lo : words.hi], pa.int64()), "n": pa.array([len(x) for x in own], pa.int64()),
+                "terms": pa.array([distinct(x).view(np.int64) for x in own], pa.list_(pa.int64())),
+            })
+
+
 def benchmark_indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", index_bytes: int = INDEX_BYTES) -> Iterator[Index]:
-    """Indexes of at most about index_bytes of item text each, made one after the other: the driver holds one."""
+    """Indexes of at most about index_bytes of item text each, made one after the other: the driver holds one.
+
+    Document frequencies and lengths are those of all items, so scores don't depend on how the items are cut.
+    """
     items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    cuts = max(1, -(-2 * total // index_bytes)) if total > index_bytes else 1
+    if total <= index_bytes:
+        if (index := build_index([(r["id"], r["text"]) for r in items.collect()])) is not None:  # size checked above
+            yield index
+        return
+    cuts = -(-2 * total // index_bytes)
+    items = items.withColumn("cut", F.pmod(F.xxhash64("id", "text"), F.lit(cuts)))
+    terms = written(items.select("cut", "text").mapInArrow(_terms, "cut long, n long, terms array<long>").where("n > 0"), "bm25-terms")
+    n, mean, longest = terms.agg(F.count("*"), F.avg("n"), F.max("n")).first()
+    each = terms.select("cut", F.explode("terms").alias("term"))
+    frequencies = written(each.groupBy("term").agg(F.count("*").alias("df")), "bm25-frequencies")
     for k in range(cuts):
-        part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(cuts)) == k) if cuts > 1 else items
-        if (index := build_index([(r["id"], r["text"]) for r in part.collect()])) is not None:  # size checked above
+        own = each.where(F.col("cut") == k).select("term").distinct().hint("merge").join(frequencies, "term").toPandas()
+        own = own.assign(term=own["term"].to_numpy(np.int64).view(np.uint64)).sort_values("term")
+        stats = Statistics(n, mean, longest, own["term"].to_numpy(), own["df"].to_numpy())
+        part = [(r["id"], r["text"]) for r in items.where(F.col("cut") == k).collect()]  # of bounded size, as its terms are
+        if (index := build_index(part, stats=stats)) is not None:
             yield index
+    discard(terms, frequencies)
 
 
-def mark_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+def mark_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", index_bytes: int = INDEX_BYTES) -> DataFrame:
     """docs with a column `leaks` (replacing one of that name): the test items that each whole text holds.
 
     Null and empty texts hold nothing, and so does every text if no item has words. Items with null or empty texts are
     never found; items with equal texts are all reported. Repeated rows are marked alike. An item of fewer than three
     words in its question or answer part is verified by the other part, or by its score alone if both are so short.
+    Long texts are queried by passages, all of them. A benchmark of over index_bytes needs several indexes: what one
+    found is written before the next is broadcast, so that one is alive at a time.
     """
     small_batches(docs.sparkSession)
     docs = docs.drop("leaks").withColumn("leaks", F.array().cast(LEAK))
-    for index in benchmark_indexes(benchmark):
-        docs = _query(docs, docs.sparkSession.sparkContext.broadcast(index), text_col)
+    before = sent = None
+    for index in benchmark_indexes(benchmark, index_bytes=index_bytes):
+        if sent is not None:
+            docs = written(docs, "leaks")
+            sent.destroy()
+            if before is not None:
+                discard(before)
+            before = docs
+        sent = docs.sparkSession.sparkContext.broadcast(index)
+        docs = _query(docs, sent, text_col)
     return docs
 
 

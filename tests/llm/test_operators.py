@@ -346,6 +346,22 @@ def test_leaks(spark):
     assert decontaminate.mark_leaks(docs, bench.limit(0)).where("size(leaks) > 0").isEmpty()
 
 
+def test_leaks_by_several_indexes(spark):
+    """Items with edits of every strength, so that some scores lie near the threshold: one index and several agree."""
+    rng = random.Random(11)
+    v = vocabulary(400, rng)
+    items = [(k, " ".join(rng.choice(v) for _ in range(rng.randint(6, 30)))) for k in range(40)]
+    edited = lambda text, share: " ".join(rng.choice(v) if rng.random() < share else w for w in text.split())
+    texts = [" ".join(rng.choice(v) for _ in range(60)) + " " + edited(items[k][1], 0.05 * (k % 5)) for k in range(40)] + [None, ""]
+    bench = spark.createDataFrame([*items, (40, None), (41, "...")], "item_id long, text string")
+    total = sum(len(t) for _, t in items)
+    found = []
+    for index_bytes in (total, total // 3):
+        rows = decontaminate.mark_leaks(documents(spark, texts), bench, index_bytes=index_bytes).collect()
+        found.append({(r.doc_id, x.item_id): (round(x.score, 9), x.question, x.answer) for r in rows for x in r.leaks})
+    assert found[0] == found[1] and 8 <= len(found[0]) < 40
+
+
 def test_classifiers(spark, sf_dir):
     docs, labels = read(spark, "/root/testdata/sf0.01", "documents"), read(spark, "/root/testdata/sf0.01", "labels")
     stats = quality.document_statistics(docs)
