@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -351,6 +351,24 @@ def decode_ids(ids: list[int], names: list[str]) -> str:
     return joined(ids, spellings(names))
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], text_col: str, vocabulary: Vocabulary, n: int) -> Iterator[pa.RecordBatch]:
+    encoder = Encoder(vocabulary, n)
+    for batch in batches:
+        texts = batch.column(text_col).to_pylist()
+        ids, ends, scores, alternatives = encoder.encode(texts)
+        fields = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)), pa.array(scores, pa.float64()), pa.array(alternatives, _ALTERNATIVES)]
+        found = pa.StructArray.from_arrays(fields, ["ids", "score", "alternatives"], mask=pa.array([t is None for t in texts], pa.bool_()))
+        yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "encoded"])
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], ids_of: Callable[[pa.RecordBatch], pa.ListArray], spelt: list[bytes]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        column = ids_of(batch)
+        ids, ends = column.flatten().to_numpy(zero_copy_only=False).tolist(), np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+        texts = [joined(ids[lo:hi], spelt) if there else None for lo, hi, there in zip([0, *ends], ends, column.is_valid().to_pylist())]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+
+
 def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL, n: int = N_BEST) -> DataFrame:
     """docs with a column `encoded` (replacing one of that name): ids and score of the best path, and alternatives.
 
@@ -363,17 +381,7 @@ def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL, n: int =
     docs = docs.drop("encoded")
     sent = spark.sparkContext.broadcast(Vocabulary.load(model))
     schema = T.StructType([*docs.schema.fields, T.StructField("encoded", ENCODED)])
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(sent.value, n)
-        for batch in batches:
-            texts = batch.column(text_col).to_pylist()
-            ids, ends, scores, alternatives = encoder.encode(texts)
-            fields = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)), pa.array(scores, pa.float64()), pa.array(alternatives, _ALTERNATIVES)]
-            found = pa.StructArray.from_arrays(fields, ["ids", "score", "alternatives"], mask=pa.array([t is None for t in texts], pa.bool_()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "encoded"])
-
-    return docs.mapInArrow(apply, schema)
+    return docs.mapInArrow(lambda batches: _encoded(batches, text_col, sent.value, n), schema)
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", model: str = MODEL) -> DataFrame:
@@ -381,15 +389,7 @@ def decode(rows: DataFrame, ids_col: str = "ids", model: str = MODEL) -> DataFra
     rows = rows.drop("decoded")
     sent = rows.sparkSession.sparkContext.broadcast(spellings(Vocabulary.load(model).names))
     schema = T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())])
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(ids_col)
-            ids, ends = column.flatten().to_numpy(zero_copy_only=False).tolist(), np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
-            texts = [joined(ids[lo:hi], sent.value) if there else None for lo, hi, there in zip([0, *ends], ends, column.is_valid().to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
-
-    return rows.mapInArrow(apply, schema)
+    return rows.mapInArrow(lambda batches: _decoded(batches, lambda b: b.column(ids_col), sent.value), schema)
 
 
 def round_trip(docs: DataFrame, text_col: str = "text", model: str = MODEL, n: int = N_BEST) -> DataFrame:
@@ -397,9 +397,15 @@ def round_trip(docs: DataFrame, text_col: str = "text", model: str = MODEL, n: i
 
     These are `decoded_sha256` and `round_trip` (replacing ones of these names); null texts have null in both.
     """
-    docs = docs.drop("decoded_sha256", "round_trip", "decoded")
-    rows = decode(encode(docs, text_col, model, n).withColumn("__ids", F.col("encoded.ids")), "__ids", model)
-    return rows.withColumns({"decoded_sha256": F.sha2("decoded", 256), "round_trip": F.col("decoded") == F.col(text_col)}).drop("decoded", "__ids")
+    spark = docs.sparkSession
+    small_batches(spark)
+    docs = docs.drop("encoded", "decoded_sha256", "round_trip", "decoded")
+    vocabulary = Vocabulary.load(model)
+    sent, spelt = spark.sparkContext.broadcast(vocabulary), spark.sparkContext.broadcast(spellings(vocabulary.names))
+    schema = T.StructType([*docs.schema.fields, T.StructField("encoded", ENCODED), T.StructField("decoded", T.StringType())])
+    # Both in one pass: a second one would double the Python workers, and send every text and id through them again.
+    rows = docs.mapInArrow(lambda batches: _decoded(_encoded(batches, text_col, sent.value, n), lambda b: b.column("encoded").flatten()[0], spelt.value), schema)
+    return rows.withColumns({"decoded_sha256": F.sha2("decoded", 256), "round_trip": F.col("decoded") == F.col(text_col)}).drop("decoded")
 
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
