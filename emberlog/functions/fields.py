@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,7 +36,7 @@ def captures(line: Column, pattern: Pattern) -> Column:
 
     @F.pandas_udf("map<string,string>")
     def search(lines: pd.Series) -> pd.Series:
-        found = (re.search(source, x) if x is not None else None for x in lines)
+        found = (regex.search(source, x) if x is not None else None for x in lines)
         return pd.Series([m and {k: v for k, v in m.groupdict().items() if v is not None} for m in found], dtype=object)
 
     return search(line)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import regex
+
 
 class ConfigError(ValueError):
     """A parser configuration that can't be used."""
@@ -74,13 +76,15 @@ def compile_pattern(pattern: str, components: dict[str, str]) -> Pattern:
         raise ConfigError(f"look-around and back-references aren't supported: {pattern!r}")
     if re.search(r"\(\?[a-z]*(?:[UR]|-u)", text):
         raise ConfigError(f"unsupported inline flag: {pattern!r}")
+    text = re.sub(r"\\([pP])([A-Z])", r"\\\1{\2}", text)
     python = re.sub(r"\(\?<([A-Za-z_])", r"(?P<\1", text)
     python = re.sub(r"\[:alpha:\]", "A-Za-z", re.sub(r"\[:digit:\]", "0-9", re.sub(r"\[:alnum:\]", "A-Za-z0-9", re.sub(r"\[:space:\]", r"\\s", python))))
     try:
-        groups = re.compile(python).groupindex
-    except re.error as error:
+        groups = regex.compile(python).groupindex
+    except regex.error as error:
         raise ConfigError(f"bad pattern {pattern!r}: {error}") from error
     java = "(?dU)" + re.sub(r"\(\?P<\w+>", "(", python)
+    java = re.sub(r"\\([pP])\{(\w{3,})\}", r"\\\1{Is\2}", java)  # long names of scripts and classes
     optional = bool(re.search(r"\||\)[?*]|\)\{0", text)) and any(_may_be_empty(body) for body in _bodies(python).values())
     return Pattern(python, java, dict(groups), optional, not any(map(_may_be_empty, _bodies(python).values())))
 
@@ -104,8 +108,8 @@ def _bodies(pattern: str) -> dict[str, str]:
 
 def _may_be_empty(body: str) -> bool:
     try:
-        return re.fullmatch(body, "") is not None
-    except re.error:  # cut at a place that isn't a group's end
+        return regex.fullmatch(body, "") is not None
+    except regex.error:  # cut at a place that isn't a group's end
         return True
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from emberlog.functions.config import load_config
 from emberlog.functions.fields import short_date, sorted_json
 from emberlog.operators import alerts, filters, metrics, query, tree
-from emberlog.operators.chain import parse_logs, pattern_coverage
+from emberlog.operators.chain import EVENT, file_coverage, parse_logs, pattern_coverage
 from emberlog.operators.filters import Filter
 from emberlog.sources import formats, store
 from emberlog.sources.lines import event_lines, read_lines
@@ -95,6 +95,11 @@ def _scalars(df: DataFrame) -> DataFrame:
     return df.select("id", "event_type", "name", "timestamp", "duration_ms", "parent_id", sorted_json(F.col("data")).alias("data"), "raw_line")
 
 
+def _month_13(lines: DataFrame) -> DataFrame:
+    odd = F.concat(F.substring("line", 1, 5), F.lit("13"), F.expr("substring(line, 8)"))
+    return lines.withColumn("line", F.when(F.col("byte_offset") % 11 == 0, odd).otherwise(F.col("line")))
+
+
 QUERIES, SQL = {}, {}
 
 
@@ -147,6 +152,15 @@ def coverage(spark, sf_dir):
     return pattern_coverage(lines, parsers, parse_logs(lines, parsers))
 
 
+@_register("""SELECT file_path, count(*) AS lines, count(*) FILTER (byte_offset % 13 = 0) AS unmatched, count(*) FILTER (byte_offset % 13 <> 0 AND byte_offset % 11 = 0) AS bad_timestamps
+FROM line GROUP BY file_path""")
+def unread_lines(spark, sf_dir):
+    """Every thirteenth line is noise that no pattern matches, and others name a month 13."""
+    lines = _month_13(event_lines(spark, sf_dir)).withColumn("line", F.when(F.col("byte_offset") % 13 == 0, "noise").otherwise(F.col("line")))
+    parsers = load_config(CONFIG)
+    return file_coverage(lines, parsers, parse_logs(lines, parsers))
+
+
 @_register("""SELECT id, event_type AS kind, name, strftime("timestamp", '%Y-%m-%d %H:%M:%S') AS shown_at, duration_ms FROM ev""")
 def viewer_rows(spark, sf_dir):
     return query.rows_view(events(spark, sf_dir))
@@ -272,6 +286,27 @@ def alert_matches(spark, sf_dir):
     return alerts.matching(events(spark, sf_dir), _RULES).select("rule", "id", "timestamp")
 
 
+@_register(_MATCH + "SELECT rule, strftime(\"timestamp\", '%Y-%m') AS event_month, count(*) AS n FROM rule GROUP BY ALL")
+def stored_alerts(spark, sf_dir):
+    """Matches are stored by rule and month; a second append of the same ones adds nothing."""
+    path = scratch(spark, "alerts")
+    for _ in range(2):
+        store.append_alerts(alert_matches(spark, sf_dir), path)
+    kept = spark.read.parquet(path)
+    return kept.groupBy(F.col("rule").cast("string").alias("rule"), F.col("event_month").cast("string").alias("event_month")).agg(F.count("*").alias("n"))
+
+
+@_register("""SELECT id, event_type, name, "timestamp", duration_ms, parent_id, data, replace(raw_line, chr(10), '|') AS raw_line FROM ev""")
+def exported_files(spark, sf_dir):
+    """Events written as JSON lines, read back, written as CSV, and read back."""
+    root = scratch(spark, "export")
+    store.export_json(events(spark, sf_dir), f"{root}/json")
+    back = spark.read.schema(EVENT).json(f"{root}/json")
+    store.export_csv(back, f"{root}/csv")
+    found = spark.read.options(header=True, escape='"', multiLine=True).schema("id string, event_type string, name string, timestamp string, duration_ms long, parent_id string, data string, raw_line string").csv(f"{root}/csv")
+    return found.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")).withColumn("raw_line", F.replace("raw_line", F.lit("\n"), F.lit("|")))
+
+
 def _bursts(spark, sf_dir):
     return alerts.bursts(alert_matches(spark, sf_dir), more_than=4, minutes=60)
 
@@ -440,9 +475,7 @@ SELECT CASE kind WHEN 'E' THEN 'request' ELSE 'note' END AS name, count(*) AS n
 UNION ALL SELECT 'app_log', count(*) FROM b WHERE kind = 'L' AND good""", common=False)
 def bad_timestamps(spark, sf_dir):
     """Every eleventh line names a month 13: such a START opens nothing, such an END closes and loses its span."""
-    odd = F.concat(F.substring("line", 1, 5), F.lit("13"), F.expr("substring(line, 8)"))
-    lines = event_lines(spark, sf_dir).withColumn("line", F.when(F.col("byte_offset") % 11 == 0, odd).otherwise(F.col("line")))
-    return parse_logs(lines, load_config(CONFIG)).events.groupBy("name").agg(F.count("*").alias("n"))
+    return parse_logs(_month_13(event_lines(spark, sf_dir)), load_config(CONFIG)).events.groupBy("name").agg(F.count("*").alias("n"))
 
 
 @_register("""SELECT CAST(event_id - event_id % 20 AS VARCHAR) AS root_id, CAST(event_id AS VARCHAR) AS id, CAST(event_id % 20 AS INTEGER) AS depth

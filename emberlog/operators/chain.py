@@ -187,13 +187,22 @@ def parse_logs(lines: DataFrame, parsers: list[Parser], pending_in: DataFrame |
     return Parsed(_union(events), _union(pending), counts, _union(claims))
 
 
+def _matches(p: Parser):
+    own = [x for x in (p.pattern, p.start, p.end) if x is not None]
+    return reduce(lambda a, b: a | b, [F.col("line").rlike(x.java) for x in own] + [_matches(n) for n in p.nested])
+
+
+def file_coverage(lines: DataFrame, parsers: list[Parser], parsed: Parsed) -> DataFrame:
+    """By file: its lines, those that no pattern of a parser of the file matches, and bad timestamps (for each parser)."""
+    matched = reduce(lambda a, b: a | b, [_owned(p) & _matches(p) for p in parsers], F.lit(False))
+    counts = lines.groupBy("file_path").agg(F.count("*").alias("lines"), F.count_if(~matched).alias("unmatched"))
+    bad = parsed.diagnostics.where("reason = 'bad timestamp'").groupBy("file_path").agg(F.sum("n").alias("bad_timestamps"))
+    return counts.join(bad, "file_path", "left").withColumn("bad_timestamps", F.coalesce("bad_timestamps", F.lit(0).cast("long")))
+
+
 def pattern_coverage(lines: DataFrame, parsers: list[Parser], parsed: Parsed) -> DataFrame:
     """By file and parser: lines that match one of its patterns, that it claimed, and that others claimed."""
-    def matches(p: Parser):
-        own = [x for x in (p.pattern, p.start, p.end) if x is not None]
-        return reduce(lambda a, b: a | b, [F.col("line").rlike(x.java) for x in own] + [matches(n) for n in p.nested])
-
-    flags = F.array_compact(F.array(*[F.when(_owned(p) & matches(p), F.lit(p.name)) for p in parsers]))
+    flags = F.array_compact(F.array(*[F.when(_owned(p) & _matches(p), F.lit(p.name)) for p in parsers]))
     hit = lines.select(*PLACE, F.explode(flags).alias("parser"))
     owner = parsed.claims.withColumnRenamed("parser", "owner")
     hit = hit.join(owner, PLACE, "left")

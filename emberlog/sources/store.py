@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from emberlog.functions.fields import sorted_json
+from emberlog.functions.patterns import ConfigError
+from emberlog.operators.chain import EVENT
 from emberlog.operators.filters import Filter
 
 COLUMNS = ["id", "event_type", "name", "timestamp", "duration_ms", "parent_id", "data", "raw_line"]
+#: Column types of a new SQL table for texts that are never null; as keys they are no large objects.
+KEY_TYPES = "id VARCHAR(36), event_type VARCHAR(16), name VARCHAR(255)"
 
 
 def with_month(events: DataFrame) -> DataFrame:
@@ -20,18 +25,27 @@ def with_month(events: DataFrame) -> DataFrame:
 
 def append_events(events: DataFrame, path: str) -> None:
     """Append events whose id isn't stored yet; only the months of the batch are read for that. A retried batch adds nothing."""
-    spark = events.sparkSession
-    rows = with_month(events.select(*COLUMNS)).dropDuplicates(["id"])
+    _append(with_month(events.select(*COLUMNS)), path, ["id"], ["event_month"])
+
+
+def append_alerts(matches: DataFrame, path: str) -> None:
+    """Append matches (rule, id, timestamp) of alert rules that aren't stored yet, by rule and month."""
+    _append(with_month(matches.select("rule", "id", "timestamp")), path, ["rule", "id"], ["rule", "event_month"])
+
+
+def _append(rows: DataFrame, path: str, key: list[str], parts: list[str]) -> None:
+    spark = rows.sparkSession
+    rows = rows.dropDuplicates(key)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-        stored = spark.read.parquet(path).select("id", "event_month")
-        months = rows.select("event_month").distinct()
-        rows = rows.join(stored.join(F.broadcast(months), "event_month", "left_semi").select("id"), "id", "left_anti")  # a row a month
-    rows.write.mode("append").partitionBy("event_month").parquet(path)
+        stored = spark.read.schema(rows.schema).parquet(path).select(*{*key, *parts})
+        months = rows.select(*parts).distinct()
+        rows = rows.join(stored.join(F.broadcast(months), parts, "left_semi").select(*key), key, "left_anti")  # a row a month, and rule
+    rows.write.mode("append").partitionBy(*parts).parquet(path)
 
 
 def load_events(spark: SparkSession, path: str, filter_: Filter | None = None) -> DataFrame:
-    return (filter_ or Filter()).apply(spark.read.parquet(path).select(*COLUMNS))
+    return (filter_ or Filter()).apply(spark.read.schema(f"{EVENT}, event_month string").parquet(path).select(*COLUMNS))
 
 
 def encode_rows(events: DataFrame) -> DataFrame:
@@ -59,6 +73,50 @@ def jdbc_options(url: str, table: str = "events", **more: str) -> dict[str, str]
     return {"url": url, "dbtable": table, "batchsize": "5000", "isolationLevel": "READ_COMMITTED", **more}
 
 
+def append_jdbc(events: DataFrame, options: dict[str, str]) -> None:
+    """Append events whose id isn't stored yet, making the table where there is none; only ids of the batch's time are read."""
+    rows = encode_rows(events).dropDuplicates(["id"])
+    save = lambda df: df.write.format("jdbc").options(createTableColumnTypes=KEY_TYPES, **options).mode("append").save()
+    save(rows.limit(0))
+    first, last = rows.agg(F.min("timestamp"), F.max("timestamp")).first()
+    if first is not None:
+        stored = _table(events.sparkSession, options).where(F.col("timestamp").between(F.lit(first).cast("timestamp_ntz"), F.lit(last).cast("timestamp_ntz")))
+        save(rows.join(stored.select("id"), "id", "left_anti").select(*COLUMNS))
+
+
+def load_jdbc(spark: SparkSession, options: dict[str, str], filter_: Filter | None = None) -> DataFrame:
+    rows = _table(spark, options).withColumn("data", F.from_json("data", "map<string,string>"))
+    return (filter_ or Filter()).apply(rows.select(*COLUMNS))
+
+
+def _table(spark: SparkSession, options: dict[str, str]) -> DataFrame:
+    return spark.read.format("jdbc").options(preferTimestampNTZ="true", **options).load()
+
+
+@dataclass(frozen=True)
+class EventStore:
+    """A place for events; target is the folder of a Parquet store, or the options of a SQL table."""
+
+    kind: str
+    target: str | dict[str, str]
+
+    def append(self, events: DataFrame) -> None:
+        (append_events if self.kind == "parquet" else append_jdbc)(events, self.target)
+
+    def load(self, spark: SparkSession, filter_: Filter | None = None) -> DataFrame:
+        return (load_events if self.kind == "parquet" else load_jdbc)(spark, self.target, filter_)
+
+
+def open_store(config: dict[str, str]) -> EventStore:
+    """The store of a configuration: type parquet with a path, or type jdbc with a url and further options."""
+    rest = {k: v for k, v in config.items() if k != "type"}
+    if config.get("type") == "parquet" and set(rest) == {"path"}:
+        return EventStore("parquet", rest["path"])
+    if config.get("type") == "jdbc" and "url" in rest:
+        return EventStore("jdbc", jdbc_options(**rest))
+    raise ConfigError(f"not a store: {sorted(config)} of type {config.get('type')!r}")
+
+
 def latest_cursors(saves: DataFrame) -> DataFrame:
     """file_path, cursor of the last save (by seq) of each path."""
     return saves.groupBy("file_path").agg(F.max_by("cursor", "seq").alias("cursor"))

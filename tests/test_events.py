@@ -5,6 +5,7 @@ import pytest
 
 from emberlog.functions.config import load_config
 from emberlog.jobs.registry import CONFIG
+from emberlog.functions.patterns import ConfigError
 from emberlog.operators import filters, query, tree
 from emberlog.operators.chain import EVENT
 from emberlog.operators.filters import Filter
@@ -76,6 +77,21 @@ def test_store(spark, events, tmp_path):
     assert sorted(r.id for r in kept) == ["a", "c", "g"]
 
 
+def test_stores_by_configuration(spark, events, tmp_path):
+    sql = {"type": "jdbc", "url": f"jdbc:derby:memory:{tmp_path.name};create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    for config in ({"type": "parquet", "path": str(tmp_path / "events")}, sql):
+        kept = store.open_store(config)
+        kept.append(events.limit(0))
+        for some in (events.where("id < 'd'"), events, events):  # rows that are stored already add nothing
+            kept.append(some)
+        rows = lambda df: sorted((r.id, r.timestamp, r.duration_ms, r.parent_id, sorted(r.data.items()), r.raw_line) for r in df.collect())
+        assert rows(kept.load(spark)) == rows(events)
+        assert rows(kept.load(spark, Filter().with_data("status", "eq", "ok").with_timestamp("lt", "2025-01-01 00:00:01"))) == rows(events.where("id = 'a'"))
+    for bad in ({}, {"type": "parquet"}, {"type": "jdbc"}, {"type": "other", "path": "x"}):
+        with pytest.raises(ConfigError, match="not a store"):
+            store.open_store(bad)
+
+
 def test_resume(spark):
     files = spark.createDataFrame([("a", 100), ("b", 50), ("c", 75), ("d", 200)], "file_path string, size long")
     cursors = store.latest_cursors(spark.createDataFrame([("a", 10, 1), ("a", 30, 2), ("b", 200, 1), ("d", 20, 1)], "file_path string, cursor long, seq long"))

@@ -37,7 +37,8 @@ def test_short_date(spark):
     "pattern, line, data",
     [(r"job (?P<job>[A-Z]+)-(?P<step>\d+)", "late job QX-17 done", {"job": "QX", "step": "17"}), (r"(?P<host>\w+)(?P<port>:\d+)?;", "db1;", {"host": "db1"}),
      (r"(?P<host>\w+)(?P<port>:\d+)?;", "db1:80;", {"host": "db1", "port": ":80"}), (r"(?P<level>LOW|HIGH) (\w+)", "is HIGH tide", {"level": "HIGH"}), (r"q=(?P<query>[a-z]*)&", "?q=&x", {"query": ""}),
-     (r"(?P<a>x*)y|(?P<b>z)", "z", {"b": "z"}), (r"[(](?P<inner>[^)]*)[)]", "f()", {"inner": ""}), (r"tide", "is HIGH tide", {})],
+     (r"(?P<a>x*)y|(?P<b>z)", "z", {"b": "z"}), (r"[(](?P<inner>[^)]*)[)]", "f()", {"inner": ""}), (r"(?P<w>\p{Lu}\pL+) (?P<g>\p{Greek}+)?", "x Éva λόγος", {"w": "Éva", "g": "λόγος"}), (r"(?P<w>\p{Lu}\P{N}) (?P<g>\p{Greek}*|x)", "É! 1", {"w": "É!", "g": ""}),
+     (r"tide", "is HIGH tide", {})],
 )
 def test_captures(spark, pattern, line, data):
     got = spark.createDataFrame([(line,)], "line string").select(captures(F.col("line"), compile_pattern(pattern, {}))).first()[0]
