@@ -140,6 +140,23 @@ def open_spans(spark, sf_dir):
     return parsed(spark, sf_dir).pending.select("file_path", "parser_name", F.col("span_ref")[0].alias("ref"), "id", "timestamp", "raw_line")
 
 
+def _hot(sql: str) -> str:
+    """All lines in one file, and half of them by one user."""
+    sql = sql.replace("'app-' || CAST(user_id % 4 AS VARCHAR) || '.log' AS file_path", "'app-0.log' AS file_path")
+    return sql.replace("'U' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS ref", "CASE WHEN event_id % 2 = 0 THEN 'U000000' ELSE 'U' || lpad(CAST(user_id AS VARCHAR), 6, '0') END AS ref")
+
+
+def hot_lines(spark, sf_dir) -> DataFrame:
+    line = F.when(F.col("byte_offset") % 2 == 0, F.regexp_replace("line", r"U\d{6}", "U000000")).otherwise(F.col("line"))
+    return event_lines(spark, sf_dir).select(F.lit("app-0.log").alias("file_path"), "byte_offset", line.alias("line"))
+
+
+@_register(_hot(_EV) + f"SELECT {_COLUMNS} FROM ev", common=False)
+def hot_reference_events(spark, sf_dir):
+    """One reference of one file has half of all lines; the file is cut into chunks."""
+    return _scalars(parse_logs(hot_lines(spark, sf_dir), load_config(CONFIG), chunk=1000).events)
+
+
 @_register("SELECT file_path, 'request' AS parser, 'duplicate start' AS reason, count(*) AS n FROM o WHERE kind = 'S' AND NOT opens GROUP BY file_path")
 def diagnostics(spark, sf_dir):
     return parsed(spark, sf_dir).diagnostics
@@ -490,6 +507,58 @@ def deep_tree(spark, sf_dir):
     return tree.tree_paths(e).select("root_id", "id", "depth")
 
 
+@_register("""SELECT CAST(event_id - event_id % 20 AS VARCHAR) AS root_id, CAST(event_id AS VARCHAR) AS id, CAST(event_id % 20 AS INTEGER) AS depth
+FROM events WHERE event_id - event_id % 20 IN (SELECT event_id FROM events) AND (event_id % 60 < 40 OR event_id % 20 < 7)""", common=False)
+def cyclic_tree(spark, sf_dir):
+    """Chains of twenty events, of which each third has a cycle below its seventh event; every id comes again with another parent and a later time."""
+    at, e = F.col("event_id"), spark.read.parquet(f"{sf_dir}/events.parquet")
+    parent = F.when((at % 60 >= 40) & (at % 20 == 7), at + 2).when(at % 20 != 0, at - 1)
+    rows = e.select(at.cast("string").alias("id"), parent.cast("string").alias("parent_id"), F.col("event_type").alias("name"), F.col("ts").alias("timestamp"), F.lit(1).cast("long").alias("duration_ms"), F.lit("span").alias("event_type"))
+    again = rows.withColumns({"parent_id": F.lit("0"), "timestamp": F.expr("timestamp + interval 1 day")})
+    return tree.tree_paths(rows.unionByName(again)).select("root_id", "id", "depth")
+
+
+@_register("SELECT CAST(event_id AS VARCHAR) AS id, CAST(row_number() OVER (ORDER BY event_id) - 1 AS INTEGER) AS depth FROM events", common=False)
+def chain_depths(spark, sf_dir):
+    """One chain of all events: each hangs under the one before."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("ts").alias("timestamp"), F.col("event_type").alias("name"))
+    rows = e.join(e.select((F.col("event_id") + 1).alias("event_id"), F.col("event_id").cast("string").alias("parent_id")), "event_id", "left")
+    rows = rows.select(F.col("event_id").cast("string").alias("id"), "parent_id", "name", "timestamp", F.lit(1).cast("long").alias("duration_ms"), F.lit("span").alias("event_type"))
+    return tree.tree_paths(rows, paths=False).select("id", "depth")
+
+
+@_register(_MATCH + """SELECT rule, id, "timestamp" FROM rule WHERE NOT (rule = 'slow' AND "timestamp" >= (SELECT max("timestamp") FROM ev) - INTERVAL 5 DAY)
+AND NOT (rule = 'slow' AND "timestamp" < (SELECT min("timestamp") FROM ev) + INTERVAL 2 DAY) AND NOT (rule = 'errors' AND "timestamp" >= TIMESTAMP '2024-01-20')
+AND NOT (rule = 'errors' AND date_trunc('day', "timestamp") IN (SELECT date_trunc('day', "timestamp") FROM ev WHERE duration_ms > 432000000))""")
+def long_silences(spark, sf_dir):
+    """One rule is quiet to the year 9999 and from the year 1, the other without an end and on the days when a span of over five days began."""
+    rows = written(events(spark, sf_dir), "events")
+    day = F.date_trunc("day", "timestamp").cast("timestamp_ntz")
+    at = lambda text: F.lit(text).cast("timestamp_ntz")
+    silence = lambda df, rule, start, stop: df.select(F.lit(rule).alias("rule"), start.alias("start"), stop.alias("stop"))
+    ends = rows.agg(F.min("timestamp").alias("low"), F.max("timestamp").alias("high"))
+    quiet = silence(ends, "slow", F.expr("high - interval 5 days"), at("9999-12-31 00:00:00")).unionByName(silence(ends, "slow", at("0001-01-01 00:00:00"), F.expr("low + interval 2 days")))
+    quiet = quiet.unionByName(silence(ends, "errors", at("2024-01-20 00:00:00"), F.lit(None).cast("timestamp_ntz")))
+    quiet = quiet.unionByName(silence(rows.where("duration_ms > 432000000"), "errors", day, day + F.expr("interval 1 day")).distinct())
+    return alerts.unsilenced(alerts.matching(rows, _RULES).select("rule", "id", "timestamp"), quiet)
+
+
+@_register("""SELECT id, event_type, name, "timestamp", has_more FROM (SELECT *, count(*) OVER () > 50 AS has_more FROM (SELECT * FROM ev ORDER BY "timestamp" DESC, id LIMIT 51 OFFSET 5900)) ORDER BY "timestamp" DESC, id LIMIT 50""")
+def page_far(spark, sf_dir):
+    """Page 119 of stored events: only its range of time is sorted."""
+    path = scratch(spark, "events")
+    store.append_events(events(spark, sf_dir), path)
+    return query.page_by_range(store.load_events(spark, path), 119).select("id", "event_type", "name", "timestamp", "has_more")
+
+
+@_register("""SELECT date_trunc('day', "timestamp") AS bucket, name, count(*) AS n, quantile_disc(duration_ms, 0.5) AS p50, quantile_disc(duration_ms, 0.95) AS p95, quantile_disc(duration_ms, 0.99) AS p99
+FROM ev WHERE event_type = 'span' GROUP BY ALL""")
+def rolled_percentiles(spark, sf_dir):
+    """Percentiles of a day from stored digests of its hours."""
+    stored = written(metrics.digests(events(spark, sf_dir)), "digests")
+    return metrics.digest_percentiles(metrics.rolled_up(stored))
+
+
 @_register("SELECT id, \"timestamp\" FROM ev WHERE level = 'ERROR' AND cents LIKE '1%'")
 def live_tail_errors(spark, sf_dir):
     """The stored events as a stream, filtered and appended as they come."""

@@ -3,7 +3,7 @@
 Span state follows line order within (file, parser, reference values) and is computed with windows: among the marks of
 a key (STARTs with a valid timestamp, and all ENDs) a START opens if the mark before it is none or an END, an END closes
 if it is a START, and a nested row belongs to the span that is open at its line. The window's key holds the reference
-values, so a large file isn't one task.
+values, so a large file isn't one task; nor is a reference used all day, if files are cut into chunks (see span_state).
 """
 
 from __future__ import annotations
@@ -13,10 +13,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from emberlog.functions.config import Parser, path_pattern
 from emberlog.functions.fields import captures, event_id, timestamp
+from emberlog.operators.state import span_state
 
 EVENT = "id string, event_type string, name string, timestamp timestamp_ntz, duration_ms long, parent_id string, data map<string,string>, raw_line string"
 PENDING = "file_path string, parser_name string, span_ref array<string>, id string, timestamp timestamp_ntz, data map<string,string>, parent_id string, raw_line string"
@@ -61,7 +61,7 @@ def _key(parser: Parser, data="data"):
     return F.array(*[F.col(data)[f] for f in parser.fields])
 
 
-def span_events(lines: DataFrame, parser: Parser, pending_in: DataFrame | None, parent_mode: str = "outermost") -> tuple[DataFrame, DataFrame, list[DataFrame], list[DataFrame]]:
+def span_events(lines: DataFrame, parser: Parser, pending_in: DataFrame | None, parent_mode: str = "outermost", chunk: int | None = None) -> tuple[DataFrame, DataFrame, list[DataFrame], list[DataFrame]]:
     """Events, lines claimed by opening a span, open spans at the end (a list with nested ones), and diagnostics."""
     line = F.col("line")
     is_start, is_end = line.rlike(parser.start.java), line.rlike(parser.end.java)
@@ -84,14 +84,14 @@ def span_events(lines: DataFrame, parser: Parser, pending_in: DataFrame | None,
         marks = marks.unionByName(restored)
     # Nested parsers see the lines that are neither START nor END; the first that yields an event decides.
     if parser.nested and all(n.kind == "single" for n in parser.nested):
-        return _with_singles(rows, parser, ends, marks, pending_in, diagnostics, parent_mode)
+        return _with_singles(rows, parser, ends, marks, pending_in, diagnostics, parent_mode, chunk)
     rest, inner, open_inner = rows.where("kind is null").drop("kind"), [], []
     for nested in parser.nested:
         if nested.kind == "single":
             found, bad = single_events(rest, nested)
             diagnostics.append(bad)
         else:
-            found, _, still_open, more = span_events(rest, nested, pending_in, parent_mode)
+            found, _, still_open, more = span_events(rest, nested, pending_in, parent_mode, chunk)
             open_inner += still_open
             diagnostics += more
         inner.append(found)
@@ -99,10 +99,10 @@ def span_events(lines: DataFrame, parser: Parser, pending_in: DataFrame | None,
     if inner:
         probes = _union(inner).select(*PLACE, _key(parser).alias("ref"), F.lit("N").alias("kind"), "id", "timestamp", "data", "raw_line", "event_type", "name", "duration_ms", "parent_id")
         marks = marks.unionByName(probes)
-    return _paired(marks, parser, open_inner, diagnostics, parent_mode)
+    return _paired(marks, parser, open_inner, diagnostics, parent_mode, chunk)
 
 
-def _with_singles(rows, parser: Parser, ends, marks, pending_in, diagnostics, parent_mode):
+def _with_singles(rows, parser: Parser, ends, marks, pending_in, diagnostics, parent_mode, chunk):
     """The marks with rows of nested single parsers, all taken from one pass over the lines."""
     line, kind, inner, bad = F.col("line"), F.col("kind"), F.lit(None), []
     for nested in parser.nested:
@@ -125,16 +125,13 @@ def _with_singles(rows, parser: Parser, ends, marks, pending_in, diagnostics, pa
     )
     if pending_in is not None:
         found = found.unionByName(marks.where("byte_offset < 0"))
-    return _paired(found, parser, [], diagnostics, parent_mode)
+    return _paired(found, parser, [], diagnostics, parent_mode, chunk)
 
 
-def _paired(marks: DataFrame, parser: Parser, open_inner: list[DataFrame], diagnostics: list[DataFrame], parent_mode: str):
+def _paired(marks: DataFrame, parser: Parser, open_inner: list[DataFrame], diagnostics: list[DataFrame], parent_mode: str, chunk: int | None):
     """Events, claimed lines, open spans and diagnostics of marks in line order."""
-    before = W.partitionBy("file_path", "ref").orderBy("byte_offset").rowsBetween(W.unboundedPreceding, -1)
-    last_mark = F.last(F.when(F.col("kind") != "N", F.col("kind")), ignorenulls=True).over(before)
-    marks = marks.withColumn("before", last_mark).withColumn("opens", (F.col("kind") == "S") & (F.coalesce("before", F.lit("E")) == "E"))
+    marks = span_state(marks, ["file_path", "ref"], chunk)
     opened = F.struct("id", "timestamp", "data", "raw_line")
-    marks = marks.withColumn("start", F.last(F.when(F.col("opens"), opened), ignorenulls=True).over(before))
     start, stop = F.col("start"), F.col("data")
     merged = F.map_concat(F.map_filter(stop, lambda k, _: ~F.map_contains_key(start["data"], k)), start["data"])
     # An END that closes becomes the span's event, a nested row that is attached stays one; both in one pass.
@@ -157,12 +154,13 @@ def _paired(marks: DataFrame, parser: Parser, open_inner: list[DataFrame], diagn
     return found, claimed, [pending, *open_inner], diagnostics
 
 
-def parse_logs(lines: DataFrame, parsers: list[Parser], pending_in: DataFrame | None = None, parent_mode: str = "outermost") -> Parsed:
+def parse_logs(lines: DataFrame, parsers: list[Parser], pending_in: DataFrame | None = None, parent_mode: str = "outermost", chunk: int | None = None) -> Parsed:
     """Events, open spans, diagnostics and claims of lines (file_path, byte_offset, line).
 
     Parsers whose glob matches the line's file are tried in order. A line is claimed when a parser emits an event for it or opens a span with it; a line
     that isn't goes on to the next parser: no match, bad timestamp, duplicate START, END of nothing, nested event without
-    an open span. Restored open spans come before the first line of their file.
+    an open span. Restored open spans come before the first line of their file. chunk: bytes of a file after which a reference's
+    lines go to another task (see span_state); without it a reference of a file is one task.
     """
     rest, events, claims, pending, diagnostics = lines.select(*PLACE, "line"), [], [], [], []
     for k, parser in enumerate(parsers):
@@ -173,7 +171,7 @@ def parse_logs(lines: DataFrame, parsers: list[Parser], pending_in: DataFrame |
             own = rest.where(~_owned(parser) | ~F.col("line").rlike(parser.pattern.java) | timestamp(captures(F.col("line"), parser.pattern)["timestamp"], parser.time_format).isNull())
             claimed = found.select(*PLACE)
         else:
-            found, opened, still_open, more = span_events(mine, parser, pending_in, parent_mode)
+            found, opened, still_open, more = span_events(mine, parser, pending_in, parent_mode, chunk)
             pending += still_open
             diagnostics += more
             claimed = found.select(*PLACE).unionByName(opened)

@@ -47,3 +47,27 @@ def percentiles(events: DataFrame, unit: str = "hour", approx: bool = False) ->
     q = F.expr("percentile_approx(duration_ms, array(0.5, 0.95, 0.99))" if approx else "percentile(duration_ms, array(0.5, 0.95, 0.99))")
     found = bucketed(events.where("event_type = 'span'"), unit).groupBy("bucket", "name").agg(q.alias("q"))
     return found.select("bucket", "name", *[F.round(F.col("q")[k].cast("double"), 3).alias(f"p{p}") for k, p in enumerate((50, 95, 99))])
+
+
+#: Items a digest keeps at its lowest level. A quantile's rank is off by 0.2 % or less of all values, with 99 % confidence; exact below
+#: this count.
+DIGEST_ITEMS = 2048
+QUANTILES = (0.5, 0.95, 0.99)
+
+
+def digests(events: DataFrame, unit: str = "hour", items: int = DIGEST_ITEMS) -> DataFrame:
+    """bucket, name, digest of span durations: mergeable sketches of bounded size, to be stored and rolled up."""
+    spans = bucketed(events.where("event_type = 'span' and duration_ms is not null"), unit)
+    return spans.groupBy("bucket", "name").agg(F.kll_sketch_agg_bigint("duration_ms", F.lit(items)).alias("digest"))
+
+
+def rolled_up(stored: DataFrame, unit: str = "day", items: int = DIGEST_ITEMS) -> DataFrame:
+    """Digests of a wider bucket, from stored digests alone."""
+    wide = stored.withColumn("bucket", F.date_trunc(unit, "bucket").cast("timestamp_ntz"))
+    return wide.groupBy("bucket", "name").agg(F.kll_merge_agg_bigint("digest", F.lit(items)).alias("digest"))
+
+
+def digest_percentiles(stored: DataFrame) -> DataFrame:
+    """bucket, name, n, p50, p95, p99: values at those ranks, of stored digests."""
+    at = [F.kll_sketch_get_quantile_bigint("digest", F.lit(q)).alias(f"p{round(q * 100)}") for q in QUANTILES]
+    return stored.select("bucket", "name", F.kll_sketch_get_n_bigint("digest").alias("n"), *at)

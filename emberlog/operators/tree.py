@@ -1,34 +1,48 @@
-"""Event trees: paths from the roots, waterfalls and folded stacks. A level is a join; orphans and cycles never start."""
+"""Event trees: paths from the roots, waterfalls and folded stacks, by pointer doubling. Orphans and cycles never start."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from emberlog.sources.scratch import written
+from emberlog.sources.scratch import discard, written
+
+_OWN = ["id", "parent_id", "name", "timestamp", "duration_ms", "event_type"]
+
+
+def _jump(rows: DataFrame) -> DataFrame:
+    """Rows whose ancestor is a root take its root, the others their ancestor's ancestor; what has no ancestor row goes."""
+    above = rows.select(F.col("id").alias("above"), F.col("above").alias("next"), F.col("root_id").alias("its_root"), F.col("depth").alias("more"), F.col("path").alias("before"), F.col("root_at").alias("its_at"))
+    going = rows.where("above is not null").join(above, "above")
+    going = going.withColumns({"depth": F.col("depth") + F.col("more"), "path": F.concat("before", "path"), "root_id": F.col("its_root"), "root_at": F.col("its_at"), "above": F.col("next")})
+    return rows.where("above is null").unionByName(going.select(*rows.columns))
 
 
-def tree_paths(events: DataFrame, root_id: str | None = None) -> DataFrame:
+def tree_paths(events: DataFrame, root_id: str | None = None, paths: bool = True) -> DataFrame:
     """root_id, id, parent_id, depth and path (names from the root) of every event under a root, or under one event.
 
-    The columns needed are written to the shared folder, and so is each level, so a level costs one join with the events
-    that have a parent; levels end when one is empty, however deep the tree is. An event has one parent, so only a walk
-    from an event within a cycle could return, and its own row is left out there.
+    Each event points to an ancestor and holds the names on the way; a round replaces the pointer by the ancestor's own,
+    twice, so a tree of depth d takes log4(d) rounds, each one join of a written table with itself. A round in which no event reaches
+    its root is the last: what is left then is in a cycle or hangs under one. Of rows that share an id the earliest counts
+    (of those, the least by name and parent); rows without an id are left out. paths=False leaves the paths null: they add up to
+    the square of a chain's length.
     """
-    base = written(events.select("id", "parent_id", "name", "timestamp", "duration_ms", "event_type"), "tree-events")
-    level = base.where("parent_id is null" if root_id is None else F.col("id") == root_id)
-    level = level.select(F.col("id").alias("root_id"), "*", F.lit(0).alias("depth"), F.array("name").alias("path"), F.col("timestamp").alias("root_at"))
-    children = base.where("parent_id is not null" if root_id is None else F.col("parent_id").isNotNull() & (F.col("id") != root_id))
-    out = [level]
+    least = F.min(F.struct("timestamp", "name", "parent_id", "duration_ms", "event_type"))
+    base = events.where("id is not null").groupBy("id").agg(least.alias("e")).select("id", "e.*").select(*_OWN)
+    above = F.col("parent_id") if root_id is None else F.when(F.col("id") != root_id, F.coalesce("parent_id", F.lit("")))
+    root = lambda c: F.when(above.isNull(), F.col(c))
+    rows = base.select(*_OWN, above.alias("above"), root("id").alias("root_id"), F.lit(0).alias("depth"), (F.array("name") if paths else F.lit(None).cast("array<string>")).alias("path"), root("timestamp").alias("root_at"))
+    rows = written(rows.withColumn("depth", F.when(F.col("above").isNull(), 0).otherwise(1)), "tree")
+    reached = -1
     while True:
-        above = level.select("root_id", F.col("id").alias("parent_id"), F.col("path").alias("above"), "root_at")
-        level = children.join(above, "parent_id").select("root_id", "id", "parent_id", "name", "timestamp", "duration_ms", "event_type", F.lit(len(out)).alias("depth"), F.concat("above", F.array("name")).alias("path"), "root_at")
-        level = written(level, "tree-level")
-        if level.isEmpty():
-            return reduce(DataFrame.unionByName, out)
-        out.append(level)
+        seen = Observation()
+        following = written(_jump(_jump(rows)).observe(seen, F.count_if(F.col("above").isNull()).alias("reached"), F.count("*").alias("all")), "tree")
+        discard(rows)
+        rows, before, found = following, reached, seen.get
+        reached = found["reached"]
+        if reached in (before, found["all"]):
+            break
+    return rows.where("above is null").select("root_id", *_OWN, "depth", "path", "root_at")
 
 
 def waterfall(events: DataFrame, root_id: str | None = None) -> DataFrame:
