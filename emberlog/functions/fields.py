@@ -42,9 +42,9 @@ def captures(line: Column, pattern: Pattern) -> Column:
     return search(line)
 
 
-def event_id(parser: str, file_path: Column, byte_offset: Column) -> Column:
+def event_id(parser: str | Column, file_path: Column, byte_offset: Column) -> Column:
     """The same for the same line in every run: an MD5 in the usual 8-4-4-4-12 form."""
-    h = F.md5(F.concat_ws("|", F.lit(parser), file_path, byte_offset.cast("string")))
+    h = F.md5(F.concat_ws("|", parser if isinstance(parser, Column) else F.lit(parser), file_path, byte_offset.cast("string")))
     return F.concat_ws("-", h.substr(1, 8), h.substr(9, 4), h.substr(13, 4), h.substr(17, 4), h.substr(21, 12))
 
 

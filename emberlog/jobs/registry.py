@@ -140,6 +140,12 @@ def open_spans(spark, sf_dir):
     return parsed(spark, sf_dir).pending.select("file_path", "parser_name", F.col("span_ref")[0].alias("ref"), "id", "timestamp", "raw_line")
 
 
+@_register(f"SELECT {_COLUMNS} FROM ev")
+def one_pass_events(spark, sf_dir):
+    """No line fits two patterns: one scan for all parsers, one window for all spans."""
+    return _scalars(parse_logs(event_lines(spark, sf_dir), load_config(CONFIG), disjoint=True).events)
+
+
 def _hot(sql: str) -> str:
     """All lines in one file, and half of them by one user."""
     sql = sql.replace("'app-' || CAST(user_id % 4 AS VARCHAR) || '.log' AS file_path", "'app-0.log' AS file_path")

@@ -40,7 +40,7 @@ def _raw(parser: Parser, line="line"):
     return F.col(line) if parser.include_raw else F.lit(None).cast("string")
 
 
-def _owned(parser: Parser):
+def owned(parser: Parser):
     """Whether a line's file is one of the parser's."""
     return F.lit(True) if parser.glob is None else F.col("file_path").rlike(path_pattern(parser.glob))
 
@@ -154,21 +154,26 @@ def _paired(marks: DataFrame, parser: Parser, open_inner: list[DataFrame], diagn
     return found, claimed, [pending, *open_inner], diagnostics
 
 
-def parse_logs(lines: DataFrame, parsers: list[Parser], pending_in: DataFrame | None = None, parent_mode: str = "outermost", chunk: int | None = None) -> Parsed:
+def parse_logs(lines: DataFrame, parsers: list[Parser], pending_in: DataFrame | None = None, parent_mode: str = "outermost", chunk: int | None = None, disjoint: bool = False) -> Parsed:
     """Events, open spans, diagnostics and claims of lines (file_path, byte_offset, line).
 
     Parsers whose glob matches the line's file are tried in order. A line is claimed when a parser emits an event for it or opens a span with it; a line
     that isn't goes on to the next parser: no match, bad timestamp, duplicate START, END of nothing, nested event without
     an open span. Restored open spans come before the first line of their file. chunk: bytes of a file after which a reference's
-    lines go to another task (see span_state); without it a reference of a file is one task.
+    lines go to another task (see span_state); without it a reference of a file is one task. disjoint: no line fits patterns of two
+    parsers, so the lines are read once for all of them, at once (see onepass).
     """
+    if disjoint:
+        from emberlog.operators.onepass import parse_disjoint
+
+        return parse_disjoint(lines, parsers, pending_in, parent_mode, chunk)
     rest, events, claims, pending, diagnostics = lines.select(*PLACE, "line"), [], [], [], []
     for k, parser in enumerate(parsers):
-        mine = rest.where(_owned(parser))
+        mine = rest.where(owned(parser))
         if parser.kind == "single":
             found, bad = single_events(mine, parser)
             diagnostics.append(bad)
-            own = rest.where(~_owned(parser) | ~F.col("line").rlike(parser.pattern.java) | timestamp(captures(F.col("line"), parser.pattern)["timestamp"], parser.time_format).isNull())
+            own = rest.where(~owned(parser) | ~F.col("line").rlike(parser.pattern.java) | timestamp(captures(F.col("line"), parser.pattern)["timestamp"], parser.time_format).isNull())
             claimed = found.select(*PLACE)
         else:
             found, opened, still_open, more = span_events(mine, parser, pending_in, parent_mode, chunk)
@@ -192,7 +197,7 @@ def _matches(p: Parser):
 
 def file_coverage(lines: DataFrame, parsers: list[Parser], parsed: Parsed) -> DataFrame:
     """By file: its lines, those that no pattern of a parser of the file matches, and bad timestamps (for each parser)."""
-    matched = reduce(lambda a, b: a | b, [_owned(p) & _matches(p) for p in parsers], F.lit(False))
+    matched = reduce(lambda a, b: a | b, [owned(p) & _matches(p) for p in parsers], F.lit(False))
     counts = lines.groupBy("file_path").agg(F.count("*").alias("lines"), F.count_if(~matched).alias("unmatched"))
     bad = parsed.diagnostics.where("reason = 'bad timestamp'").groupBy("file_path").agg(F.sum("n").alias("bad_timestamps"))
     return counts.join(bad, "file_path", "left").withColumn("bad_timestamps", F.coalesce("bad_timestamps", F.lit(0).cast("long")))
@@ -200,7 +205,7 @@ def file_coverage(lines: DataFrame, parsers: list[Parser], parsed: Parsed) -> Da
 
 def pattern_coverage(lines: DataFrame, parsers: list[Parser], parsed: Parsed) -> DataFrame:
     """By file and parser: lines that match one of its patterns, that it claimed, and that others claimed."""
-    flags = F.array_compact(F.array(*[F.when(_owned(p) & _matches(p), F.lit(p.name)) for p in parsers]))
+    flags = F.array_compact(F.array(*[F.when(owned(p) & _matches(p), F.lit(p.name)) for p in parsers]))
     hit = lines.select(*PLACE, F.explode(flags).alias("parser"))
     owner = parsed.claims.withColumnRenamed("parser", "owner")
     hit = hit.join(owner, PLACE, "left")
