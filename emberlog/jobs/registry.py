@@ -16,6 +16,7 @@ from emberlog.sources import formats, store
 from emberlog.sources.lines import event_lines, read_lines
 from emberlog.sources.scratch import scratch, written
 from emberlog.streaming.ingest import live_tail, start_ingest
+from emberlog.streaming.keyed import start_keyed
 
 CONFIG = r"""
 [defaults]
@@ -432,20 +433,32 @@ def logfmt_ingest(spark, sf_dir):
     return found.select(F.col("byte_offset").alias("event_id"), "timestamp", F.col("data")["level"].alias("level"), F.col("data")["msg"].alias("msg"))
 
 
-@_register(f"SELECT {_COLUMNS} FROM ev")
-def stream_events(spark, sf_dir):
-    """The lines as a stream of four batches in line order; open spans cross the batches."""
-    root = scratch(spark, "stream")
+def _pieces(spark, sf_dir, root: str) -> DataFrame:
+    """The lines as a stream of four batches in line order."""
     lines = event_lines(spark, sf_dir)
     most = lines.agg(F.max("byte_offset")).first()[0] or 0
     for k in range(4):  # FILES files a batch, in order of time
         part = lines.where((F.col("byte_offset") * 4 >= k * (most + 1)) & (F.col("byte_offset") * 4 < (k + 1) * (most + 1)))
         part.repartition(FILES).write.mode("append").parquet(f"{root}/lines")
-    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", FILES).parquet(f"{root}/lines")
-    start_ingest(stream, load_config(CONFIG), root).awaitTermination()
+    return spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", FILES).parquet(f"{root}/lines")
+
+
+@_register(f"SELECT {_COLUMNS} FROM ev")
+def stream_events(spark, sf_dir):
+    """The lines as a stream of four batches; open spans cross the batches."""
+    root = scratch(spark, "stream")
+    start_ingest(_pieces(spark, sf_dir, root), load_config(CONFIG), root).awaitTermination()
     return _scalars(spark.read.parquet(f"{root}/events").drop("batch"))
 
 
+@_register(f"SELECT {_COLUMNS} FROM ev")
+def keyed_stream_events(spark, sf_dir):
+    """The same stream by the keyed state operator."""
+    root = scratch(spark, "keyed")
+    start_keyed(_pieces(spark, sf_dir, root), load_config(CONFIG), root).awaitTermination()
+    return _scalars(spark.read.schema(EVENT).parquet(f"{root}/events"))
+
+
 @_register("SELECT file_path, CASE WHEN file_path IN ('app-0.log', 'app-1.log') THEN 'early' ELSE 'late' END AS name, count(*) AS n FROM line WHERE kind = 'L' GROUP BY ALL")
 def glob_events(spark, sf_dir):
     """Two parsers that read the same lines, each for the files of its own glob; the first in order wins."""
