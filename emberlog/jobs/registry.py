@@ -15,6 +15,7 @@ from emberlog.operators.filters import Filter
 from emberlog.sources import formats, store
 from emberlog.sources.lines import event_lines, read_lines
 from emberlog.sources.scratch import scratch, written
+from emberlog.sources.tail import LINES, TailSource
 from emberlog.streaming.ingest import live_tail, start_ingest
 from emberlog.streaming.keyed import start_keyed
 
@@ -474,10 +475,29 @@ def text_offsets(spark, sf_dir):
     root = scratch(spark, "text")
     lines = event_lines(spark, sf_dir).repartition("file_path").sortWithinPartitions("file_path", "byte_offset")
     lines.select("file_path", "line").write.partitionBy("file_path").text(root)
-    found = read_lines(spark, f"{root}/*/*.txt")
+    found = read_lines(spark, f"{root}/*/*.txt", piece_bytes=100_000)
     return found.select(F.regexp_extract("file_path", "file_path=([^/]+)/", 1).alias("file_path"), "byte_offset", "line")
 
 
+@_register("SELECT file_path, count(*) AS n, CAST(sum(strlen(line)) AS BIGINT) AS bytes FROM line GROUP BY file_path")
+def tailed_lines(spark, sf_dir):
+    """The lines as text files, tailed by address in batches of bounded size."""
+    root = scratch(spark, "tailed")
+    event_lines(spark, sf_dir).repartition("file_path").sortWithinPartitions("file_path", "byte_offset").select("file_path", "line").write.partitionBy("file_path").text(f"{root}/in")
+    spark.dataSource.register(TailSource)
+    size = spark.read.format("binaryFile").load(f"{root}/in/*/*.txt").agg(F.sum("length")).first()[0] or 0
+    stream = spark.readStream.format("logtail").options(path=f"{root}/in/*/*.txt", starting_position="earliest", max_bytes=str(size // 3 + 1)).load()
+    query_ = stream.writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint").trigger(processingTime="0 seconds").start(f"{root}/out")
+    batches = -1
+    try:
+        while batches < (batches := len(query_.recentProgress)):  # a call waits for what was there at the next poll
+            query_.processAllAvailable()
+    finally:
+        query_.stop()
+    found = spark.read.schema(LINES).parquet(f"{root}/out").withColumn("file_path", F.regexp_extract("file_path", "file_path=([^/]+)/", 1))
+    return found.groupBy("file_path").agg(F.count("*").alias("n"), F.sum(F.octet_length("line")).alias("bytes"))
+
+
 @_register("SELECT id, \"timestamp\" FROM ev WHERE name = 'note' AND \"timestamp\" >= TIMESTAMP '2024-01-10'")
 def loaded_events(spark, sf_dir):
     path = scratch(spark, "events")

@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from emberlog.sources.tail import PIECE_BYTES, RangeSource
+
+
+def read_lines(spark: SparkSession, paths: str | list[str], piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """file_path, byte_offset, line of all files of some globs; a line ends with \\n or \\r\\n. One narrow scan of byte ranges.
+
+    The paths are local ones or addresses that pyarrow.fs opens; text_lines reads what Spark alone can open.
+    """
+    spark.dataSource.register(RangeSource)
+    return spark.read.format("loglines").option("path", json.dumps([paths] if isinstance(paths, str) else paths)).option("piece_bytes", piece_bytes).load()
+
 
-def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """file_path, byte_offset, line of all files of some globs; a line ends with \\n or \\r\\n.
+def text_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """The same by Spark's own text source, for any path that it reads; all lines are shuffled.
 
     Offsets are sums within a split plus the totals of the file's earlier splits, of which there are few.
     """
