@@ -23,7 +23,7 @@ SYMBOLS, CHUNKS, ERRORS = 64, 16, 1
 DISTANCE = (ERRORS + 1) * CHUNKS - 1
 #: Bits of each symbol by which distances are taken; symbols that differ in them differ, so no distance is too large.
 PLANES = 4
-#: Documents and bytes of text of one block of a family, and bytes of small families that share a task's group.
+#: Documents and bytes of text of one block of a family; small families share a group of about BLOCK documents or CELL_BYTES.
 BLOCK, BLOCK_BYTES, CELL_BYTES = 256, 8 << 20, 4 << 20
 
 _FACTORS = seeds(SYMBOLS, 1301)
@@ -203,8 +203,8 @@ def family_links(family: DataFrame, docs: DataFrame, kind: str) -> DataFrame:
     lengths = docs.groupBy("id").agg(F.sum(text_bytes(F.col("text"))).alias("bytes"))
     sizes = family.hint("merge").join(lengths, "id").groupBy("pivot").agg(F.count("*").alias("m"), F.sum("bytes").alias("bytes"))
     sizes = written(sizes.where("m > 1").withColumn("blocks", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES))), "minhash-blocks")
-    total = sizes.where("blocks = 1").agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    cells = int(total // CELL_BYTES + 1)
+    total = sizes.where("blocks = 1").agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
+    cells = int(max(total[0] // CELL_BYTES, total[1] // BLOCK) + 1)
     placed = spread_join(family, sizes.drop("bytes"), ["pivot"], "m").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
     placed = written(placed.select("pivot", "id", "blocks", "own", (F.col("id") == F.col("pivot")).alias("hub")), "minhash-family")
     wanted = placed.select("id").distinct()
