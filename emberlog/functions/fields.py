@@ -7,13 +7,16 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from emberlog.functions.patterns import Pattern
+from emberlog.functions.patterns import STRPTIME, Pattern
+from emberlog.functions.times import strptime
 
 
 def timestamp(text: Column, java_format: str | None) -> Column:
     """The whole text as a zone-less timestamp; null if it doesn't parse or the format has no time of day."""
     if java_format is None:
         return F.lit(None).cast("timestamp_ntz")
+    if java_format.startswith(STRPTIME):
+        return strptime(text, java_format.removeprefix(STRPTIME))
     return F.try_to_timestamp(text, F.lit(java_format)).cast("timestamp_ntz")
 
 

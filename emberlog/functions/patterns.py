@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 import regex
 
+from emberlog.functions.times import complete, format_pattern
+
 
 class ConfigError(ValueError):
     """A parser configuration that can't be used."""
@@ -20,11 +22,19 @@ DIRECTIVES = {
 WIDTH = {"y": "yyyy", "M": "MM", "d": "dd", "H": "HH", "m": "mm", "s": "ss", "h": "hh"}
 
 
+#: What a format begins with that an Arrow helper reads.
+STRPTIME = "strptime "
+
+
 def spark_time_format(fmt: str) -> str | None:
-    """Spark's pattern for a strftime format; None if a time in it never has both hour and minute."""
-    found = re.findall(r"%\.f|%[A-Za-z]|[A-Za-z]+|[^%]|%", fmt)
+    """Spark's pattern for a strftime format, or STRPTIME and the format if Spark has no pattern for it; None if a time in it
+    never has both hour and minute."""
+    found = re.findall(r"%\.f|%:z|%[A-Za-z%]|[A-Za-z]+|[^%]|%", fmt)
     if unknown := [x for x in found if x[0] == "%" and x not in DIRECTIVES]:
-        raise ConfigError(f"timestamp format {fmt!r}: {unknown[0]} isn't supported")
+        rare = format_pattern(fmt)
+        if rare is None:
+            raise ConfigError(f"timestamp format {fmt!r}: {unknown[0]} isn't supported")
+        return STRPTIME + fmt if complete(rare) else None
     if not ({"%H", "%I", "%T", "%R"} & set(found) and {"%M", "%T", "%R"} & set(found)):
         return None
     out = []

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.functions.config import load_config
-from emberlog.functions.fields import short_date, sorted_json
+from emberlog.functions.fields import short_date, sorted_json, timestamp
+from emberlog.functions.patterns import spark_time_format
 from emberlog.operators import alerts, filters, metrics, query, tree
 from emberlog.operators.chain import EVENT, file_coverage, parse_logs, pattern_coverage
 from emberlog.operators.filters import Filter
@@ -16,7 +17,7 @@ from emberlog.sources import formats, store
 from emberlog.sources.lines import event_lines, read_lines
 from emberlog.sources.scratch import scratch, written
 from emberlog.sources.tail import LINES, TailSource
-from emberlog.streaming.ingest import live_tail, start_ingest
+from emberlog.streaming.ingest import burst_windows, live_tail, start_ingest, windowed_counts
 from emberlog.streaming.keyed import start_keyed
 
 CONFIG = r"""
@@ -460,6 +461,134 @@ def keyed_stream_events(spark, sf_dir):
     return _scalars(spark.read.schema(EVENT).parquet(f"{root}/events"))
 
 
+@_register(f"SELECT {_COLUMNS} FROM ev WHERE byte_offset * 2 >= (SELECT max(byte_offset) + 1 FROM line)")
+def restored_stream(spark, sf_dir):
+    """A stream of the second half of the lines that begins with the first half's open spans, and with some of no known file or parser."""
+    root, parsers, lines = scratch(spark, "restored"), load_config(CONFIG), event_lines(spark, sf_dir)
+    most = lines.agg(F.max("byte_offset")).first()[0] or 0
+    late = F.col("byte_offset") * 2 >= most + 1
+    saved = written(parse_logs(lines.where(~late), parsers).pending, "pending")
+    odd = saved.withColumn("parser_name", F.lit("gone")).unionByName(saved.withColumn("file_path", F.concat("file_path", F.lit(".old"))))
+    lines.where(late).write.parquet(f"{root}/lines")
+    stream = spark.readStream.schema(lines.schema).parquet(f"{root}/lines")
+    start_ingest(stream, parsers, root, restored=saved.unionByName(odd), disjoint=True).awaitTermination()
+    return _scalars(spark.read.parquet(f"{root}/events").drop("batch"))
+
+
+def _timed_stream(spark, rows: DataFrame, root: str) -> DataFrame:
+    """Rows with a timestamp as a stream of four batches in order of time, and a fifth with one row that comes too late."""
+    rows = written(rows, "rows")
+    low, high = rows.agg(F.min("timestamp"), F.max("timestamp")).first()
+    for k in range(4):
+        at = lambda j: F.lit(low + (high - low) * j / 4).cast("timestamp_ntz")
+        part = (F.col("timestamp") >= at(k)) & ((F.col("timestamp") < at(k + 1)) | F.lit(k == 3))
+        rows.where(part).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    rows.orderBy("timestamp").limit(1).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+
+
+def _ran(found: DataFrame, root: str) -> DataFrame:
+    found.writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start(f"{root}/out").awaitTermination()
+    return found.sparkSession.read.schema(found.schema).parquet(f"{root}/out")
+
+
+@_register(f"""SELECT * FROM (SELECT {_HOUR} AS bucket, name, count(*) AS n FROM ev GROUP BY ALL) WHERE bucket + INTERVAL 1 HOUR <= (SELECT max("timestamp") FROM ev) - INTERVAL 10 MINUTE""")
+def stream_hourly_counts(spark, sf_dir):
+    """Counts by hour of event time, of the hours that the watermark has passed; the late row is dropped."""
+    root = scratch(spark, "counts")
+    found = windowed_counts(_timed_stream(spark, events(spark, sf_dir).select("timestamp", "name"), root), lateness="10 minutes")
+    return _ran(found.select(F.col("window.start").cast("timestamp_ntz").alias("bucket"), "name", "n"), root)
+
+
+@_register(_MATCH + """SELECT rule, start, count(*) AS n FROM (SELECT rule, unnest(generate_series(date_trunc('minute', "timestamp") - INTERVAL 59 MINUTE, date_trunc('minute', "timestamp"), INTERVAL 1 MINUTE)) AS start FROM rule)
+WHERE start + INTERVAL 60 MINUTE <= (SELECT max("timestamp") FROM rule) - INTERVAL 10 MINUTE GROUP BY ALL HAVING count(*) > 4""")
+def stream_bursts(spark, sf_dir):
+    """Sliding hours of a stream of matches with more than four of a rule."""
+    root = scratch(spark, "bursts")
+    found = burst_windows(_timed_stream(spark, alert_matches(spark, sf_dir).select("rule", "timestamp"), root), more_than=4, minutes=60)
+    return _ran(found.select("rule", F.col("window.start").cast("timestamp_ntz").alias("start"), "n"), root)
+
+
+_NESTED = CONFIG[: CONFIG.index("[[parsers.nested]]")] + r"""
+[[parsers.nested]]
+name = "task"
+type = "span"
+reference_fields = ["job"]
+start_pattern = '(?P<timestamp>${timestamp}) (?P<ref>${ref}) TASK (?P<job>\d) ON'
+end_pattern = '(?P<timestamp>${timestamp}) (?P<ref>${ref}) TASK (?P<job>\d) OFF'
+[[parsers.nested.nested]]
+name = "step"
+type = "single"
+pattern = '(?P<timestamp>${timestamp}) (?P<ref>${ref}) STEP (?P<job>\d)'
+"""
+
+
+def nested_lines(spark, sf_dir) -> DataFrame:
+    """The notes become tasks that begin and end within a request, the other lines steps of a task."""
+    at, text = F.col("byte_offset"), F.col("line")
+    head = F.concat(F.substring("line", 1, 19), F.lit(" U"), F.lpad((at % 20).cast("string"), 6, "0"))
+    job = (F.floor(at / 2) % 2).cast("string")
+    task = F.concat(head, F.lit(" TASK "), job, F.when(at % 3 == 0, " OFF").otherwise(" ON"))
+    line = F.when(text.contains(" NOTE "), task).when(text.contains(" LOG "), F.concat(head, F.lit(" STEP "), job)).otherwise(F.regexp_replace(text, r" U\d{6}", F.concat(F.lit(" U"), F.lpad((at % 20).cast("string"), 6, "0"))))
+    return event_lines(spark, sf_dir).select(F.lit("app-0.log").alias("file_path"), "byte_offset", line.alias("line"))
+
+
+_NESTED_SQL = f"""WITH l AS (
+  SELECT 'app-0.log' AS file_path, event_id AS byte_offset, event_id % 20 AS ref, (event_id // 2) % 2 AS job,
+    CASE event_type WHEN 'click' THEN 'S' WHEN 'purchase' THEN 'E' WHEN 'view' THEN CASE WHEN event_id % 3 = 0 THEN 'OFF' ELSE 'ON' END ELSE 'STEP' END AS kind FROM events
+), a AS (
+  SELECT *, last_value(CASE WHEN kind IN ('S', 'E') THEN kind END IGNORE NULLS) OVER o AS b1, last_value(CASE WHEN kind IN ('ON', 'OFF') THEN kind END IGNORE NULLS) OVER i AS b2 FROM l
+  WINDOW o AS (PARTITION BY ref ORDER BY byte_offset ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), i AS (PARTITION BY ref, job ORDER BY byte_offset ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), b AS (
+  SELECT *, last_value(CASE WHEN kind = 'S' AND coalesce(b1, 'E') = 'E' THEN byte_offset END IGNORE NULLS) OVER o AS s1, last_value(CASE WHEN kind = 'ON' AND coalesce(b2, 'OFF') = 'OFF' THEN byte_offset END IGNORE NULLS) OVER i AS s2 FROM a
+  WINDOW o AS (PARTITION BY ref ORDER BY byte_offset ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), i AS (PARTITION BY ref, job ORDER BY byte_offset ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), n AS (
+  SELECT {_uuid("request", "s1")} AS id, 'request' AS name, CAST(NULL AS VARCHAR) AS outermost, CAST(NULL AS VARCHAR) AS nearest FROM b WHERE kind = 'E' AND b1 = 'S'
+  UNION ALL SELECT {_uuid("task", "s2")}, 'task', {_uuid("request", "s1")}, {_uuid("request", "s1")} FROM b WHERE kind = 'OFF' AND b2 = 'ON' AND b1 = 'S'
+  UNION ALL SELECT {_uuid("step")}, 'step', {_uuid("request", "s1")}, {_uuid("task", "s2")} FROM b WHERE kind = 'STEP' AND b2 = 'ON' AND b1 = 'S'
+)"""
+
+
+def _nested(spark, sf_dir, **how) -> DataFrame:
+    return parse_logs(nested_lines(spark, sf_dir), load_config(_NESTED), **how).events.select("id", "name", "parent_id")
+
+
+@_register(_NESTED_SQL + "SELECT id, name, outermost AS parent_id FROM n", common=False)
+def nested_spans(spark, sf_dir):
+    """Requests, tasks within them, and steps within tasks, which belong to the request."""
+    return _nested(spark, sf_dir)
+
+
+@_register(_NESTED_SQL + "SELECT id, name, nearest AS parent_id FROM n", common=False)
+def nearest_parents(spark, sf_dir):
+    """The same in one pass over the lines, steps belonging to their task."""
+    return _nested(spark, sf_dir, parent_mode="nearest", disjoint=True)
+
+
+@_register("SELECT id, \"timestamp\", duration_ms FROM ev WHERE event_type = 'span' AND duration_ms > 1000")
+def sql_store_events(spark, sf_dir):
+    """Events in a table of a SQL database, appended twice, read over several connections. The database lies in the shared folder and is opened by the driver's JVM, so this one is for local mode."""
+    target = scratch(spark, "database").removeprefix("file://").removeprefix("file:")
+    kept = store.open_store({"type": "jdbc", "url": f"jdbc:derby:{target};create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    rows = written(events(spark, sf_dir).where("event_type = 'span'"), "events")
+    for _ in range(2):
+        kept.append(rows)
+    return kept.load(spark, Filter().with_duration("gt", 1000)).select("id", "timestamp", "duration_ms")
+
+
+@_register("""SELECT event_id, date_trunc('second', ts) AS "timestamp" FROM events WHERE event_id % 5 <> 4""", common=False)
+def rare_formats(spark, sf_dir):
+    """Times of five formats that Spark's patterns can't say; every fifth names a wrong weekday."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    wrong = F.date_format(F.expr("ts + interval 1 day"), "EEE")
+    texts = {
+        "%y%m%d %H%M%S": F.date_format("ts", "yyMMdd HHmmss"), "%s": F.unix_seconds(F.col("ts").cast("timestamp")).cast("string"), "%d/%b/%Y:%H:%M:%S %z": F.concat(F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), F.lit(" +0200")),
+        "%Y-%j %T": F.date_format("ts", "yyyy-DDD HH:mm:ss"), "%a, %d %b %Y %T": F.concat(wrong, F.date_format("ts", ", dd MMM yyyy HH:mm:ss")),
+    }
+    at = F.coalesce(*[F.when(F.col("event_id") % 5 == k, timestamp(text, spark_time_format(fmt))) for k, (fmt, text) in enumerate(texts.items())])
+    return e.select("event_id", at.alias("timestamp")).where("timestamp is not null")
+
+
 @_register("SELECT file_path, CASE WHEN file_path IN ('app-0.log', 'app-1.log') THEN 'early' ELSE 'late' END AS name, count(*) AS n FROM line WHERE kind = 'L' GROUP BY ALL")
 def glob_events(spark, sf_dir):
     """Two parsers that read the same lines, each for the files of its own glob; the first in order wins."""

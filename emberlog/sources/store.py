@@ -13,6 +13,7 @@ from emberlog.functions.fields import sorted_json
 from emberlog.functions.patterns import ConfigError
 from emberlog.operators.chain import EVENT
 from emberlog.operators.filters import Filter
+from emberlog.sources.scratch import discard, written
 
 COLUMNS = ["id", "event_type", "name", "timestamp", "duration_ms", "parent_id", "data", "raw_line"]
 #: Column types of a new SQL table for texts that are never null; as keys they are no large objects.
@@ -73,24 +74,51 @@ def jdbc_options(url: str, table: str = "events", **more: str) -> dict[str, str]
     return {"url": url, "dbtable": table, "batchsize": "5000", "isolationLevel": "READ_COMMITTED", **more}
 
 
-def append_jdbc(events: DataFrame, options: dict[str, str]) -> None:
-    """Append events whose id isn't stored yet, making the table where there is none; only ids of the batch's time are read."""
-    rows = encode_rows(events).dropDuplicates(["id"])
+def append_jdbc(events: DataFrame, options: dict[str, str], parts: int = 8) -> None:
+    """Append events whose id isn't stored yet, making the table where there is none; only ids of the batch's time are read.
+
+    The events are computed once, into the shared folder. The stored ids are read in parts of time, over so many connections.
+    """
+    rows = written(encode_rows(events).dropDuplicates(["id"]), "rows")
     save = lambda df: df.write.format("jdbc").options(createTableColumnTypes=KEY_TYPES, **options).mode("append").save()
     save(rows.limit(0))
     first, last = rows.agg(F.min("timestamp"), F.max("timestamp")).first()
     if first is not None:
-        stored = _table(events.sparkSession, options).where(F.col("timestamp").between(F.lit(first).cast("timestamp_ntz"), F.lit(last).cast("timestamp_ntz")))
+        at = lambda x: F.lit(x).cast("timestamp_ntz")
+        stored = _table(events.sparkSession, options, (first, last), parts).where(F.col("timestamp").between(at(first), at(last)))
         save(rows.join(stored.select("id"), "id", "left_anti").select(*COLUMNS))
+    discard(rows)
 
 
-def load_jdbc(spark: SparkSession, options: dict[str, str], filter_: Filter | None = None) -> DataFrame:
-    rows = _table(spark, options).withColumn("data", F.from_json("data", "map<string,string>"))
+def load_jdbc(spark: SparkSession, options: dict[str, str], filter_: Filter | None = None, parts: int = 8) -> DataFrame:
+    """The stored events that pass a filter, read in parts of time over so many connections."""
+    rows = _table(spark, options, time_bounds(spark, options), parts).withColumn("data", F.from_json("data", "map<string,string>"))
     return (filter_ or Filter()).apply(rows.select(*COLUMNS))
 
 
-def _table(spark: SparkSession, options: dict[str, str]) -> DataFrame:
-    return spark.read.format("jdbc").options(preferTimestampNTZ="true", **options).load()
+def time_bounds(spark: SparkSession, options: dict[str, str]) -> tuple[datetime, datetime] | None:
+    """The first and last time of a SQL table, which the database finds; None if it holds no row."""
+    column = _column(spark, options)
+    rest = {k: v for k, v in options.items() if k != "dbtable"}
+    low, high = _table(spark, {**rest, "query": f"SELECT MIN({column}) AS low, MAX({column}) AS high FROM {options['dbtable']}"}).first()
+    return None if low is None else (low, high)
+
+
+def _column(spark: SparkSession, options: dict[str, str]) -> str:
+    """The time column's name as the database quotes it."""
+    return spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(options["url"]).quoteIdentifier("timestamp")
+
+
+def _table(spark: SparkSession, options: dict[str, str], bounds: tuple[datetime, datetime] | None = None, parts: int = 1) -> DataFrame:
+    """A SQL table; with bounds, read by so many ranges of time, a connection each. Rows before, after and without a time are in the first or last."""
+    more = {"preferTimestampNTZ": "true", **options}
+    if bounds is None or parts < 2 or bounds[0] == bounds[1]:
+        return spark.read.format("jdbc").options(**more).load()
+    cuts = [bounds[0] + (bounds[1] - bounds[0]) * k / parts for k in range(1, parts)]
+    at, texts = _column(spark, options), [c.strftime("%Y-%m-%d %H:%M:%S.%f") for c in cuts]
+    ranges = [f"{at} < '{texts[0]}' OR {at} IS NULL", *[f"{at} >= '{a}' AND {at} < '{b}'" for a, b in zip(texts, texts[1:])], f"{at} >= '{texts[-1]}'"]
+    rest = {k: v for k, v in more.items() if k not in ("url", "dbtable")}
+    return spark.read.jdbc(options["url"], options["dbtable"], predicates=ranges, properties=rest)
 
 
 @dataclass(frozen=True)
