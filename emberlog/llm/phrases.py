@@ -229,10 +229,11 @@ def _pairs(buckets: int):
                     h = mixed(first.view(np.uint64) * seeds(2, 12)[0] + second.view(np.uint64) * seeds(2, 12)[1])
                 bucket = (h % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                start, count = groups(bucket[order])
-                blobs = [pack([first[order][x : x + m], second[order][x : x + m], n[order][x : x + m]]) for x, m in zip(start, count)]
+                bucket, first, second, n = bucket[order], first[order], second[order], n[order]
+                start, count = groups(bucket)
+                blobs = [pack([first[x : x + m], second[x : x + m], n[x : x + m]]) for x, m in zip(start, count)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[order][start].astype(np.int32)), pa.array(count.astype(np.int64)), pa.array([shard] * len(start), pa.string()), pa.array(blobs, pa.binary())],
+                    [pa.array(bucket[start].astype(np.int32)), pa.array(count.astype(np.int64)), pa.array([shard] * len(start), pa.string()), pa.array(blobs, pa.binary())],
                     ["bucket", "n", "shard", "blob"],
                 )
 
