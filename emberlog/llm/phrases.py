@@ -10,9 +10,9 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import read, release, small_batches, written
-from emberlog.llm.packed import buckets_for, groups, pack, unpack
-from emberlog.llm.words import LOWER, seeds, slices, utf8
+from emberlog.llm.common import discard, read, release, small_batches, text_bytes, written
+from emberlog.llm.packed import bucket_of, buckets_for, groups, pack, unpack
+from emberlog.llm.words import LOWER, hashed, seeds, slices, utf8
 from emberlog.llm.words import mix as mixed
 from emberlog.operators.skew import spread_join
 
@@ -54,59 +54,110 @@ def spelled(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(at), pa.py_buffer(kept)])
 
 
-def _shard(words: list[pa.Array], langs: list[np.ndarray], gaps: list[np.ndarray], names: list[str]) -> tuple[bytes, int, pa.Array, list[str], np.ndarray]:
-    """A shard's positions (a number from 1 for each word, 0 between pieces), and its vocabulary: word, lang, count by number."""
+def _shard(words: list[pa.Array], langs: list[np.ndarray], gaps: list[np.ndarray], buckets: int) -> tuple[bytes, int, list[tuple[int, int, bytes]], np.ndarray]:
+    """A shard's positions (a number from 1 for each word and lang, 0 between pieces), its vocabulary as packed rows (bucket, n,
+    blob) and words by lang. Numbers go up by bucket, so a row's words have numbers in a row."""
     coded = pa.chunked_array(words).combine_chunks()
     coded = (pa.concat_arrays(coded.chunks) if isinstance(coded, pa.ChunkedArray) else coded).dictionary_encode()
-    lang, gap = np.concatenate(langs), np.concatenate(gaps)
-    both = lang.astype(np.int64) * max(1, len(coded.dictionary)) + coded.indices.to_numpy().astype(np.int64)
-    kinds, number, count = np.unique(both, return_inverse=True, return_counts=True)
-    at = np.arange(len(both)) + np.cumsum(gap)
+    lang, gap, different = np.concatenate(langs), np.concatenate(gaps), len(coded.dictionary)
+    kinds, number, count = np.unique(lang * different + coded.indices.to_numpy().astype(np.int64), return_inverse=True, return_counts=True)
+    spelling = np.concatenate([w.hash for w in hashed(coded.dictionary)])
+    bucket = bucket_of(spelling[kinds % different], buckets)
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(1, len(order) + 1)
+    at = np.arange(len(number)) + np.cumsum(gap)
     line = np.zeros(int(at[-1]) + 1, np.int32)
-    line[at] = number + 1
-    spelling = coded.dictionary.take(pa.array(kinds % max(1, len(coded.dictionary))))
-    return zstandard.ZstdCompressor(level=1).compress(line.tobytes()), len(line), spelling, [names[k] for k in kinds // max(1, len(coded.dictionary))], count
-
-
-SHARDS = "shard string, positions long, line binary, number int, lang string, word binary, n long"
-
-
-def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each shard, and a row for each word and lang in it."""
-    from pyspark import TaskContext
-
-    task, made, waiting, held = TaskContext.get().partitionId(), 0, [], 0
-    names: dict[str, int] = {}
-
-    def send() -> Iterator[pa.RecordBatch]:
-        line, positions, spelling, langs, count = _shard(*(list(x) for x in zip(*waiting)), list(names))
-        shard, m = f"{task}-{made}", len(count)
-        none = lambda kind: pa.nulls(m, kind)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([shard]), pa.array([positions]), pa.array([line], pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64())],
-            ["shard", "positions", "line", "number", "lang", "word", "n"],
-        )
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([shard] * m), none(pa.int64()), none(pa.binary()), pa.array(np.arange(1, m + 1, dtype=np.int32)), pa.array(langs), spelling, pa.array(count)],
-            ["shard", "positions", "line", "number", "lang", "word", "n"],
-        )
-
-    for batch in batches:
-        raw, offsets = utf8(batch.column("text"))
-        lang = np.array([names.setdefault(x, len(names)) for x in batch.column("lang").to_pylist()], np.int64)
-        for lo, hi in slices(offsets):
-            data, ends = LOWER[raw[offsets[lo] : offsets[hi]]], offsets[lo : hi + 1] - offsets[lo]
-            first, last, piece = pieces_of(data, ends)
-            if not len(first):
-                continue
-            gap = np.append(True, piece[1:] != piece[:-1]).astype(np.int64)
-            waiting.append((spelled(data, first, last), lang[np.searchsorted(ends, first, "right") - 1 + lo], gap))
-            held += len(first)
-            if held >= SHARD_WORDS:
-                yield from send()
-                made, waiting, held = made + 1, [], 0
-    if held:
-        yield from send()
+    line[at] = place[number]
+    texts = coded.dictionary.take(pa.array(kinds[order] % different)).to_pylist()
+    start, n = groups(bucket[order])
+    packed = [(int(bucket[order][x]), int(m), _vocabulary(count[order][x : x + m], (kinds[order] // different)[x : x + m], texts[x : x + m])) for x, m in zip(start, n)]
+    return zstandard.ZstdCompressor(level=1).compress(line.tobytes()), len(line), packed, np.bincount(lang)
+
+
+def _vocabulary(count: np.ndarray, lang: np.ndarray, words: list[bytes]) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(count.astype(np.int64).tobytes() + lang.astype(np.int32).tobytes() + b"\n".join(words))
+
+
+SHARDS = "shard string, positions long, line binary, bucket int, n long, blob binary, names array<string>, lang string"
+
+
+def _rows(**columns: list) -> pa.RecordBatch:
+    kinds = {"shard": pa.string(), "positions": pa.int64(), "line": pa.binary(), "bucket": pa.int32(), "n": pa.int64(), "blob": pa.binary(), "names": pa.list_(pa.string()), "lang": pa.string()}
+    many = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(many, t) for c, t in kinds.items()], list(kinds))
+
+
+def _encode(buckets: int):
+    """A row for each shard, one for each bucket of its vocabulary, and one for each lang in it."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, made, waiting, held = TaskContext.get().partitionId(), 0, [], 0
+        known: dict[str, int] = {}
+
+        def send() -> Iterator[pa.RecordBatch]:
+            line, positions, packed, by_lang = _shard(*(list(x) for x in zip(*waiting)), buckets)
+            shard, names = f"{task}-{made}", list(known)
+            yield _rows(shard=[shard], positions=[positions], line=[line])
+            yield _rows(shard=[shard] * len(packed), bucket=[b for b, _, _ in packed], n=[n for _, n, _ in packed], blob=[x for _, _, x in packed], names=[names] * len(packed))
+            there = np.flatnonzero(by_lang)
+            yield _rows(lang=[names[k] for k in there], n=by_lang[there].tolist())
+
+        for batch in batches:
+            raw, offsets = utf8(batch.column("text"))
+            lang = np.array([known.setdefault(x, len(known)) for x in batch.column("lang").to_pylist()], np.int64)
+            for lo, hi in slices(offsets):
+                data, ends = LOWER[raw[offsets[lo] : offsets[hi]]], offsets[lo : hi + 1] - offsets[lo]
+                first, last, piece = pieces_of(data, ends)
+                if not len(first):
+                    continue
+                gap = np.append(True, piece[1:] != piece[:-1]).astype(np.int64)
+                waiting.append((spelled(data, first, last), lang[np.searchsorted(ends, first, "right") - 1 + lo], gap))
+                held += len(first)
+                if held >= SHARD_WORDS:
+                    yield from send()
+                    made, waiting, held = made + 1, [], 0
+        if held:
+            yield from send()
+
+    return apply
+
+
+WORDS = "lang string, word binary, word_id long, a long, shard string, bucket int, codes binary"
+
+
+def _frequent_words(support: int):
+    """Of one bucket, the words of enough count over all shards, numbered; and for each shard the numbers of its words there (0: rare)."""
+
+    def apply(table: pa.Table) -> pa.Table:
+        bucket, rows = table.column("bucket")[0].as_py(), table.select(["shard", "n", "blob", "names"]).to_pylist()
+        counts, langs, words, known = [], [], [], {}
+        for r in rows:
+            raw, n = zstandard.ZstdDecompressor().decompress(r["blob"]), r["n"]
+            counts.append(np.frombuffer(raw, np.int64, n))
+            own = np.array([known.setdefault(x, len(known)) for x in r["names"]], np.int64)
+            langs.append(own[np.frombuffer(raw, np.int32, n, 8 * n)])
+            words += raw[12 * n :].split(b"\n")
+        coded = pa.array(words, pa.binary()).dictionary_encode()
+        different = len(coded.dictionary)
+        kinds, at = np.unique(np.concatenate(langs) * different + coded.indices.to_numpy().astype(np.int64), return_inverse=True)
+        total = np.bincount(at, np.concatenate(counts), len(kinds)).astype(np.int64)
+        often = np.flatnonzero(total >= support)
+        code = np.zeros(len(kinds), np.int32)
+        code[often] = np.arange(1, len(often) + 1)
+        names, f, m = list(known), len(often), len(rows)
+        ends = np.cumsum([0, *(r["n"] for r in rows)])
+        back = [zstandard.ZstdCompressor(level=1).compress(code[at[x:y]].tobytes()) for x, y in zip(ends, ends[1:])]
+        texts = coded.dictionary.take(pa.array(kinds[often] % different)).to_pylist()
+        return pa.table({
+            "lang": pa.array([names[k] for k in kinds[often] // different] + [None] * m, pa.string()), "word": pa.array(texts + [None] * m, pa.binary()),
+            "word_id": pa.array((bucket << 32 | code[often].astype(np.int64)).tolist() + [None] * m, pa.int64()), "a": pa.array(total[often].tolist() + [None] * m, pa.int64()),
+            "shard": pa.array([None] * f + [r["shard"] for r in rows], pa.string()), "bucket": pa.array([None] * f + [bucket] * m, pa.int32()), "codes": pa.array([None] * f + back, pa.binary()),
+        })
+
+    return apply
 
 
 # Bitmaps: blocks of positions, and in each block the words that are there with a bit for each of their places.
@@ -196,25 +247,39 @@ def longer_phrases(line: np.ndarray, words: int, follows: np.ndarray, longest: i
                 yield np.pad(phrases, ((0, 0), (0, longest - length))), count
 
 
-def recoded(line: np.ndarray, number: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The line with frequent words as 1, 2, … and 0 for the others, and the sorted ids that these stand for."""
-    order = np.argsort(ids)
-    to = np.zeros(int(line.max(initial=0)) + 1, np.int64)
-    to[number[order]] = np.arange(1, len(ids) + 1)
+def recoded(line: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The line with frequent words as 1, 2, … and 0 for the others, and the sorted ids that these stand for. ids: of each number of
+    the line from 1 on, 0 for a rare word."""
+    often = np.flatnonzero(ids)
+    order = often[np.argsort(ids[often])]
+    to = np.zeros(len(ids) + 1, np.int64)
+    to[order + 1] = np.arange(1, len(order) + 1)
     return to[line], ids[order]
 
 
 def _lines(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Shard, line of frequent words, and their ids."""
+    zstd = zstandard.ZstdDecompressor()
     for k in range(batch.num_rows):
-        blob, n = batch.column("line")[k].as_py(), batch.column("positions")[k].as_py()
-        line = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int32, n)
-        words = batch.column("words")[k].values
-        yield batch.column("shard")[k].as_py(), *recoded(line, words.field("number").to_numpy(), words.field("word_id").to_numpy())
+        line = np.frombuffer(zstd.decompress(batch.column("line")[k].as_py()), np.int32, batch.column("positions")[k].as_py())
+        parts = sorted(((r["bucket"], r["codes"]) for r in batch.column("words")[k].as_py()))
+        codes = [(b, np.frombuffer(zstd.decompress(c), np.int32).astype(np.int64)) for b, c in parts]
+        yield batch.column("shard")[k].as_py(), *recoded(line, np.concatenate([np.where(c > 0, b << 32 | c, 0) for b, c in codes]))
 
 
 # Jobs over shards.
 
-PAIRS = "bucket int, n long, shard string, blob binary"
+PAIRS = "shard string, bucket int, n long, blob binary"
+
+
+def _shard_pairs(line: np.ndarray, ids: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket, first and second word (numbers of the line) and count of a shard's pairs of frequent words, in order of bucket."""
+    a, b, n = pairs_in(line, len(ids))
+    with np.errstate(over="ignore"):
+        h = mixed(ids[a - 1].view(np.uint64) * seeds(2, 12)[0] + ids[b - 1].view(np.uint64) * seeds(2, 12)[1])
+    bucket = (h % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return bucket[order], a[order], b[order], n[order]
 
 
 def _pairs(buckets: int):
@@ -223,54 +288,57 @@ def _pairs(buckets: int):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, line, ids in _lines(batch):
-                a, b, n = pairs_in(line, len(ids))
+                bucket, a, b, n = _shard_pairs(line, ids, buckets)
                 first, second = ids[a - 1], ids[b - 1]
-                with np.errstate(over="ignore"):
-                    h = mixed(first.view(np.uint64) * seeds(2, 12)[0] + second.view(np.uint64) * seeds(2, 12)[1])
-                bucket = (h % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                bucket, first, second, n = bucket[order], first[order], second[order], n[order]
                 start, count = groups(bucket)
                 blobs = [pack([first[x : x + m], second[x : x + m], n[x : x + m]]) for x, m in zip(start, count)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[start].astype(np.int32)), pa.array(count.astype(np.int64)), pa.array([shard] * len(start), pa.string()), pa.array(blobs, pa.binary())],
-                    ["bucket", "n", "shard", "blob"],
+                    [pa.array([shard] * len(start), pa.string()), pa.array(bucket[start].astype(np.int32)), pa.array(count.astype(np.int64)), pa.array(blobs, pa.binary())], ["shard", "bucket", "n", "blob"]
                 )
 
     return apply
 
 
+FREQUENT = "a long, b long, n long, shard string, bucket int, mask binary"
+
+
 def _frequent_pairs(support: int):
-    """Of one bucket, the pairs of enough count over all shards: a row for each shard that has the pair."""
+    """Of one bucket, the pairs of enough count over all shards; and for each shard a bit for each of its pairs there, set if frequent."""
 
     def apply(table: pa.Table) -> pa.Table:
-        kinds = [np.int64] * 3
-        parts = [unpack(b, n, kinds) for b, n in zip(table.column("blob").to_pylist(), table.column("n").to_pylist())]
+        parts = [unpack(b, n, [np.int64] * 3) for b, n in zip(table.column("blob").to_pylist(), table.column("n").to_pylist())]
         first, second, n = (np.concatenate([p[k] for p in parts]) for k in range(3))
-        place = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
         order = np.lexsort((second, first))
         new = np.ones(len(order), bool)
         new[1:] = (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1])
-        at = np.cumsum(new) - 1
-        keep = order[(np.bincount(at, n[order]) >= support)[at]]
-        shards = table.column("shard").combine_chunks().take(pa.array(place[keep]))
-        return pa.table({"shard": shards, "a": first[keep], "b": second[keep], "n": n[keep]})
+        at, start = np.cumsum(new) - 1, np.flatnonzero(new)
+        total = np.bincount(at, n[order]).astype(np.int64)
+        often, f, m = np.empty(len(order), bool), int((total >= support).sum()), table.num_rows
+        often[order] = (total >= support)[at]
+        ends = np.cumsum([0, *(len(p[0]) for p in parts)])
+        masks = [np.packbits(often[x:y]).tobytes() for x, y in zip(ends, ends[1:])]
+        some = order[start[total >= support]]
+        column = lambda x: pa.array(x.tolist() + [None] * m, pa.int64())
+        back = [pa.array([None] * f + table.column(c).to_pylist(), t) for c, t in (("shard", pa.string()), ("bucket", pa.int32()))]
+        return pa.table([column(first[some]), column(second[some]), column(total[total >= support]), *back, pa.array([None] * f + masks, pa.binary())], ["a", "b", "n", "shard", "bucket", "mask"])
 
     return apply
 
 
-def _longer(longest: int):
+def _longer(longest: int, buckets: int):
+    """Phrases of three words and more of each shard, along its frequent pairs, with their counts."""
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = batch.column("pairs")
+            masks = batch.column("masks")
             for k, (_, line, ids) in enumerate(_lines(batch)):
-                own = pairs[k].values
-                a, b = (np.searchsorted(ids, own.field(c).to_numpy()) + 1 for c in ("a", "b"))
-                for phrases, count in longer_phrases(line, len(ids), np.sort(a * (len(ids) + 1) + b), longest):
-                    spelled_ids = np.append(0, ids)[phrases]
-                    size = (phrases > 0).sum(1)
-                    flat = spelled_ids[phrases > 0]
-                    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(flat))
+                bucket, a, b, _ = _shard_pairs(line, ids, buckets)
+                size = {int(bucket[x]): int(m) for x, m in zip(*groups(bucket))}
+                often = [np.unpackbits(np.frombuffer(r["mask"], np.uint8), count=size[r["bucket"]]) for r in sorted(masks[k].as_py(), key=lambda r: r["bucket"])]
+                often = np.concatenate(often).astype(bool)
+                for phrases, count in longer_phrases(line, len(ids), np.sort((a * (len(ids) + 1) + b)[often]), longest):
+                    size_of = (phrases > 0).sum(1)
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size_of)).astype(np.int32)), pa.array(np.append(0, ids)[phrases][phrases > 0]))
                     yield pa.RecordBatch.from_arrays([lists, pa.array(count)], ["phrase", "a"])
 
     return apply
@@ -281,33 +349,33 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     (phrase: array of word ids; a: occurrences), and of all word occurrences (lang, n).
 
     Texts are encoded once into shards of SHARD_WORDS words: a line of numbers with gaps between pieces, and a vocabulary.
-    Word counts add up over all shards; words of enough count get ids, which return to the shards that have the word.
-    Pairs are counted by bitmaps in each shard, added up, and frequent ones return to their shards as well. Longer phrases are mined in
-    each shard depth first along frequent pairs (a phrase can't be frequent otherwise) and added up. So nothing is
-    broadcast, and a task holds one shard or one bucket of pairs.
+    Words, and then pairs of frequent words, counted by bitmaps in each shard, add up by bucket over all shards, and each
+    shard gets back which of its own are frequent. Longer phrases are mined in each shard depth first along frequent pairs (a phrase can't be frequent
+    otherwise) and added up. So nothing is broadcast, and a task holds one shard or one bucket.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(text_col).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
-    made = written(rows.mapInArrow(_encode, SHARDS), "phrases-shards")
-    vocabulary = made.where("number is not null").select("shard", "number", "lang", "word", "n")
-    shards = made.where("line is not null").select("shard", "positions", "line")
-    totals = vocabulary.groupBy("lang").agg(F.sum("n").alias("n"))
-    words = vocabulary.groupBy("lang", "word").agg(F.sum("n").alias("a"), F.count("*").alias("places")).where(F.col("a") >= support)
-    words = written(words.withColumn("word_id", F.monotonically_increasing_id() + 1), "phrases-words")
-    known = spread_join(vocabulary.select("shard", "number", "lang", "word"), words.select("lang", "word", "word_id", "places"), ["lang", "word"], "places")
-    known = known.groupBy("shard").agg(F.collect_list(F.struct("number", "word_id")).alias("words"))  # a shard's own words
-    lines = written(shards.hint("merge").join(known, "shard"), "phrases-lines")
-    entries = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    pairs = lines.mapInArrow(_pairs(buckets_for(entries)), PAIRS).groupBy("bucket").applyInArrow(_frequent_pairs(support), "shard string, a long, b long, n long")
-    pairs = written(pairs, "phrases-pairs")
+    size = rows.agg(F.coalesce(F.sum(text_bytes(F.col("text"))), F.lit(0))).first()[0]
+    made = written(rows.mapInArrow(_encode(buckets_for(size / 40)), SHARDS), "phrases-shards")
+    totals = written(made.where("lang is not null").groupBy("lang").agg(F.sum("n").alias("n")), "phrases-totals")
+    found = made.where("bucket is not null").select("shard", "bucket", "n", "blob", "names").groupBy("bucket").applyInArrow(_frequent_words(support), WORDS)
+    found = written(found, "phrases-words")
+    words = found.where("word_id is not null").select("lang", "word", "word_id", "a")
+    known = found.where("shard is not null").groupBy("shard").agg(F.collect_list(F.struct("bucket", "codes")).alias("words"))  # a shard's own words
+    lines = written(made.where("line is not null").select("shard", "positions", "line").hint("merge").join(known, "shard"), "phrases-lines")
+    discard(made)
+    release(spark)
+    buckets = buckets_for(size / 8)
+    pairs = written(lines.mapInArrow(_pairs(buckets), PAIRS).groupBy("bucket").applyInArrow(_frequent_pairs(support), FREQUENT), "phrases-pairs")
     release(spark)
-    own = pairs.groupBy("shard").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))  # a shard's own pairs
-    found = lines.hint("merge").join(own, "shard").mapInArrow(_longer(longest), "phrase array<long>, a long")
-    found = found.groupBy("phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= support)
-    two = pairs.groupBy(F.array("a", "b").alias("phrase")).agg(F.sum("n").alias("a"))
+    own = pairs.where("shard is not null").groupBy("shard").agg(F.collect_list(F.struct("bucket", "mask")).alias("masks"))  # a shard's own pairs
+    more = lines.hint("merge").join(own, "shard").mapInArrow(_longer(longest, buckets), "phrase array<long>, a long")
+    more = more.groupBy("phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= support)
+    two = pairs.where("shard is null").select(F.array("a", "b").alias("phrase"), F.col("n").alias("a"))
     one = words.select(F.array("word_id").alias("phrase"), "a")
-    phrases = written(one.unionByName(two).unionByName(found), "phrases-counts")
+    phrases = written(one.unionByName(two).unionByName(more), "phrases-counts")
+    discard(lines, pairs)
     release(spark)
     return words, phrases, totals
 
