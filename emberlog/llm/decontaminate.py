@@ -22,11 +22,13 @@ QUESTION, ANSWER = 0.7, 0.7
 #: Words of an item before this share are the question part, the others the answer part.
 QUESTION_SHARE = 2 / 3
 BLOCK_ITEMS = 4
+#: Words of the shortest stride.
+SHORTEST = 16
 #: Bytes of item text in one index; a larger benchmark is cut into several, each broadcast and queried in its turn.
 INDEX_BYTES = 16 << 20
 
+#: The type of a leak, with item ids of that type.
 LEAK = "array<struct<item_id:bigint,score:double,question:double,answer:double>>"
-LEAK_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64())]))
 
 
 @dataclass
@@ -67,31 +69,50 @@ def _parts(words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Statistics:
-    """Of all items of a benchmark that have words: their number, mean and greatest length; document frequencies by term."""
+    """Of all items of a benchmark that have words: their number and mean length; document frequencies by term."""
 
     n: int
     mean: float
-    longest: int
     terms: np.ndarray  # sorted hashes, those of the index at hand at least
     df: np.ndarray
 
 
-def build_index(items: list[tuple[int | None, str | None]], threshold: float = THRESHOLD, stats: Statistics | None = None) -> Index | None:
-    """An index of the items that have words; None if there is none. Weights follow stats, those of the items by default."""
-    ids, terms, counts, parts, lengths = [], [], [], [], []
-    for item_id, text in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")):
+def length_class(words: int) -> int:
+    """The stride of an item's passages: the least power of 2 from SHORTEST on that holds the item."""
+    return max(SHORTEST, 1 << (words - 1).bit_length())
+
+
+def _read(items: list[tuple]) -> list[tuple]:
+    """Id, words, distinct terms and their counts of the items that have words, in order of id and text."""
+    out = []
+    for item_id, text in sorted(items, key=lambda x: (x[0] is None, 0 if x[0] is None else x[0], x[1] or "")):
         words = next(hashed(pa.array([text or ""]), lower=True, separator=SYMBOL))
-        if not len(words.hash):
-            continue
-        t, n = np.unique(words.hash, return_counts=True)
-        ids.append(item_id), terms.append(t), counts.append(n), parts.append(_parts(words)), lengths.append(len(words.hash))
-    if not ids:
-        return None
-    size = np.array(lengths, float)
+        if len(words.hash):
+            out.append((item_id, words, *np.unique(words.hash, return_counts=True)))
+    return out
+
+
+def build_indexes(items: list[tuple], threshold: float = THRESHOLD, stats: Statistics | None = None) -> list[Index]:
+    """An index for each length class of the items that have words, so that the passages of an item follow its own length.
+
+    Weights follow stats, those of all the items by default.
+    """
+    found, classes = _read(items), {}
+    if found and stats is None:
+        vocabulary, df = np.unique(np.concatenate([t for _, _, t, _ in found]), return_counts=True)
+        stats = Statistics(len(found), float(np.mean([len(w.hash) for _, w, _, _ in found])), vocabulary, df)
+    for x in found:
+        classes.setdefault(length_class(len(x[1].hash)), []).append(x)
+    return [_index_of(classes[c], threshold, stats, c) for c in sorted(classes)]
+
+
+def _index_of(found: list[tuple], threshold: float, stats: Statistics, stride: int) -> Index:
+    ids, terms, counts = ([x[k] for x in found] for k in (0, 2, 3))
+    parts = [_parts(words) for _, words, _, _ in found]
+    size = np.array([len(words.hash) for _, words, _, _ in found], float)
     item = np.repeat(np.arange(len(ids)), [len(t) for t in terms])
     every, tf = np.concatenate(terms), np.concatenate(counts).astype(float)
-    vocabulary, term, df = np.unique(every, return_inverse=True, return_counts=True)
-    stats = stats or Statistics(len(ids), size.mean(), int(size.max()), vocabulary, df)
+    vocabulary, term = np.unique(every, return_inverse=True)
     df = stats.df[np.searchsorted(stats.terms, vocabulary)]
     idf = np.log(1 + (stats.n - df + 0.5) / (df + 0.5))
     weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / stats.mean))
@@ -112,7 +133,7 @@ def build_index(items: list[tuple[int | None, str | None]], threshold: float = T
         essential[t] = False
     return Index(
         ids, vocabulary, start, item, weight, np.searchsorted(term[first], np.arange(len(vocabulary) + 1)), item[first] // BLOCK_ITEMS, block_max,
-        essential, rest, [p[0] for p in parts], [p[1] for p in parts], max(16, stats.longest),
+        essential, rest, [p[0] for p in parts], [p[1] for p in parts], stride,
     )
 
 
@@ -187,8 +208,9 @@ def _reaching(stride: np.ndarray, term: np.ndarray, start: np.ndarray, group: np
 def leaks_in(words: Words, index: Index, threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER) -> dict[int, dict[int, tuple[float, float, float]]]:
     """By document number and item number: the best score, question and answer overlap of passages that have all three.
 
-    Passages are two strides long and start every stride, a stride being as long as the longest item, so every
-    occurrence of an item lies whole in a passage.
+    Passages are two strides long and start every stride, a stride being as long as the longest item of the index's length
+    class, so every occurrence of an item lies whole in a passage of less than four times its length (of 2 SHORTEST words for
+    the shortest).
     """
     out: dict[int, dict[int, tuple[float, float, float]]] = {}
     if not len(words.hash):
@@ -237,46 +259,49 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             })
 
 
-def benchmark_indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", index_bytes: int = INDEX_BYTES) -> Iterator[Index]:
-    """Indexes of at most about index_bytes of item text each, made one after the other: the driver holds one.
+def benchmark_indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", index_bytes: int = INDEX_BYTES) -> Iterator[list[Index]]:
+    """Sets of indexes (one a length class) of at most about index_bytes of item text each, made one after the other: the driver holds one.
 
     Document frequencies and lengths are those of all items, so scores don't depend on how the items are cut.
     """
-    items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    items = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     if total <= index_bytes:
-        if (index := build_index([(r["id"], r["text"]) for r in items.collect()])) is not None:  # size checked above
-            yield index
+        if found := build_indexes([(r["id"], r["text"]) for r in items.collect()]):  # size checked above
+            yield found
         return
     cuts = -(-2 * total // index_bytes)
     items = items.withColumn("cut", F.pmod(F.xxhash64("id", "text"), F.lit(cuts)))
     terms = written(items.select("cut", "text").mapInArrow(_terms, "cut long, n long, terms array<long>").where("n > 0"), "bm25-terms")
-    n, mean, longest = terms.agg(F.count("*"), F.avg("n"), F.max("n")).first()
+    n, mean = terms.agg(F.count("*"), F.avg("n")).first()
     each = terms.select("cut", F.explode("terms").alias("term"))
     frequencies = written(each.groupBy("term").agg(F.count("*").alias("df")), "bm25-frequencies")
     for k in range(cuts):
         own = each.where(F.col("cut") == k).select("term").distinct().hint("merge").join(frequencies, "term").toPandas()
         own = own.assign(term=own["term"].to_numpy(np.int64).view(np.uint64)).sort_values("term")
-        stats = Statistics(n, mean, longest, own["term"].to_numpy(), own["df"].to_numpy())
+        stats = Statistics(n, mean, own["term"].to_numpy(), own["df"].to_numpy())
         part = [(r["id"], r["text"]) for r in items.where(F.col("cut") == k).collect()]  # of bounded size, as its terms are
-        if (index := build_index(part, stats=stats)) is not None:
-            yield index
+        if found := build_indexes(part, stats=stats):
+            yield found
     discard(terms, frequencies)
 
 
-def mark_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """docs with a column `leaks` (replacing one of that name): the test items that each whole text holds.
+def mark_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", index_bytes: int = INDEX_BYTES, out_col: str = "leaks", id_col: str = "item_id") -> DataFrame:
+    """docs with a column out_col (replacing one of that name): the test items that each whole text holds.
 
     Null and empty texts hold nothing, and so does every text if no item has words. Items with null or empty texts are
     never found; items with equal texts are all reported. Repeated rows are marked alike. An item of fewer than three
     words in its question or answer part is verified by the other part, or by its score alone if both are so short.
-    Long texts are queried by passages, all of them. A benchmark of over index_bytes needs several indexes: what one
+    Long texts are queried by passages, all of them; those for an item follow its own length, whatever the other items are. Item ids may
+    be of any type with an order. A benchmark of over index_bytes needs several indexes: what one
     found is written before the next is broadcast, so that one is alive at a time.
     """
     small_batches(docs.sparkSession)
-    docs = docs.drop("leaks").withColumn("leaks", F.array().cast(LEAK))
+    kind = benchmark.schema[id_col].dataType.simpleString()
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != out_col])
+    docs = docs.withColumn(out_col, F.array().cast(LEAK.replace("bigint", kind, 1)))
     before = sent = None
-    for index in benchmark_indexes(benchmark, index_bytes=index_bytes):
+    for index in benchmark_indexes(benchmark, id_col, index_bytes=index_bytes):
         if sent is not None:
             docs = written(docs, "leaks")
             sent.destroy()
@@ -284,19 +309,21 @@ def mark_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", in
                 discard(before)
             before = docs
         sent = docs.sparkSession.sparkContext.broadcast(index)
-        docs = _query(docs, sent, text_col)
+        docs = _query(docs, sent, text_col, out_col)
     return docs
 
 
-def _query(docs: DataFrame, sent, text_col: str) -> DataFrame:
+def _query(docs: DataFrame, sent, text_col: str, out_col: str) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = sent.value
+        indexes = sent.value
         for batch in batches:
-            had = batch.column("leaks").to_pylist()
-            for words in hashed(batch.column(text_col), lower=True, separator=SYMBOL):
-                for doc, items in leaks_in(words, index).items():
-                    had[doc] = [*(had[doc] or []), *({"item_id": index.ids[i], "score": s, "question": q, "answer": a} for i, (s, q, a) in sorted(items.items()))]
-            columns = [pa.array(had, LEAK_ARROW) if name == "leaks" else batch.column(name) for name in batch.schema.names]
+            at = batch.schema.names.index(out_col)
+            had = batch.column(at).to_pylist()
+            for words in hashed(batch.column(batch.schema.names.index(text_col)), lower=True, separator=SYMBOL):
+                for index in indexes:
+                    for doc, items in leaks_in(words, index).items():
+                        had[doc] = [*(had[doc] or []), *({"item_id": index.ids[i], "score": s, "question": q, "answer": a} for i, (s, q, a) in sorted(items.items()))]
+            columns = [pa.array(had, batch.schema.field(at).type) if k == at else x for k, x in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
     return docs.mapInArrow(apply, T.StructType(docs.schema.fields))
