@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -34,6 +36,8 @@ N_BEST = 4
 KEPT_WORDS = 300_000
 #: Words searched together, and the length beyond which a word is searched by itself and not kept.
 WORDS_AT_ONCE, LONG_WORD = 10_000, 64
+#: Places of one part of a long word's lattice, and characters of words kept in one task.
+PART, KEPT_CHARS = 1 << 16, 1 << 24
 
 ENCODED = T.StructType([
     T.StructField("ids", T.ArrayType(T.IntegerType())),
@@ -156,6 +160,81 @@ class Matcher:
         return out
 
 
+class LongLattice:
+    """The lattice of one long word, made a part at a time, so that memory beyond 8 bytes a character doesn't follow its length.
+
+    The forward pass goes through the parts in order, with the scores of the places before as its frontier; the search
+    backward makes a part again when it comes to it, and keeps a few.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, matcher: Matcher, word: str, lead: int) -> None:
+        self.vocabulary, self.matcher, self.lead = vocabulary, matcher, lead
+        self.text = np.frombuffer((MARK * lead + word).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.size, self.parts = len(self.text), OrderedDict()
+
+    def part(self, k: int) -> tuple[list[int], list[int], list[float], list[int]]:
+        """Edges into places k * PART + 1 .. (k + 1) * PART: where each place's begin, and of every edge its start, score and
+        code (number of the piece, or -2 - c for the bytes of character c). Edges into a place are in order of start."""
+        if (found := self.parts.get(k)) is not None:
+            self.parts.move_to_end(k)
+            return found
+        top = min(self.size, (k + 1) * PART)
+        low = max(0, k * PART + 1 - self.matcher.longest)
+        text = self.text[low:top].astype(np.uint64)
+        marks = np.append(0, np.cumsum(text == ord(MARK)))
+        literal = (text == ord(MARK)) & (np.arange(low, top) >= self.lead)
+        starts, ends, codes = [], [], []
+        for n, matched in enumerate(self.matcher.match(text[:, None]), 1):
+            i = np.flatnonzero((matched[:, 0] != self.matcher.none) & ~literal[: len(matched)])
+            # A piece over the end of the leading marks holds these only.
+            mixed = (low + i < self.lead) & (low + i + n > self.lead)
+            i = i[~mixed | (marks[i + n] - marks[i] == self.lead - low - i)]
+            starts.append(i), ends.append(i + n), codes.append(matched[i, 0].astype(np.int64))
+            if n == 1:
+                bare = np.flatnonzero(literal | (matched[:, 0] == self.matcher.none))
+                starts.append(bare), ends.append(bare + 1), codes.append(-2 - text[bare].astype(np.int64))
+        start, end, code = (np.concatenate(x) for x in (starts, ends, codes))
+        keep = end + low > k * PART
+        start, end, code = start[keep] + low, end[keep] + low, code[keep]
+        order = np.lexsort((code < 0, start, end))
+        start, end, code = start[order], end[order], code[order]
+        c = np.where(code < 0, -2 - code, 0)
+        width = np.where(c < 0x80, 1, np.where(c < 0x800, 2, np.where(c < 0x10000, 3, 4)))
+        score = np.where(code < 0, self.vocabulary.byte_score * width, self.matcher.score[np.maximum(code, 0)])
+        cut = np.searchsorted(end, np.arange(k * PART + 1, top + 2))
+        self.parts[k] = found = (cut.tolist(), start.tolist(), score.tolist(), code.tolist())
+        if len(self.parts) > 4:
+            self.parts.popitem(last=False)
+        return found
+
+    def n_best(self, n: int) -> list[tuple[float, tuple[int, ...]]]:
+        """As n_best() of the whole lattice."""
+        forward = array("d", [0.0]) * (self.size + 1)
+        for k in range(-(-self.size // PART)):
+            cut, start, score, _ = self.part(k)
+            for j in range(len(cut) - 1):
+                forward[k * PART + j + 1] = max((forward[start[e]] + score[e] for e in range(cut[j], cut[j + 1])), default=-np.inf)
+        out: list[tuple[float, tuple[int, ...]]] = []
+        heap, pushed = [(-forward[-1], 0, self.size, 0.0, None)], 1
+        while heap and len(out) < n:
+            f, _, at, g, path = heapq.heappop(heap)
+            if at == 0:
+                codes: list[int] = []
+                while path is not None:
+                    codes.append(path[0])
+                    path = path[1]
+                codes = np.array(codes, np.int64)
+                ids = np.where(codes < 0, codes, self.matcher.id[np.maximum(codes, 0)])
+                out.append((-f, tuple(_spelt(ids, np.array([len(ids)]), self.vocabulary)[0].tolist())))
+                continue
+            k, j = divmod(at - 1, PART)
+            cut, start, score, code = self.part(k)
+            for e in range(cut[j], cut[j + 1]):
+                heapq.heappush(heap, (-(g + score[e] + forward[start[e]]), pushed, start[e], g + score[e], (code[e], path)))
+                pushed -= 1  # of equals the newest first: straight to the start, not through all of them
+        return out
+
+
 @dataclass
 class Best:
     """Best paths of some words: their ids in a row, each word's number of ids, score, and loss of the second path."""
@@ -239,6 +318,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
+        self.last, self.held = None, 0
         self.known: dict[str | tuple[str, int], int] = {}
         self.best = Best(np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(1), np.full(1, np.inf))
         self.start = np.zeros(1, np.int64)
@@ -254,9 +334,11 @@ class Encoder:
         if found is None:
             if len(self.paths) > KEPT_WORDS // 10:
                 self.paths.clear()
-            found = n_best(self.vocabulary.lattice(MARK * lead + word, lead), self.n)
-            if len(word) <= LONG_WORD:
-                self.paths[word, lead] = found
+            if len(word) > LONG_WORD:  # kept until the next such word, as one text asks for it twice
+                if self.last is None or self.last[0] != (word, lead):
+                    self.last = ((word, lead), LongLattice(self.vocabulary, self.matcher, word, lead).n_best(self.n))
+                return self.last[1]
+            found = self.paths[word, lead] = n_best(self.vocabulary.lattice(MARK * lead + word, lead), self.n)
         return found
 
     def words(self, text: str) -> list[str | tuple[str, int]]:
@@ -270,12 +352,13 @@ class Encoder:
 
     def learn(self, texts: list[list[str | tuple[str, int]]]) -> None:
         """Number the new words of some texts' words, and find their best paths."""
-        if len(self.known) > KEPT_WORDS:
+        if len(self.known) > KEPT_WORDS or self.held > KEPT_CHARS:
             self.forget()
         new: dict[int, list] = {}
         for w in {w for t in texts for w in t}.difference(self.known):
             new.setdefault(len(w) if isinstance(w, str) and len(w) <= LONG_WORD else 0, []).append(w)
         keys, found = [], []
+        self.held += sum(len(w if isinstance(w, str) else w[0]) for words in new.values() for w in words)
         for size, words in new.items():
             for k in range(0, len(words), WORDS_AT_ONCE):
                 part = words[k : k + WORDS_AT_ONCE]
@@ -330,12 +413,24 @@ class Encoder:
             edits = []
             for s, changes in self.others(words[k], at[lo:hi], score):
                 where = [(int(place[lo + w] - place[lo]), int(count[lo + w]), x) for w, x in sorted(changes)]
-                edits.append({"score": s, "edits": [{"start": a, "stop": a + n, "ids": x} for a, n, x in where]})
+                edits.append({"score": s, "edits": [_edit(ids[place[lo] + a : place[lo] + a + n], a, x) for a, n, x in where]})
             scores.append(score)
             alternatives.append(edits)
         return ids, place[end], scores, alternatives
 
 
+def _edit(before: np.ndarray, at: int, after: tuple[int, ...]) -> dict:
+    """What of a word's ids changes; of a long word's only the part that differs."""
+    if len(before) <= LONG_WORD:
+        return {"start": at, "stop": at + len(before), "ids": after}
+    new, least = np.array(after, before.dtype), min(len(before), len(after))
+    differ = np.flatnonzero(before[:least] != new[:least])
+    head = int(differ[0]) if len(differ) else least
+    differ = np.flatnonzero(before[::-1][: least - head] != new[::-1][: least - head])
+    tail = int(differ[0]) if len(differ) else least - head
+    return {"start": at + head, "stop": at + len(before) - tail, "ids": after[head : len(after) - tail]}
+
+
 def spellings(names: list[str]) -> list[bytes]:
     """The bytes of each piece: a byte piece's own, and for others UTF-8 with spaces for marks."""
     return [bytes([int(n[3:5], 16)]) if len(n) == 6 and n.startswith("<0x") else n.replace(MARK, " ").encode() for n in names]
@@ -374,7 +469,8 @@ def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL, n: int =
 
     An alternative is one of the next n-1 paths, as edits: ids[start:stop] of the best path give way to other ids. There
     are fewer where a text has fewer paths. Null texts have null, empty texts no ids and score 0. Long texts are encoded
-    whole. The vocabulary is read by the driver and broadcast (its size is that of the file).
+    whole, texts without spaces too: their lattice is made a part at a time. Of paths of equal score any may come first, the same in every run
+    over the same batch. Repeated rows are encoded alike. An empty table gives an empty result. The vocabulary is read by the driver and broadcast (its size is that of the file).
     """
     spark = docs.sparkSession
     small_batches(spark)
