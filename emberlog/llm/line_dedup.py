@@ -122,8 +122,9 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 def aligned_blocks(earlier: list[int], later: list[int]) -> list[int]:
-    """Places in the later document of the lines to delete: aligned blocks with a line that isn't blank."""
-    return [y for x, y in patience(earlier, later) if later[y] != BLANK]
+    """Places in the later document of the lines to delete; blank lines take no part."""
+    a, places = [x for x in earlier if x != BLANK], [k for k, x in enumerate(later) if x != BLANK]
+    return [places[y] for _, y in patience(a, [later[k] for k in places])]
 
 
 def _shown() -> tuple[Column, Column]:
@@ -169,19 +170,35 @@ def _left(shown: DataFrame, cuts: DataFrame) -> DataFrame:
     return shown.join(cuts.select("id", "mark", F.explode("cut").alias("at")).hint("merge"), ["id", "mark", "at"], "left_anti")
 
 
+def _orders(earlier: DataFrame, holders: DataFrame, shared: DataFrame) -> DataFrame:
+    """first, order: of the holders' documents, a hash of their lines in order, all runs of lines that no other document has being alike.
+
+    Documents of one order align alike with any other document, as such lines only part its own.
+    """
+    lines = earlier.hint("merge").join(holders.select("first").distinct(), "first", "left_semi")
+    lines = lines.select("first", F.posexplode(F.filter("lines", lambda x: x != BLANK)).alias("at", "key"))
+    lines = spread_join(lines, shared.select("key", "n", F.col("n").alias("known")), ["key"], "n", "left")
+    said = F.when(F.col("known").isNull(), F.lit(BLANK)).otherwise(F.col("key"))
+    found = lines.groupBy("first").agg(F.sort_array(F.collect_list(F.struct("at", said.alias("line")))).alias("lines"))
+    said = F.transform("lines", lambda x: x["line"])
+    found = found.select("first", said.alias("lines"))
+    kept = F.filter("lines", lambda x, k: (x != BLANK) | (k == 0) | (F.get("lines", k - 1) != BLANK))
+    return found.select("first", F.xxhash64(kept).alias("order"))
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with `text` cut and columns n_lines and n_removed appended (replacing ones of these names).
 
     Lines are told apart by '\\n' and compared without blanks at their ends. Documents overlap that share a line of at least
     min_chars characters, or two lines of any length in a row (blank lines aside), or a line of any length that is all that
     the later one has. A pair is aligned by patience diff over line hashes, and the aligned lines that aren't blank go
-    from the later document; texts of the input are aligned, not what is left of them. Blank lines stay.
+    from the later document; texts of the input are aligned, not what is left of them. Blank lines stay, and aren't aligned.
 
     Of the keys that show an overlap (such lines and runs), rare ones propose pairs first: a later document meets the
     first holder (the smallest id) of each rare key of its own. Keys that still have a line that stays then bring the first
     holder whatever their number of holders, and then the other earlier holders (a shorter line those that overlap
-    its document), in rounds of more and more of them, until the line goes or has met all. So a line stays only if no
-    earlier document that overlaps its own aligns it, and the order of the rounds only decides the work. Documents of equal
+    its document), one for each order of shared lines, in rounds of more and more of them, until the line goes or has met all. So a
+    line stays only if no earlier document that overlaps its own aligns it, and the order of the rounds only decides the work. Documents of equal
     lines are one holder, and all but the first are cut whole. Which of several equally long alignments is
     taken depends on the two documents' lines alone.
 
@@ -233,8 +250,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     asked = written(asked, "line-asked")
     wanted = reduce(DataFrame.unionByName, [x.select("key") for x in (left, asked, others)]).distinct().hint("merge").join(firsts, "key").select("key", "n", F.ceil(F.col("n") / TOGETHER).alias("parts"))
     wanted = written(wanted, "line-wanted")
+    # Holders of one order of lines cut the same, so the first of them stands for all: lines that very many documents share in a few
+    # orders, as page footers are, bring a few holders.
+    holders = written(spread_join(held, wanted, ["key"], "n"), "line-held")
+    orders = written(_orders(earlier, holders, firsts), "line-orders")
+    holders_of = holders.hint("merge").join(orders, "first").groupBy("key", "order").agg(F.min("first").alias("first"), F.first("parts").alias("parts"))
+    tables += [holders, orders]
     # The holders of a key are numbered in parts, so no task numbers all of a common key's.
-    ranked = spread_join(held, wanted, ["key"], "n").withColumn("part", F.pmod(F.xxhash64("first"), "parts"))
+    ranked = holders_of.withColumn("part", F.pmod(F.xxhash64("first"), "parts"))
     number = F.row_number().over(Window.partitionBy("key", "part").orderBy("first"))
     ranked = written(ranked.select("key", "first", ((number - 1) * F.col("parts") + F.col("part") + 1).alias("rank")), "line-holders")
     tables += [ranked, asked, others, wanted, firsts]
