@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberlog.llm.common import discard, read, release, small_batches, text_bytes, written
-from emberlog.llm.packed import bucket_of, buckets_for, groups, pack, unpack
+from emberlog.llm.packed import PACKED, bucket_of, buckets_for, gathered, groups, pack, unpack
 from emberlog.llm.words import LOWER, hashed, seeds, slices, utf8
 from emberlog.llm.words import mix as mixed
 from emberlog.operators.skew import spread_join
@@ -326,7 +326,7 @@ def _frequent_pairs(support: int):
 
 
 def _longer(longest: int, buckets: int):
-    """Phrases of three words and more of each shard, along its frequent pairs, with their counts."""
+    """Phrases of three words and more of each shard, along its frequent pairs, with their counts, packed by bucket."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -336,10 +336,34 @@ def _longer(longest: int, buckets: int):
                 size = {int(bucket[x]): int(m) for x, m in zip(*groups(bucket))}
                 often = [np.unpackbits(np.frombuffer(r["mask"], np.uint8), count=size[r["bucket"]]) for r in sorted(masks[k].as_py(), key=lambda r: r["bucket"])]
                 often = np.concatenate(often).astype(bool)
-                for phrases, count in longer_phrases(line, len(ids), np.sort((a * (len(ids) + 1) + b)[often]), longest):
-                    size_of = (phrases > 0).sum(1)
-                    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size_of)).astype(np.int32)), pa.array(np.append(0, ids)[phrases][phrases > 0]))
-                    yield pa.RecordBatch.from_arrays([lists, pa.array(count)], ["phrase", "a"])
+                found = list(longer_phrases(line, len(ids), np.sort((a * (len(ids) + 1) + b)[often]), longest))
+                if not found:
+                    continue
+                phrases, count = np.append(0, ids)[np.concatenate([p for p, _ in found])], np.concatenate([c for _, c in found])
+                with np.errstate(over="ignore"):
+                    h = mixed((phrases.view(np.uint64) * seeds(longest, 13)).sum(1))
+                bucket = (h % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                bucket, phrases, count = bucket[order], phrases[order], count[order]
+                start, n = groups(bucket)
+                blobs = [pack([*phrases[x : x + m].T, count[x : x + m]]) for x, m in zip(start, n)]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[start].astype(np.int32)), pa.array(n.astype(np.int64)), pa.array(blobs, pa.binary())], ["bucket", "n", "blob"])
+
+    return apply
+
+
+def _frequent_phrases(longest: int, support: int):
+    """Of one bucket, the phrases of enough count over all shards."""
+
+    def apply(table: pa.Table) -> pa.Table:
+        *ids, n = gathered(table, [np.int64] * (longest + 1))
+        order = np.lexsort(ids[::-1])
+        rows = np.column_stack(ids)[order]
+        new = np.append(True, (rows[1:] != rows[:-1]).any(1))
+        total = np.bincount(np.cumsum(new) - 1, n[order]).astype(np.int64)
+        rows, total = rows[new][total >= support], total[total >= support]
+        ends = np.append(0, np.cumsum((rows > 0).sum(1))).astype(np.int32)
+        return pa.table({"phrase": pa.ListArray.from_arrays(pa.array(ends), pa.array(rows[rows > 0])), "a": pa.array(total)})
 
     return apply
 
@@ -370,8 +394,8 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     pairs = written(lines.mapInArrow(_pairs(buckets), PAIRS).groupBy("bucket").applyInArrow(_frequent_pairs(support), FREQUENT), "phrases-pairs")
     release(spark)
     own = pairs.where("shard is not null").groupBy("shard").agg(F.collect_list(F.struct("bucket", "mask")).alias("masks"))  # a shard's own pairs
-    more = lines.hint("merge").join(own, "shard").mapInArrow(_longer(longest, buckets), "phrase array<long>, a long")
-    more = more.groupBy("phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= support)
+    more = lines.hint("merge").join(own, "shard").mapInArrow(_longer(longest, buckets), PACKED)
+    more = more.groupBy("bucket").applyInArrow(_frequent_phrases(longest, support), "phrase array<long>, a long")
     two = pairs.where("shard is null").select(F.array("a", "b").alias("phrase"), F.col("n").alias("a"))
     one = words.select(F.array("word_id").alias("phrase"), "a")
     phrases = written(one.unionByName(two).unionByName(more), "phrases-counts")
