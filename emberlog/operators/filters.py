@@ -90,11 +90,10 @@ class Filter:
         self.expr = expr
 
     def _with(self, more: Expr) -> "Filter":
-        if self.expr is None:
-            return Filter(more)
-        if self.expr.op == "or":
-            raise ValueError("with_ methods cannot OR")
-        return Filter(and_([*(self.expr.parts if self.expr.op == "and" else [self.expr]), more]))
+        root = [] if self.expr is None else [self.expr]
+        if any(x.op == "or" for x in root):
+            raise ValueError("a filter of alternatives takes no further condition; put them in and_()")
+        return Filter(and_([*root, more]) if root else more)
 
     def with_name(self, *a, **k) -> "Filter":
         return self._with(name(*a, **k))

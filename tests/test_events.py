@@ -117,11 +117,11 @@ def test_tail_offsets(tmp_path):
     path.write_text("one\ntwo\npart")
     reader = TailReader(str(tmp_path / "*.log"), True)
     start, end = reader.initialOffset(), reader.latestOffset()
-    assert [r[1:] for p in reader.partitions(start, end) for r in reader.read(p)] == [(0, "one"), (4, "two")]
+    assert [(at, line) for p in reader.partitions(start, end) for b in reader.read(p) for _, at, line in zip(*b.to_pydict().values())] == [(0, "one"), (4, "two")]
     path.write_text("new\n")
     after = reader.latestOffset()
     assert after[str(path)] == 0 and not reader.partitions(end, after)
-    assert [r[2] for p in reader.partitions(after, reader.latestOffset()) for r in reader.read(p)] == ["new"]
+    assert [line for p in reader.partitions(after, reader.latestOffset()) for b in reader.read(p) for line in b.column('line').to_pylist()] == ["new"]
 
 
 def test_tail_stream_with_restart(spark, tmp_path):
@@ -153,7 +153,7 @@ def test_tail_reads_a_file_cut_while_the_stream_was_down(tmp_path):
     path.write_text("new one\nnew two\n")
     again = TailReader(str(tmp_path / "*.log"), True)
     found = again.latestOffset()
-    assert [r[1:] for p in again.partitions(committed, found) for r in again.read(p)] == [(0, "new one"), (8, "new two")]
+    assert [(at, line) for p in again.partitions(committed, found) for b in again.read(p) for _, at, line in zip(*b.to_pydict().values())] == [(0, "new one"), (8, "new two")]
 
 
 def test_spread_join(spark, monkeypatch):

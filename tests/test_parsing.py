@@ -11,7 +11,7 @@ from emberlog.operators.chain import parse_logs, pattern_coverage
 
 ISO = "%Y-%m-%d %H:%M:%S"
 TS = r"(?P<timestamp>\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})"
-SPAN = {"name": "s", "type": "span", "glob": "*", "start_pattern": TS + r" (?P<ref>[a-z]{5}) START", "end_pattern": TS + r" (?P<ref>[a-z]{5}) END", "reference_fields": ["ref"]}
+SPAN = {"name": "s", "type": "span", "glob": "*", "start_pattern": TS + r" (?P<ref>[a-z]{3}) BEGUN", "end_pattern": TS + r" (?P<ref>[a-z]{3}) DONE", "reference_fields": ["ref"]}
 
 
 def config(*parsers, **more):
@@ -56,7 +56,7 @@ def test_expand():
 @pytest.mark.parametrize(
     "change, words",
     [({"type": None}, "missing type"), ({"name": None}, "missing name"), ({"glob": None}, "missing glob"), ({"type": "other"}, "unknown type"), ({"end_pattern": SPAN["start_pattern"]}, "different"),
-     ({"reference_fields": []}, "reference_fields"), ({"start_pattern": TS + " START"}, "'ref'"), ({"start_pattern": "(?P<ref>x) START"}, "'timestamp'"),
+     ({"reference_fields": []}, "reference_fields"), ({"start_pattern": TS + " BEGUN"}, "'ref'"), ({"start_pattern": "(?P<ref>x) BEGUN"}, "'timestamp'"),
      ({"nested": [{"name": "n", "type": "span", "start_pattern": TS, "end_pattern": TS}]}, "reference_fields"), ({"nested": [{**SPAN, "name": "n"}]}, "duplicates"), ({"start_pattern": "(?=x)"}, "look-around")],
 )
 def test_config_errors(change, words):
@@ -96,28 +96,28 @@ def run(spark, parsers, lines, pending=None, **kw):
 
 @pytest.mark.parametrize(
     "lines, durations, open_",
-    [(["0 a START", "5 a END"], [5000], 0), (["0 a START", "2 b START", "5 a END", "8 b END"], [5000, 6000], 0), (["0 a START"], [], 1), (["3 a START", "3 a END"], [0], 0),
-     (["0 a START", "2 a START", "5 a END"], [5000], 0), (["5 a END"], [], 0), (["9 a START", "4 a END"], [-5000], 0), (["0 a START", "x a END", "5 a END"], [], 0)],
+    [(["0 a BEGUN", "5 a DONE"], [5000], 0), (["0 a BEGUN", "2 b BEGUN", "5 a DONE", "8 b DONE"], [5000, 6000], 0), (["0 a BEGUN"], [], 1), (["3 a BEGUN", "3 a DONE"], [0], 0),
+     (["0 a BEGUN", "2 a BEGUN", "5 a DONE"], [5000], 0), (["5 a DONE"], [], 0), (["9 a BEGUN", "4 a DONE"], [-5000], 0), (["0 a BEGUN", "x a DONE", "5 a DONE"], [], 0)],
 )
 def test_spans(spark, lines, durations, open_):
     text = []
     for x in lines:
         n, ref, mark = x.split()
-        text.append(f"{'2026-13-01 00:00:00' if n == 'x' else at(int(n))} {ref * 5} {mark}")
+        text.append(f"{'2026-02-30 01:02:03' if n == 'x' else at(int(n))} {ref * 3} {mark}")
     parsed = run(spark, config(SPAN), text)
     assert sorted(r.duration_ms for r in parsed.events.collect()) == durations and parsed.pending.count() == open_
 
 
 def test_start_wins_and_ids_are_stable(spark):
-    lines = [f"{at(1)} aaaaa START", f"{at(2)} aaaaa END"]
+    lines = [f"{at(1)} aaa BEGUN", f"{at(2)} aaa DONE"]
     one, two = (run(spark, config(SPAN), lines).events.first() for _ in range(2))
     assert one.data["timestamp"] == at(1) and one.id == two.id and one.raw_line == "\n".join(lines)
 
 
 NESTED = {**SPAN, "nested": [
-    {"name": "note", "type": "single", "pattern": TS + r" (?P<ref>[a-z]{5}) NOTE"},
-    {"name": "sub", "type": "span", "reference_fields": ["job"], "start_pattern": TS + r" (?P<ref>[a-z]{5}) SUB (?P<job>\d) ON", "end_pattern": TS + r" (?P<ref>[a-z]{5}) SUB (?P<job>\d) OFF",
-     "nested": [{"name": "leaf", "type": "single", "pattern": TS + r" (?P<ref>[a-z]{5}) LEAF (?P<job>\d)"}]},
+    {"name": "note", "type": "single", "pattern": TS + r" (?P<ref>[a-z]{3}) NOTE"},
+    {"name": "sub", "type": "span", "reference_fields": ["job"], "start_pattern": TS + r" (?P<ref>[a-z]{3}) SUB (?P<job>\d) ON", "end_pattern": TS + r" (?P<ref>[a-z]{3}) SUB (?P<job>\d) OFF",
+     "nested": [{"name": "leaf", "type": "single", "pattern": TS + r" (?P<ref>[a-z]{3}) LEAF (?P<job>\d)"}]},
 ]}
 
 
@@ -125,10 +125,10 @@ def machine(lines):
     """One line after the other, as the words of the operators say: (line number, name, parent's line)."""
     outer, inner, out = {}, {}, []
     for k, (mark, ref, job, good) in enumerate(lines):
-        if mark == "START":
+        if mark == "BEGUN":
             if good and ref not in outer:
                 outer[ref] = k
-        elif mark == "END":
+        elif mark == "DONE":
             start = outer.pop(ref, None)
             if start is not None and good:
                 out.append((start, "s", None))
@@ -149,11 +149,11 @@ def machine(lines):
 
 def test_random_sequences_with_nested_spans(spark):
     rng = random.Random(5)
-    lines = [(rng.choice(["START", "END", "NOTE", "ON", "OFF", "LEAF"]), rng.choice("ab"), rng.choice("12"), rng.random() > 0.1) for _ in range(800)]
+    lines = [(rng.choice(["BEGUN", "DONE", "NOTE", "ON", "OFF", "LEAF"]), rng.choice("ab"), rng.choice("12"), rng.random() > 0.1) for _ in range(800)]
     text = []
     for k, (mark, ref, job, good) in enumerate(lines):
         tail = f"SUB {job} {mark}" if mark in ("ON", "OFF") else f"LEAF {job}" if mark == "LEAF" else mark
-        text.append(f"{at(k) if good else '2026-13-01 00:00:00'} {ref * 5} {tail}")
+        text.append(f"{at(k) if good else '2026-02-30 01:02:03'} {ref * 3} {tail}")
     parsed = run(spark, config(NESTED), text)
     rows = parsed.events.collect()
     line_of = {r.id: lines_at(r) for r in rows}
@@ -172,17 +172,17 @@ def lines_at(row):
 
 def test_chain_claims_and_pending(spark):
     catch = {"name": "any", "type": "single", "glob": "*", "pattern": TS + ".*"}
-    lines = [f"{at(0)} aaaaa START", f"{at(1)} aaaaa START", f"{at(2)} bbbbb END", f"{at(3)} aaaaa END", "no time"]
+    lines = [f"{at(0)} aaa BEGUN", f"{at(1)} aaa BEGUN", f"{at(2)} bbb DONE", f"{at(3)} aaa DONE", "no time"]
     parsed = run(spark, config(SPAN, catch), lines)
     got = sorted((r.name, r.timestamp.second) for r in parsed.events.collect())
     assert got == [("any", 1), ("any", 2), ("s", 0)]  # what the span parser doesn't claim goes on
     cover = {r.parser: (r.matched, r.claimed, r.shadowed) for r in pattern_coverage(spark.createDataFrame([("f", k, x) for k, x in enumerate(lines)], "file_path string, byte_offset long, line string"), config(SPAN, catch), parsed).collect()}
     assert cover == {"s": (4, 2, 2), "any": (4, 2, 2)}
     first = run(spark, config(SPAN), lines[:1])
-    later = run(spark, config(SPAN), [f"{at(9)} aaaaa END"], first.pending)
+    later = run(spark, config(SPAN), [f"{at(9)} aaa DONE"], first.pending)
     assert [r.duration_ms for r in later.events.collect()] == [9000] and later.pending.count() == 0
 
 
 def test_include_raw(spark):
-    got = run(spark, config({**SPAN, "include_raw": False}), [f"{at(0)} aaaaa START", f"{at(1)} aaaaa END"]).events.first()
+    got = run(spark, config({**SPAN, "include_raw": False}), [f"{at(0)} aaa BEGUN", f"{at(1)} aaa DONE"]).events.first()
     assert got.raw_line is None

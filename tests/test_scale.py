@@ -26,9 +26,9 @@ DAY = datetime(2025, 3, 1)
 def nested_text(rng, n, refs="ab"):
     out = []
     for k in range(n):
-        mark, ref, job = rng.choice(["START", "END", "NOTE", "ON", "OFF", "LEAF", "other"]), rng.choice(refs), rng.choice("12")
+        mark, ref, job = rng.choice(["BEGUN", "DONE", "NOTE", "ON", "OFF", "LEAF", "other"]), rng.choice(refs), rng.choice("12")
         tail = f"SUB {job} {mark}" if mark in ("ON", "OFF") else f"LEAF {job}" if mark == "LEAF" else mark
-        out.append(f"{at(k) if rng.random() > 0.1 else '2026-02-30 01:02:03'} {ref * 5} {tail}")
+        out.append(f"{at(k) if rng.random() > 0.1 else '2026-02-30 01:02:03'} {ref * 3} {tail}")
     return out
 
 
@@ -52,7 +52,7 @@ def test_chunks_give_the_state_of_the_window(spark, chunk):
 @pytest.mark.parametrize("mode", ["outermost", "nearest"])
 def test_one_pass_gives_the_events_of_the_fold(spark, mode):
     rng = random.Random(len(mode))
-    other = {"name": "other", "type": "single", "glob": "*", "include_raw": False, "pattern": TS + r" (?P<ref>[a-z]{5}) other"}
+    other = {"name": "other", "type": "single", "glob": "*", "include_raw": False, "pattern": TS + r" (?P<ref>[a-z]{3}) other"}
     parsers = config(NESTED, other, {**SPAN, "name": "gone", "glob": "/not/here/*"})
     first, second = nested_text(rng, 200), nested_text(rng, 200)
     one, fold = (parse_logs(lines_of(spark, first), parsers, parent_mode=mode, chunk=40 if d else None, disjoint=d) for d in (True, False))
@@ -65,7 +65,7 @@ def test_one_pass_gives_the_events_of_the_fold(spark, mode):
 
 
 def test_overlaps_show_what_is_not_disjoint(spark):
-    lines = lines_of(spark, [f"{at(1)} aaaaa START", f"{at(2)} aaaaa END", "no"])
+    lines = lines_of(spark, [f"{at(1)} aaa BEGUN", f"{at(2)} aaa DONE", "no"])
     catch = {"name": "any", "type": "single", "glob": "*", "pattern": TS + " .*"}
     assert overlaps(lines, config(SPAN)).count() == 0
     assert sorted((r.first, r.second, r.n) for r in overlaps(lines, config(SPAN, catch)).collect()) == [("s E", "any single", 1), ("s S", "any single", 1)]
