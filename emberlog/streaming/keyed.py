@@ -110,16 +110,23 @@ def keyed_events(lines: DataFrame, parsers: list[Parser], parent_mode: str = "ou
         statefulProcessor=OpenSpans(steps, parent_mode == "outermost", ttl_ms), outputStructType=OUT, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None"
     )
     spans = spans.withColumn("timestamp", F.expr(f"timestampadd(MICROSECOND, at_us, {_EPOCH})")).withColumn("data", F.from_json("data", "map<string,string>"))
-    return single.unionByName(spans.select(*FOUND))
+    return single.unionByName(spans.select(*FOUND)) if alone else spans.select(*FOUND)
 
 
 def start_keyed(lines: DataFrame, parsers: list[Parser], root: str, parent_mode: str = "outermost", ttl_ms: int | None = None, **trigger) -> StreamingQuery:
-    """Start the stream; events are in root/events, the checkpoint with the open spans beside them."""
+    """Start the stream; events are in root/events, the checkpoint with the open spans beside them.
+
+    With ttl_ms Spark makes batches for the clock alone, so a stream of what is available would never end: the trigger is then a
+    processing time (a second by default).
+    """
+    if ttl_ms and {"availableNow", "once"} & set(trigger):
+        raise ValueError("a stream with a time to live needs a processingTime trigger")
+    trigger = trigger or ({"processingTime": "1 second"} if ttl_ms else {"availableNow": True})
     spark, setting = lines.sparkSession, "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(setting)
     spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         events = keyed_events(lines, parsers, parent_mode, ttl_ms)
-        return events.writeStream.format("parquet").option("path", f"{root}/events").option("checkpointLocation", f"{root}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
+        return events.writeStream.format("parquet").option("path", f"{root}/events").option("checkpointLocation", f"{root}/checkpoint").trigger(**trigger).start()
     finally:
         spark.conf.set(setting, before)

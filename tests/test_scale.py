@@ -1,6 +1,7 @@
 """The forms for large inputs against the plain ones."""
 
 import random
+import time
 from datetime import datetime, timedelta
 
 import pandas as pd
@@ -91,6 +92,27 @@ def test_keyed_state_over_restarts(spark, tmp_path):
     assert rows_of(found) == rows_of(parse_logs(lines_of(spark, text), parsers, parent_mode="nearest").events)
 
 
+@pytest.mark.parametrize("ttl, spans", [(500, 0), (10**9, 1)])
+def test_open_spans_may_be_forgotten(spark, tmp_path, ttl, spans):
+    write = lambda k, mark: lines_of(spark, [f"{at(k)} aaa {mark}"], k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    write(0, "BEGUN")
+    stream = spark.readStream.schema("file_path string, byte_offset long, line string").parquet(str(tmp_path / "in"))
+    with pytest.raises(ValueError):
+        start_keyed(stream, config(SPAN), str(tmp_path / "out"), ttl_ms=ttl, availableNow=True)
+    running = start_keyed(stream, config(SPAN), str(tmp_path / "out"), ttl_ms=ttl)
+    try:
+        for k in (1, 2):
+            until = time.time() + 60
+            while len([p for p in running.recentProgress if p["numInputRows"]]) < k and time.time() < until:
+                time.sleep(0.5)
+            time.sleep(1)
+            if k == 1:
+                write(1, "DONE")
+    finally:
+        running.stop()
+    assert spark.read.schema(EVENT).parquet(str(tmp_path / "out/events")).count() == spans
+
+
 def test_old_open_spans_are_deleted(spark, tmp_path):
     rng = random.Random(9)
     text = nested_text(rng, 200)
