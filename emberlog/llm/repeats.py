@@ -311,15 +311,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     del index
     release(spark)
     # A later copy of a whole text goes whole, as each of its windows is in the earlier one; nobody need look at it.
-    prints = written(named.select("id", F.xxhash64("text").alias("mark"), F.unhex(F.sha2("text", 256)).alias("print")), "repeat-prints")
-    copied = prints.groupBy("print").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("print", "first")
-    lone = prints.groupBy("id").agg(F.count("*").alias("n")).where("n = 1").select("id")
-    copies = written(prints.join(copied, "print").where("id > first").join(lone, "id", "left_semi").select("id", "mark"), "repeat-copies")
+    # The join is by digest and id, so a text with very many copies isn't one task's.
+    prints = named.select("id", F.xxhash64("text").alias("mark"), F.unhex(F.sha2("text", 256)).alias("print"))
+    firsts = prints.groupBy("print").agg(F.min("id").alias("id"))
+    lone = prints.groupBy("id").agg(F.count("*").alias("rows"), F.min("mark").alias("mark"), F.min("print").alias("print")).where("rows = 1")
+    copies = written(lone.join(firsts, ["print", "id"], "left_anti").select("id", "mark"), "repeat-copies")
     wanted = places.groupBy("id").agg(F.collect_set("at").alias("at"))
     asked = named.withColumn("mark", F.xxhash64("text")).join(wanted.join(copies.select("id"), "id", "left_anti"), "id").select("id", "mark", "text", "at")
     stretches = written(asked.mapInArrow(_stretches, "anchor long, tkey long, id long, mark long, start int, n int"), "repeat-stretches")
-    del asked, wanted, copied, lone
-    discard(places, prints)
+    del asked, wanted, prints, firsts, lone
+    discard(places)
     release(spark)
     # Runs of one anchor with one and the same text are their first document's; texts are only fetched, each from its
     # first document, where an anchor has several.
